@@ -93,8 +93,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salt: int = 16) -> DataFrame:
-    """Join whose left side may hold a third of its rows under one key: left rows are dealt over `salt` copies of each
-    right row. right has at most one row a key, so nothing multiplies."""
-    dealt = left.withColumn("_salt", (F.rand(7) * salt).cast("int"))
+    """Join whose left side may hold a third of its rows under one key: left rows are dealt, by a hash of their columns
+    (so that a repeated task deals them alike), over `salt` copies of each right row. right has at most one row a key."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salt)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing
+from . import bpe, embed, langid, media, packing, quality, simhash, urlfilter, warc
+from .common import held_out, scratch_path
 
 ORACLES: dict[str, str] = {}
 
@@ -40,4 +41,50 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_bpe": op9_bpe, "op10_media": op10_media}
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    out = warc.read_warc(spark, path)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Fixed values of the contract: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup,
+    "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
+    "op7_langid": op7_langid,
+    "op9_bpe": op9_bpe,
+    "op10_media": op10_media,
+}
