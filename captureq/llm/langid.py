@@ -149,15 +149,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     lang_pred is `und` with score 0 for a null text, one without a letter, or a model that knows no language; rejected
     marks these and texts whose confidence is under the model's bound. Null ids and repeated rows pass through, texts
     of any length are read whole, an empty table gives no rows. With carry, columns of those names are replaced."""
-    extra = ["lang_pred", "score", "rejected"]
-    keep = [c for c in docs.columns if c not in extra] if carry else [id_col]
+    told = ["lang_pred", "score", "rejected"]
+    keep = [c for c in docs.columns if c not in told] if carry else [id_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, rejected boolean"
     names = np.array([*model.langs, "und"], object)
+    at = keep.index(text_col) if carry else len(keep) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letter = np.array(batch.column(len(keep) + 1).to_pylist(), bool)
-            for a, b, col in text_slices(batch, len(keep)):
+            letter = np.array(batch.column(len(keep)).to_pylist(), bool)
+            for a, b, col in text_slices(batch, at):
                 has = letter[a:b] & bool(model.langs)
                 if model.langs:
                     data, offsets = raw_bytes(col)
@@ -167,8 +168,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     best, sure = np.zeros(b - a, int), np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(a, b - a) for k in range(len(keep))] + [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(~has | (sure < model.reject_below))],
-                    names=[*keep, *extra],
+                    names=[*keep, *told],
                 )
 
     text = F.col(text_col)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text.cast("binary").alias("_t"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")).mapInArrow(run, schema)
+    extra = [] if carry else [text.cast("binary").alias("_t")]
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], letter, *extra).mapInArrow(run, schema)

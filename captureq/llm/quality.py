@@ -166,10 +166,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     keep = [c for c in docs.columns if c != "score"] if carry else [id_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
+    text = keep.index(text_col) if carry else 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, col in text_slices(batch, len(keep)):
+            for a, b, col in text_slices(batch, text):
                 data, offsets = raw_bytes(col)
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(len(keep))] + [pa.array(scores(model, data, offsets))], names=[*keep, "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, schema)
+    extra = [] if carry else [F.col(text_col).cast("binary").alias("_t")]
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *extra).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, media, packing, quality, simhash, urlfilter, warc
+from . import bpe, embed, langid, media, packing, quality, repeats, simhash, urlfilter, warc
 from .common import held_out, scratch_path
 
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n, left = (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("text", "kept"))
+    return out.select("doc_id", n.alias("n_bytes"), (n - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -85,6 +91,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_langid": op7_langid,
+    "op8_repeats": op8_repeats,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }

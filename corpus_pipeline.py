@@ -1,25 +1,66 @@
-"""The corpus pipeline: quality, language, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality, language, near duplicates, repeated passages, packing.
+
+Rows of any column set pass; doc_id and text are read by name, n_chars follows a changed text where it is there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from captureq.llm import langid, quality, repeats, simhash
 from captureq.llm import queries as q
+from captureq.llm.common import written
+
+#: Documents whose probability of quality 1 is under this are rejected: well under a half, to keep clean ones.
+REJECT_BELOW = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. Null and empty texts are scored as empty texts."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, carry=True).filter(F.col("score") >= REJECT_BELOW).select(*docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language: a text that is null, has no letter or is under the model's bound goes."""
+    out = langid.predict(docs, langid.train(docs), carry=True)
+    return out.filter(~F.col("rejected")).select(*docs.columns)
+
 
-#: (name, function of (spark, docs, sf_dir)); each works on what the one before it kept.
-STAGES = [("packing", lambda spark, docs, sf_dir: q.packed(docs))]
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id, once. Rows without an id stay: they have no name
+    by which one could be chosen."""
+    groups = simhash.near_duplicates(docs)
+    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
-#: Tokenisers and trained models have no SQL form; tests compare with brute force.
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the byte runs that repeat; characters that a cut leaves incomplete go too."""
+    out = repeats.remove_repeats(docs)
+    left = F.col("kept").cast("string")
+    clean = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)
+    new = {"text": text} | ({"n_chars": F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    return q.packed(docs)
+
+
+#: (name, function of (spark, docs, sf_dir)); each works on all that the one before it kept.
+STAGES = [("quality classifier", keep_quality), ("language ID", keep_language), ("SimHash near-dedup", keep_distinct), ("suffix-array dedup", cut_repeats), ("best-fit packing", pack)]
+
+#: Trained models and tokenisers have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn to the documents table."""
-    from captureq.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
