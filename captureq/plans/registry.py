@@ -2,5 +2,315 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from captureq.functions import digest, text, url
+from captureq.operators import behaviors, events, links, recorder, replay, tasks
+from captureq.plans import sqltext as S
+from captureq.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Limits of the recorded exchanges in these queries.
+MAX_RESPONSE, MAX_TASK, SKIP = 90_000, 150_000, ["video/"]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return recorder.body_budget(tables.exchanges(spark, d), MAX_RESPONSE, MAX_TASK, SKIP)
+
+
+# Archive recording
+
+
+@query(f"WITH RECURSIVE {S.COMPLETE} SELECT * FROM complete")
+def archive_completeness(spark, d):
+    return recorder.completeness(_folded(spark, d))
+
+
+@query(f"WITH RECURSIVE {S.FOLDED} SELECT task_id, seq, url, body_bytes, skip_reason FROM folded")
+def body_budget(spark, d):
+    return _folded(spark, d).select("task_id", "seq", "url", "body_bytes", "skip_reason")
+
+
+@query(f"WITH RECURSIVE {S.FOLDED}, {S.STATS} SELECT * FROM stats")
+def recorder_stats(spark, d):
+    return recorder.recorder_stats(_folded(spark, d))
+
+
+@query(f"""WITH RECURSIVE {S.FOLDED} SELECT task_id, reason, pos, url FROM (SELECT task_id, skip_reason AS reason, url, row_number() OVER (PARTITION BY task_id, skip_reason ORDER BY seq) AS pos
+  FROM folded WHERE skip_reason IS NOT NULL) WHERE pos <= 5""")
+def recorder_samples_top5(spark, d):
+    return recorder.first_samples(_folded(spark, d))
+
+
+@query(f"""WITH {S.EXCHANGES} SELECT task_id, seq, body_bytes + 300 AS length, CAST(sum(body_bytes + 300) OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - body_bytes - 300 AS BIGINT) AS "offset" FROM exchanges""")
+def warc_offsets(spark, d):
+    return recorder.record_offsets(tables.exchanges(spark, d), F.col("body_bytes") + 300)
+
+
+@query(f"""WITH RECURSIVE {S.COMPLETE}, {S.STATS} SELECT s.task_id, 'in archive ' || in_archive || ' (with body ' || total_recorded || ' / without body ' || (in_archive - total_recorded) || ')' ||
+  CASE WHEN in_archive > total_recorded THEN chr(10) || 'body omitted ' || (in_archive - total_recorded) ELSE '' END || CASE WHEN NOT complete THEN chr(10) || 'bodyless ' || bodyless_n ELSE '' END ||
+  chr(10) || 'body ' || CASE WHEN s.total_body_bytes >= 1048576 THEN printf('%.1fMB', s.total_body_bytes / 1048576.0) ELSE CAST(floor(s.total_body_bytes / 1024.0 + 0.5) AS BIGINT) || 'KB' END || chr(10) || 'complete = ' || complete AS report
+  FROM stats s JOIN complete c ON s.task_id = c.task_id""")
+def archive_trace(spark, d):
+    folded = _folded(spark, d)
+    return recorder.trace_lines(recorder.recorder_stats(folded), recorder.completeness(folded))
+
+
+@query(f"WITH {S.EXCHANGES} SELECT task_id, seq, url, (url LIKE 'https://%.example.net/p/1' OR url LIKE '%://h1%.com/%') AS blocked FROM exchanges")
+def block_list(spark, d):
+    e = tables.exchanges(spark, d)
+    return e.select("task_id", "seq", "url", url.matches_any(F.col("url"), ["https://*.example.net/p/1", "*://h1*.com/*", *recorder.BLOCK_GLOBS]).alias("blocked"))
+
+
+@query(f"WITH {S.EXCHANGES} SELECT task_id, seq, mime, (mime LIKE 'video/%' OR mime LIKE 'image/p%') AS skipped FROM exchanges")
+def mime_skip(spark, d):
+    e = tables.exchanges(spark, d)
+    return e.select("task_id", "seq", "mime", recorder.mime_skipped(F.col("mime"), ["video/", "image/p"]).alias("skipped"))
+
+
+_REASONS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in text.RECORDER_REASONS.items())
+_ERRORS = " ".join(f"WHEN {k} THEN ': {v}'" for k, v in text.ERROR_REASONS.items())
+
+
+@query(f"WITH {S.EXCHANGES} SELECT DISTINCT status, coalesce(CASE status {_REASONS} END, 'OK') AS recorded_reason, 'HTTP ' || status || coalesce(CASE status {_ERRORS} END, '') AS error_message FROM exchanges")
+def status_text(spark, d):
+    e = tables.exchanges(spark, d).select("status").distinct()
+    return e.select("status", text.recorder_reason(F.col("status"), F.lit("")).alias("recorded_reason"), text.http_error_message(F.col("status"), F.lit("")).alias("error_message"))
+
+
+@query(f"""WITH {S.EXCHANGES}, x AS (SELECT * FROM exchanges WHERE status IN (200, 304)), r AS (SELECT task_id AS id, url AS key, date AS at FROM exchanges WHERE seq = 1),
+  n AS (SELECT r.id, x.task_id * 100 + x.seq AS ref, abs(epoch_ms(x.date) - epoch_ms(r.at)) AS gap_ms, row_number() OVER (PARTITION BY r.id ORDER BY abs(epoch_ms(x.date) - epoch_ms(r.at)), x.date, x.task_id * 100 + x.seq) AS k FROM r JOIN x ON x.url = r.key)
+  SELECT id, ref, gap_ms FROM n WHERE k = 1
+  UNION ALL SELECT id, NULL, NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.url = r.key)""")
+def replay_nearest(spark, d):
+    e = tables.exchanges(spark, d)
+    asked = e.filter("seq = 1").select(F.col("task_id").alias("id"), F.col("url").alias("key"), F.col("date").alias("at"))
+    index = e.filter(F.col("status").isin(200, 304)).select(F.col("url").alias("key"), F.col("date").alias("at"), (F.col("task_id") * 100 + F.col("seq")).alias("ref"))
+    return replay.nearest(asked, index)
+
+
+# Pages
+
+
+@query(f"SELECT page_id, {S.SURT.format('url')} AS surt FROM pages")
+def surt_keys(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", url.surt(F.col("url")).alias("surt"))
+
+
+@query(f"SELECT page_id, {S.HOST.format('url')} AS host, CASE WHEN {S.REST.format('url')} LIKE '/%' THEN {S.REST.format('url')} ELSE '/' || {S.REST.format('url')} END AS target, list_extract(string_split(url, '/'), -1) AS basename, regexp_matches(url, '^https?://') AS web FROM pages")
+def url_parts(spark, d):
+    u = F.col("url")
+    return tables.table(spark, d, "pages").select("page_id", url.host(u).alias("host"), url.request_target(u).alias("target"), url.basename(u).alias("basename"), url.is_web(u).alias("web"))
+
+
+@query("SELECT page_id, 'sha256:' || sha256(html) AS digest FROM pages")
+def payload_digest_hex(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", digest.sha256_hex(F.col("html")).alias("digest"))
+
+
+@query(f"SELECT page_id, 'sha256:' || {S.BASE32.format('h')} AS digest FROM (SELECT page_id, sha256(html) AS h FROM pages)")
+def payload_digest_b32(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", digest.sha256_base32(F.col("html")).alias("digest"))
+
+
+@query(f"""SELECT page_id, {S.SURT.format('url')} || ' ' || strftime(make_timestamp((1704067200 + page_id * 60) * 1000000), '%Y%m%d%H%M%S') || ' {{"url":"' || url || '","mime":"text/html","status":"200","digest":"sha256:' || {S.BASE32.format('h')} ||
+  '","length":"' || strlen(html) || '","offset":"' || (page_id * 1000) || '","filename":"data.warc.gz"}}' AS line FROM (SELECT *, sha256(html) AS h FROM pages)""")
+def cdxj_lines(spark, d):
+    p = tables.page_times(spark, d)
+    ts = url.cdx_timestamp(F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    line = replay.cdxj_line(F.col("url"), ts, F.lit("text/html"), F.lit(200), digest.sha256_base32(F.col("html")), F.octet_length("html"), F.col("page_id") * 1000, F.lit("data.warc.gz"))
+    return p.select("page_id", line.alias("line"))
+
+
+_TAGS = """tags AS (SELECT page_id, url, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>') AS t FROM pages)),
+raw AS (SELECT page_id, pos, url, regexp_extract(tag, '(?is)^<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS h, regexp_replace(regexp_extract(tag, '(?is)^<a\\s[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g') AS x FROM tags),
+anchors AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN h ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || h END AS href, substr(trim(x), 1, 200) AS text FROM raw)"""
+
+
+@query(f"WITH {_TAGS} SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM anchors")
+def link_extract(spark, d):
+    return links.anchors(tables.table(spark, d, "pages"))
+
+
+@query(f"WITH {_TAGS} SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS n FROM anchors WHERE regexp_matches(href, '^https?://')) WHERE n = 1")
+def link_dedup_first(spark, d):
+    return links.outbound_links(tables.table(spark, d, "pages"))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+def page_titles(spark, d):
+    return links.titles(tables.table(spark, d, "pages"))
+
+
+@query("""SELECT page_id, CASE WHEN len(kept) > 0 THEN stem || '?' || array_to_string(kept, '&') ELSE stem END AS fuzzy_url FROM (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS stem,
+  list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('utm_source', 'ref')) AS kept FROM pages)""")
+def replay_fuzzy(spark, d):
+    return replay.fuzzy_groups(tables.table(spark, d, "pages"), ["utm_source", "ref"])
+
+
+_REGISTRY = [("example.com", 1, "scroll"), ("example.com", 2, "play"), ("example.net", 1, "fetch"), ("www.example.com", 1, "own")]
+
+
+@query(f"""WITH reg(host, ord, behavior) AS (VALUES {", ".join(str(r) for r in _REGISTRY)}), k AS (SELECT page_id, {S.HOST.format('url')} AS h FROM pages),
+  keys AS (SELECT page_id, 0 AS rank, h AS host FROM k UNION ALL SELECT page_id, 1, s FROM (SELECT page_id, h, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS s FROM k) WHERE s <> h)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY rank, ord) AS pos, behavior FROM keys JOIN reg USING (host)""")
+def host_behaviors(spark, d):
+    registry = spark.createDataFrame(_REGISTRY, "host string, ord int, behavior string")
+    return behaviors.host_behaviors(tables.table(spark, d, "pages"), F.broadcast(registry))
+
+
+@query("SELECT page_id, CAST(NULL AS VARCHAR) AS framework, '' AS removed FROM pages")
+def consent_banners(spark, d):
+    return links.consent_banners(tables.table(spark, d, "pages"))
+
+
+# Tasks
+
+
+@query(f"""WITH {S.TASKS}, t AS (SELECT task_id, {S.NAME_ERROR.format("trim(label)")} AS label_error, CASE WHEN correlation_id <> '' THEN {S.NAME_ERROR.format("correlation_id")} END AS correlation_error FROM tasks)
+  SELECT *, label_error IS NULL AND correlation_error IS NULL AS valid FROM t""")
+def task_validation(spark, d):
+    return tasks.validated(tables.tasks(spark, d))
+
+
+@query(f"""WITH {S.TASKS} SELECT task_id, CASE WHEN url = '' THEN 'url is required' WHEN retry_count = 2 THEN 'signing requires captureFormats.wacz' ELSE {S.NAME_ERROR.format("trim(label)")} END AS error, retry_count = 2 AS require_signature FROM tasks""")
+def request_resolution(spark, d):
+    t = tables.tasks(spark, d).withColumns({"labels": F.array("label"), "formats": F.struct(F.lit(True).alias("png"), (F.col("retry_count") == 1).alias("wacz")), "signing": F.col("retry_count") == 2})
+    return tasks.resolve_request(t).select("task_id", "error", "require_signature")
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, task_id || CASE WHEN correlation_id <> '' THEN '_' || correlation_id ELSE '' END || CASE WHEN label <> '' THEN '_' || label ELSE '' END || '.png' AS filename FROM tasks")
+def artifact_filename(spark, d):
+    return tasks.artifact_names(tables.tasks(spark, d), "png")
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, CASE WHEN status = 'success' THEN 'succeeded' WHEN retry_count < 2 THEN 'requeued' ELSE 'failed' END AS outcome, CASE WHEN status <> 'success' AND retry_count < 2 THEN retry_count + 1 ELSE retry_count END AS next_retry FROM tasks")
+def retry_outcome(spark, d):
+    return tasks.retry_outcome(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS}, c AS (SELECT task_id, {S.ERROR_TYPE} AS error_type, CAST(nullif(regexp_extract(message, '(\\d+)\\s*ms\\s+exceeded', 1), '') AS INTEGER) AS timeout_ms FROM tasks) SELECT *, CASE WHEN error_type = 'timeout' THEN 'timeout' ELSE 'failed' END AS status FROM c")
+def error_classify(spark, d):
+    return tasks.classified_errors(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, url, row_number() OVER (PARTITION BY url ORDER BY enqueued_at, task_id) > 1 AS rejected FROM tasks")
+def duplicate_url_reject(spark, d):
+    return tasks.duplicate_urls(tables.tasks(spark, d))
+
+
+@query(f"""WITH {S.TASKS} SELECT task_id, CASE WHEN {S.NAME_ERROR.format("trim(label)")} IS NOT NULL THEN 400 WHEN correlation_id <> '' AND {S.NAME_ERROR.format("correlation_id")} IS NOT NULL THEN 400
+  WHEN row_number() OVER (PARTITION BY url ORDER BY enqueued_at, task_id) > 1 THEN 409 ELSE 202 END AS http_status FROM tasks""")
+def admission(spark, d):
+    return tasks.admission(tables.tasks(spark, d), 3)
+
+
+@query(f"WITH {S.TASKS} SELECT count(*) FILTER (status <> 'success' AND retry_count < 2) AS pending, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success' AND retry_count >= 2) AS failed, count(*) AS total FROM tasks")
+def queue_status(spark, d):
+    return tasks.queue_counts(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, url FROM tasks WHERE status <> 'success' ORDER BY enqueued_at, task_id LIMIT 50")
+def pending_peek(spark, d):
+    return tasks.pending_head(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS}, t AS (SELECT *, status = 'success' AS ok, retry_count >= 2 AS final, {S.ERROR_TYPE} = 'connection' AS lost FROM tasks) SELECT worker_index, count(*) FILTER (ok OR final) AS processed, count(*) FILTER (NOT ok AND (final OR lost)) AS errors FROM t GROUP BY worker_index")
+def worker_counters(spark, d):
+    return tasks.worker_counters(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS} SELECT worker_index, pos, task_id, message FROM (SELECT *, row_number() OVER (PARTITION BY worker_index ORDER BY enqueued_at DESC, task_id DESC) AS pos FROM tasks WHERE status <> 'success') WHERE pos <= 10")
+def worker_error_history(spark, d):
+    return tasks.error_history(tables.tasks(spark, d))
+
+
+@query(f"WITH {S.TASKS} SELECT url, min(task_id) AS first_seq, arg_max(status, task_id) AS status FROM tasks GROUP BY url ORDER BY first_seq DESC, url LIMIT 1000")
+def result_cache(spark, d):
+    return tasks.result_cache(tables.tasks(spark, d), "url", "task_id", "status", 1000)
+
+
+@query("WITH q AS (SELECT DISTINCT l_orderkey AS task_id FROM lineitem) SELECT task_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey = task_id AND o_orderstatus = 'F') THEN 200 WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey = task_id) THEN 202 ELSE 404 END AS http_status FROM q")
+def capture_lookup(spark, d):
+    t = tables.tasks(spark, d)
+    asked = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id")).distinct()
+    return tasks.lookups(asked, t.filter("status = 'success'"), t)
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, greatest(0, epoch_ms(TIMESTAMP '1996-01-01 00:00:00') - epoch_ms(enqueued_at)) AS age_ms FROM tasks")
+def task_ages(spark, d):
+    return tasks.ages(tables.tasks(spark, d), "1996-01-01 00:00:00")
+
+
+@query("SELECT range AS attempt, CAST(least(60000, 1000 * pow(2, range)) AS BIGINT) AS delay_ms FROM range(0, 20)")
+def backoff_schedule(spark, d):
+    return tasks.backoff(spark.range(20), F.col("id"), 1000, 60_000)
+
+
+@query(f"""WITH {S.TASKS} SELECT task_id, '{{"taskId":"' || task_id || '"' || CASE WHEN correlation_id <> '' THEN ',"correlationId":"' || correlation_id || '"' ELSE '' END || ',"labels":["' || label || '"],"url":"' || url || '","status":"' || status || '"}}' AS report FROM tasks""")
+def report_json(spark, d):
+    return tasks.report_json(tables.tasks(spark, d))
+
+
+# Events
+
+
+@query(f"WITH {S.PAIRED} SELECT * FROM paired")
+def exchange_pairing(spark, d):
+    return events.paired_exchanges(tables.net_events(spark, d))
+
+
+@query(f"WITH {S.PAIRED} SELECT outcome, count(*) AS n, CAST(sum(encoded_length) AS BIGINT) AS encoded FROM paired GROUP BY outcome")
+def exchange_outcomes(spark, d):
+    return events.paired_exchanges(tables.net_events(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("encoded_length").alias("encoded"))
+
+
+@query(f"WITH {S.EVENTS} SELECT request_id, seq, hop FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seq) AS hop FROM ev WHERE kind IN ('requestWillBeSent', 'redirect')) WHERE kind = 'redirect'")
+def redirect_chain(spark, d):
+    from pyspark.sql import Window
+
+    hops = tables.net_events(spark, d).filter(F.col("kind").isin(*events.OPENING)).withColumn("hop", F.row_number().over(Window.partitionBy("request_id").orderBy("seq")).cast("long"))
+    return hops.filter("kind = 'redirect'").select("request_id", "seq", "hop")
+
+
+@query(f"WITH {S.EVENTS}, h AS (SELECT *, kind <> 'loadingFailed' AS healthy FROM ev) SELECT request_id, seq, healthy FROM (SELECT *, lag(healthy) OVER w AS prev, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY request_id ORDER BY seq)) WHERE n = 1 OR healthy IS DISTINCT FROM prev")
+def health_flips(spark, d):
+    return events.flips(tables.net_events(spark, d).withColumn("healthy", F.col("kind") != "loadingFailed"), "request_id", "seq", "healthy")
+
+
+@query("""WITH a AS (SELECT user_id AS member, bool_or(event_type = 'purchase') AS busy FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT DISTINCT user_id AS member FROM events WHERE event_id % 3 = 0)
+  SELECT coalesce(a.member, b.member) AS member, CASE WHEN a.member IS NOT NULL AND b.member IS NOT NULL THEN 'survives' WHEN b.member IS NOT NULL THEN 'added' WHEN busy THEN 'draining' ELSE 'retired' END AS fate FROM a FULL JOIN b ON a.member = b.member""")
+def membership_diff(spark, d):
+    e = tables.table(spark, d, "events").withColumnRenamed("user_id", "member")
+    now = e.filter("event_id % 2 = 0").groupBy("member").agg(F.max(F.col("event_type") == "purchase").alias("busy"))
+    return events.membership(now, e.filter("event_id % 3 = 0"), "member", "busy")
+
+
+@query(f"WITH {S.EVENTS}, r AS (SELECT request_id AS run, seq, encoded_length AS ms, CAST(coalesce(sum(encoded_length) OVER (PARTITION BY request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM ev) SELECT *, spent_before < 300000 AS ran FROM r")
+def behavior_cutoff(spark, d):
+    e = tables.net_events(spark, d).select(F.col("request_id").alias("run"), "seq", F.col("encoded_length").alias("ms"))
+    return behaviors.deadline_cut(e, 300_000)
+
+
+_AREAS = [("warc", "response", "full"), ("warc", "revisit", "unused"), ("warc", "warcinfo", "full"), ("cdxj", "line", "full"), ("cdxj", "zipnum", "unused"), ("pages", "title", "partial"), ("pages", "note", "outside")]
+
+
+@query(f"SELECT area, count(*) FILTER (state = 'full') AS supported, count(*) FILTER (state <> 'outside') AS total FROM (VALUES {', '.join(map(str, _AREAS))}) t(area, item, state) GROUP BY area")
+def spec_coverage(spark, d):
+    t = spark.createDataFrame(_AREAS, "area string, item string, state string")
+    return t.groupBy("area").agg(F.count_if(F.col("state") == "full").alias("supported"), F.count_if(F.col("state") != "outside").alias("total"))
