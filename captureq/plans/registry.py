@@ -314,3 +314,35 @@ _AREAS = [("warc", "response", "full"), ("warc", "revisit", "unused"), ("warc",
 def spec_coverage(spark, d):
     t = spark.createDataFrame(_AREAS, "area string, item string, state string")
     return t.groupBy("area").agg(F.count_if(F.col("state") == "full").alias("supported"), F.count_if(F.col("state") != "outside").alias("total"))
+
+
+# Archives
+
+
+@query("SELECT page_id, url, sha256(html) AS payload_sha256 FROM pages")
+def warc_roundtrip(spark, d):
+    from captureq.sources import archive
+
+    out = archive.read_warcs(archive.page_packages(tables.page_times(spark, d)))
+    return out.select("page_id", "url", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query("SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(200 AS INTEGER) AS status, sha256(html) AS payload_sha256 FROM pages")
+def wacz_roundtrip(spark, d):
+    from captureq.sources import archive
+
+    out = archive.read_packages(archive.page_packages(tables.page_times(spark, d)))
+    return out.select("page_id", "url", "title", "status", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+_FOLD_EVENTS = f"""WITH {S.PAIRED}, o AS (SELECT *, lead(opened_at) OVER (PARTITION BY request_id ORDER BY round) AS next_at FROM paired)
+  SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN outcome = 'redirected' THEN 'recorded' WHEN outcome IN ('recorded', 'no-response', 'failed', 'incomplete') THEN outcome END AS outcome FROM o) WHERE outcome IS NOT NULL GROUP BY outcome"""
+
+
+@query(_FOLD_EVENTS)
+def exchange_fold(spark, d):
+    from captureq.streaming import exchanges
+
+    e = tables.net_events(spark, d)
+    rows = e.select((F.col("request_id") % 8).alias("task_id"), "seq", "kind", F.col("request_id").cast("string").alias("request_id"), F.concat(F.lit("https://h.example/"), F.col("request_id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("mime"), F.lit(0).cast("long").alias("encoded_length"), F.lit(0).cast("long").alias("body_bytes"))
+    return exchanges.assemble(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
