@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 #: A space with white space before it and white space or the end after it: cutting there could split one match.
 _RUN = re.compile(r"\s \s|\s \Z")
 #: Entries that one worker's cache holds at most, and the longest unit that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 100
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 100
 
 
 class UnitCache:
