@@ -173,5 +173,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     text = F.col(text_col)
     extra = [] if carry else [text.cast("binary").alias("_t")]
-    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_captureq_letter")
     return docs.select(*[F.col(f"`{c}`") for c in keep], letter, *extra).mapInArrow(run, schema)
