@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, embed, langid, media, packing, quality, repeats, simhash, urlfilter, warc
 from .common import held_out, scratch_path
-
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES  # noqa: F401  read by the driver entry
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
