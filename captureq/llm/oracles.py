@@ -41,7 +41,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 FROM own LEFT JOIN alias ON n = regexp_replace(url, '#.*$', '')"""
 
 OP8 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+part AS (SELECT r, n, 500 * c AS z, substr(h, 1000 * c + 1, 1800) AS s FROM (SELECT r, n, h, unnest(range(0, (n - 400) // 500 + 1)) AS c FROM d WHERE n >= 400)),
+w AS (SELECT r, z + i AS i, md5(substr(s, 2 * i + 1, 800)) AS k FROM (SELECT r, z, s, unnest(range(0, least(500, n - 399 - z))) AS i FROM part)),
 rep AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 isle AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM rep)),
 span AS (SELECT r, g, min(i) AS a, max(i) + 400 AS b FROM isle GROUP BY r, g),
