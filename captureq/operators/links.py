@@ -83,3 +83,47 @@ def consent_banners(pages: DataFrame, excluded: list[str] | None = None, custom:
     hits = F.filter(F.array(*[F.when(F.col("html").rlike(_selector_regex(s)), F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"))) for f, s in entries]), lambda x: x.isNotNull())
     told = pages.select("page_id", hits.alias("h"))
     return told.select("page_id", F.get("h", F.lit(0))["f"].alias("framework"), F.array_join(F.transform("h", lambda x: x["s"]), " ").alias("removed"))
+
+
+def media_urls(pages: DataFrame) -> DataFrame:
+    """page_id, pos, urls: for each video or audio element its src, poster and its sources, absolute, each once."""
+    elements = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:video|audio)\b[^>]*>.*?</(?:video|audio)>)"), 1)).alias("pos", "tag"))
+    head = F.regexp_extract("tag", r"(?is)^(<[^>]*>)", 1)
+    own = [F.regexp_extract_all(head, F.lit(rf"""(?is)\s{a}\s*=\s*["']([^"']+)["']"""), 1) for a in ("src", "poster")]
+    inner = F.regexp_extract_all("tag", F.lit(r"""(?is)<source\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""), 1)
+    return elements.select("page_id", F.col("pos").cast("long").alias("pos"), F.array_distinct(F.transform(F.concat(*own, inner), lambda u: absolute(u, F.col("base")))).alias("urls"))
+
+
+def image_urls(html: Column, host_token: str) -> Column:
+    """Image urls anywhere in the text whose host part holds the token, each once."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)(https?://[^\s"'<>()\\]+\.(?:jpe?g|png|webp|gif|avif))"""), 1)
+    return F.array_distinct(F.filter(found, lambda u: F.lower(u).contains(host_token)))
+
+
+def size_siblings(urls: Column) -> Column:
+    """Each url and its half and double size variants, where it has a size."""
+    from captureq.functions.text import scale_dims
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(urls, lambda u: F.array(u, scale_dims(u, 2.0), scale_dims(u, 0.5)))), lambda u: u.isNotNull()))
+
+
+def never_requested(candidates: DataFrame, requested: DataFrame, most: int = 2000) -> DataFrame:
+    """Candidate counts of each page and those that no request named, the first `most` of them in order.
+
+    candidates: page_id, candidates array; requested: page_id, url."""
+    seen = requested.groupBy("page_id").agg(F.collect_set("url").alias("seen"))
+    left = F.array_except("candidates", F.coalesce("seen", F.array().cast("array<string>")))
+    out = candidates.join(seen, "page_id", "left").select("page_id", F.size("candidates").alias("candidates"), left.alias("left"))
+    return out.select("page_id", "candidates", F.size("left").alias("never_requested"), F.slice("left", 1, most).alias("fetch"))
+
+
+def overlays(elements: DataFrame, min_z: int, min_ratio: float) -> DataFrame:
+    """Elements that cover a page: fixed or sticky, high enough, large enough, outside landmarks and not inside another
+    one (page_id, path, position, z, area, viewport_area, landmark). A path names its ancestors before it."""
+    hit = elements.filter(F.col("position").isin("fixed", "sticky") & (F.col("z") >= min_z) & (F.col("viewport_area") > 0) & (F.col("area") / F.nullif("viewport_area", F.lit(0)) >= min_ratio) & ~F.col("landmark"))
+    paths = hit.groupBy("page_id").agg(F.collect_list("path").alias("all"))
+    return hit.join(paths, "page_id").filter(~F.exists("all", lambda p: F.col("path").startswith(F.concat(p, F.lit("/"))))).drop("all")
+
+
+def pem_blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?s)(-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----)"), 1)

@@ -346,3 +346,84 @@ def exchange_fold(spark, d):
     e = tables.net_events(spark, d)
     rows = e.select((F.col("request_id") % 8).alias("task_id"), "seq", "kind", F.col("request_id").cast("string").alias("request_id"), F.concat(F.lit("https://h.example/"), F.col("request_id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("mime"), F.lit(0).cast("long").alias("encoded_length"), F.lit(0).cast("long").alias("body_bytes"))
     return exchanges.assemble(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Workers and requests
+
+from captureq.operators import requests, workers  # noqa: E402
+
+
+@query(f"""WITH {S.EVENTS}, s AS (SELECT request_id, seq, CASE kind WHEN 'requestWillBeSent' THEN 'processing' WHEN 'responseReceived' THEN 'idle' WHEN 'loadingFailed' THEN 'error' WHEN 'redirect' THEN 'connecting' ELSE 'disconnected' END AS state FROM ev),
+  l AS (SELECT request_id, arg_max(state, seq) AS state, count(*) AS events FROM s GROUP BY request_id)
+  SELECT request_id, state, events, CASE state WHEN 'processing' THEN 'busy' WHEN 'idle' THEN 'ready' WHEN 'error' THEN 'error' WHEN 'connecting' THEN 'error' ELSE 'disconnected' END AS health, state IN ('processing', 'idle', 'error') AS settled FROM l""")
+def worker_health(spark, d):
+    kind = F.col("kind")
+    state = F.when(kind == "requestWillBeSent", "processing").when(kind == "responseReceived", "idle").when(kind == "loadingFailed", "error").when(kind == "redirect", "connecting").otherwise("disconnected")
+    last = workers.last_states(tables.net_events(spark, d).withColumn("state", state), "request_id", "seq", "state")
+    return last.withColumns({"health": workers.health(F.col("state")), "settled": workers.settled(F.col("state"))})
+
+
+@query(f"""WITH {S.EVENTS}, w AS (SELECT request_id, seq * 10 AS start_ms, seq * 10 + encoded_length % 5000 AS end_ms FROM ev),
+  r AS (SELECT *, coalesce(max(end_ms) OVER (PARTITION BY request_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ms) AS reach FROM w)
+  SELECT request_id, CAST(sum(greatest(0, end_ms - greatest(reach, start_ms))) AS BIGINT) AS paced_ms FROM r GROUP BY request_id""")
+def paced_time(spark, d):
+    w = tables.net_events(spark, d).select("request_id", (F.col("seq") * 10).alias("start_ms"), (F.col("seq") * 10 + F.col("encoded_length") % 5000).alias("end_ms"))
+    return workers.paced_ms(w, "request_id")
+
+
+@query(f"""WITH {S.TASKS}, o AS (SELECT task_id, worker_index AS op, task_id % 20000 AS elapsed_ms, task_id % 7000 AS injected_ms FROM tasks)
+  SELECT task_id, op, elapsed_ms - injected_ms > 10000 AS op_timeout, sum(elapsed_ms) OVER (PARTITION BY task_id) > 15000 AS task_timeout FROM o""")
+def deadlines(spark, d):
+    o = tables.tasks(spark, d).select("task_id", F.col("worker_index").alias("op"), (F.col("task_id") % 20000).alias("elapsed_ms"), (F.col("task_id") % 7000).alias("injected_ms"))
+    return workers.over_deadline(o, 10_000, 15_000)
+
+
+@query(f"WITH {S.EVENTS}, p AS (SELECT request_id AS run, row_number() OVER (PARTITION BY request_id ORDER BY seq) AS step, encoded_length % 3 AS y FROM ev), s AS (SELECT *, y = lag(y) OVER (PARTITION BY run ORDER BY step) AS same FROM p WHERE step <= 20) SELECT run, min(CASE WHEN same THEN step END) IS NOT NULL AS reached_bottom, coalesce(min(CASE WHEN same THEN step END), 20) AS steps FROM s GROUP BY run")
+def scroll_coverage(spark, d):
+    from pyspark.sql import Window
+
+    e = tables.net_events(spark, d)
+    step = F.row_number().over(Window.partitionBy("request_id").orderBy("seq")).cast("long")
+    return workers.scroll_steps(e.select(F.col("request_id").alias("run"), step.alias("step"), (F.col("encoded_length") % 3).alias("y")), "run", 20)
+
+
+@query(f"WITH RECURSIVE {S.COMPLETE} SELECT task_id, CASE WHEN complete THEN 'info' ELSE 'warn' END AS level, CASE WHEN NOT complete THEN bodyless_n END AS bodyless, CASE WHEN NOT complete THEN array_to_string(list_slice(string_split(bodyless_urls, ' '), 1, 5), ' ') END AS sample FROM complete")
+def completeness_log(spark, d):
+    return workers.completeness_log(recorder.completeness(_folded(spark, d)))
+
+
+@query(f"WITH {S.TASKS} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS accepted, count(*) FILTER (status <> 'success') AS rejected, max(task_id % 977) AS duration_ms FROM tasks")
+def submit_summary(spark, d):
+    return requests.submit_summary(tables.tasks(spark, d).select((F.col("status") == "success").alias("accepted"), (F.col("task_id") % 977).alias("ms")))
+
+
+@query(f"WITH {S.TASKS}, b AS (SELECT worker_index AS index, arg_max(CASE WHEN status = 'success' THEN 'idle' ELSE 'error' END, task_id) AS state FROM tasks GROUP BY worker_index) SELECT (SELECT count(*) FROM tasks WHERE status <> 'success') AS queued, (SELECT max(greatest(0, epoch_ms(TIMESTAMP '1999-01-01 00:00:00') - epoch_ms(enqueued_at))) FROM tasks WHERE status <> 'success') AS oldest_ms, count(*) FILTER (state = 'idle') AS operational, bool_and(state = 'idle') AS all_healthy FROM b")
+def status_snapshot(spark, d):
+    t = tables.tasks(spark, d)
+    state = F.when(F.col("status") == "success", "idle").otherwise("error")
+    w = t.withColumn("state", state).groupBy(F.col("worker_index").alias("index")).agg(F.max_by("state", "task_id").alias("state"), F.max_by("message", "task_id").alias("last_error"))
+    return workers.status_snapshot(t, w, "1999-01-01 00:00:00")
+
+
+@query(f"""WITH {_TAGS}, c AS (SELECT page_id, href FROM anchors), seen AS (SELECT page_id, href FROM c WHERE strlen(href) % 3 = 0)
+  SELECT page_id, count(DISTINCT href) AS candidates, count(DISTINCT href) FILTER (strlen(href) % 3 <> 0) AS never_requested FROM c GROUP BY page_id""")
+def autofetch_candidates(spark, d):
+    a = links.anchors(tables.table(spark, d, "pages"))
+    c = a.groupBy("page_id").agg(F.collect_set("href").alias("candidates"))
+    out = links.never_requested(c, a.filter(F.octet_length("href") % 3 == 0).select("page_id", F.col("href").alias("url")))
+    return out.select("page_id", F.col("candidates").cast("long").alias("candidates"), F.col("never_requested").cast("long").alias("never_requested"))
+
+
+@query(f"WITH {S.TASKS}, a AS (SELECT DISTINCT url FROM tasks WHERE task_id % 2 = 0), b AS (SELECT DISTINCT url FROM tasks WHERE task_id % 3 = 0) SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NOT NULL THEN 'claimed' ELSE 'emitted' END AS side FROM a FULL JOIN b ON a.url = b.url WHERE a.url IS NULL OR b.url IS NULL")
+def set_differences(spark, d):
+    t = tables.tasks(spark, d)
+    return requests.set_difference(t.filter("task_id % 2 = 0"), t.filter("task_id % 3 = 0"), "url")
+
+
+@query()
+def behavior_runs(spark, d):
+    from captureq.streaming import behaviors as run
+
+    run.register(spark)
+    tables.table(spark, d, "pages").createOrReplaceTempView("_captureq_pages")
+    return spark.sql("SELECT p.page_id, r.* FROM _captureq_pages p, LATERAL run_behaviors(p.html, 'autoscroll,autofetch,none', '{\"autoscroll\": {\"maxSteps\": 3}}') r")
