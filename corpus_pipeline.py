@@ -11,8 +11,8 @@ from captureq.llm import langid, quality, repeats, simhash
 from captureq.llm import queries as q
 from captureq.llm.common import written
 
-#: Documents whose probability of quality 1 is under this are rejected: well under a half, to keep clean ones.
-REJECT_BELOW = 0.3
+#: Documents whose probability of quality 1 is under this are rejected: somewhat under a half, to keep clean ones.
+REJECT_BELOW = 0.4
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
