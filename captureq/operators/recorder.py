@@ -28,21 +28,22 @@ def body_budget(exchanges: DataFrame, max_response: int, max_task: int, skip: Se
     A task's exchanges are folded in seq order: a body that does not fit is dropped without using the budget, so later
     smaller ones may fit; at a full budget everything drops. Cap reasons overwrite a content-type reason. The fold is
     sequential by nature, so one task's exchanges meet in one place, as slim structs."""
-    reason = F.when(mime_skipped(F.col("mime"), skip), "content-type")
-    rows = exchanges.withColumn("_pre", reason)
-    items = F.array_sort(F.collect_list(F.struct("seq", "_pre", "declared_bytes", "body_bytes")))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<seq:long,reason:string>>").alias("out"))
+    rest = [c for c in exchanges.columns if c not in ("task_id", "seq")]
+    skipped = F.when(mime_skipped(F.col("mime"), skip), "content-type")
+    items = F.array_sort(F.collect_list(F.struct("seq", *rest, skipped.alias("_pre"))))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         total = acc["total"]
         before = F.when(total >= max_task, "task-cap").when(x["declared_bytes"] > max_response, "too-large").otherwise(x["_pre"])
         after = F.when(before.isNotNull(), before).when(x["body_bytes"] > max_response, "too-large").when(total + x["body_bytes"] > max_task, "task-cap")
         stored = F.when(after.isNull(), x["body_bytes"]).otherwise(F.lit(0).cast("long"))
-        return F.struct((total + stored).alias("total"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), after.alias("reason")))).alias("out"))
+        return F.struct((total + stored).alias("total"), F.concat(acc["out"], F.array(after)).alias("out"))
 
-    told = rows.groupBy("task_id").agg(F.aggregate(items, start, step)["out"].alias("o"))
-    told = told.select("task_id", F.explode("o").alias("o")).select("task_id", "o.seq", F.col("o.reason").alias("skip_reason"))
-    return exchanges.join(told, ["task_id", "seq"])
+    # The rows travel with the fold, so nothing is joined back, and what follows by task needs no further shuffle.
+    told = exchanges.groupBy("task_id").agg(items.alias("x")).select("task_id", "x", F.aggregate("x", start, step)["out"].alias("r"))
+    each = told.select("task_id", F.explode(F.arrays_zip("x", "r")).alias("z"))
+    return each.select("task_id", "z.x.seq", *[f"z.x.{c}" for c in rest], F.col("z.r").alias("skip_reason"))
 
 
 def recorder_stats(folded: DataFrame) -> DataFrame:

@@ -12,17 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task_id, seq, url, status, mime, date, body_bytes, declared_bytes: one row per recorded network exchange."""
-    li = table(spark, sf_dir, "lineitem")
+    # Renamed before the window, so that what groups by task_id finds the rows already dealt by it.
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "task_id")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
+    seq = F.row_number().over(Window.partitionBy("task_id").orderBy(*order))
     digit = F.floor("l_quantity") % 10
     status = F.when(digit == 0, 304).when(digit == 1, 302).when(digit == 2, 204).when(digit == 3, 404).otherwise(200)
-    url = F.concat(F.lit("https://h"), (F.col("l_orderkey") % 97).cast("string"), F.lit(".example."), F.when(F.col("l_linestatus") == "F", "com").otherwise("net"), F.lit("/p/"), (F.col("l_partkey") % 5).cast("string"))
+    url = F.concat(F.lit("https://h"), (F.col("task_id") % 97).cast("string"), F.lit(".example."), F.when(F.col("l_linestatus") == "F", "com").otherwise("net"), F.lit("/p/"), (F.col("l_partkey") % 5).cast("string"))
     mime = F.when(F.col("l_returnflag") == "A", "text/html").when(F.col("l_returnflag") == "N", "image/png").otherwise("video/mp4")
     empty = status.isin(204, 302, 304)
     price = F.col("l_extendedprice")
     return li.select(
-        F.col("l_orderkey").alias("task_id"), seq.cast("long").alias("seq"), url.alias("url"), status.cast("int").alias("status"), mime.alias("mime"), F.col("l_shipdate").alias("date"),
+        "task_id", seq.cast("long").alias("seq"), url.alias("url"), status.cast("int").alias("status"), mime.alias("mime"), F.col("l_shipdate").alias("date"),
         F.when(empty, F.lit(0)).otherwise(F.floor(price)).cast("long").alias("body_bytes"), F.when(empty, F.lit(0)).otherwise(F.floor(price * (1 - F.col("l_discount")))).cast("long").alias("declared_bytes"),
     )
 
