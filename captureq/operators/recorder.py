@@ -46,15 +46,18 @@ def body_budget(exchanges: DataFrame, max_response: int, max_task: int, skip: Se
     return each.select("task_id", "z.x.seq", *[f"z.x.{c}" for c in rest], F.col("z.r").alias("skip_reason"))
 
 
+_COUNTED = {"total_recorded": None, "skipped_content_type": "content-type", "truncated_too_large": "too-large", "truncated_task_cap": "task-cap"}
+
+
+def _counters() -> list[Column]:
+    r = F.col("skip_reason")
+    counts = [F.count_if(r.isNull() if kind is None else F.coalesce(r == kind, F.lit(False))).alias(name) for name, kind in _COUNTED.items()]
+    return [*counts, F.sum(F.when(r.isNull(), F.col("body_bytes")).otherwise(0)).alias("total_body_bytes"), F.count(F.lit(1)).alias("in_archive")]
+
+
 def recorder_stats(folded: DataFrame) -> DataFrame:
     """Counts by outcome, stored bytes, and what is in the archive."""
-    r = F.col("skip_reason")
-    n = lambda c: F.count_if(c)
-    out = folded.groupBy("task_id").agg(
-        n(r.isNull()).alias("total_recorded"), n(r == "content-type").alias("skipped_content_type"), n(r == "too-large").alias("truncated_too_large"), n(r == "task-cap").alias("truncated_task_cap"),
-        F.sum(F.when(r.isNull(), F.col("body_bytes")).otherwise(0)).alias("total_body_bytes"),
-    )
-    return out.withColumn("in_archive", F.expr("total_recorded + skipped_content_type + truncated_too_large + truncated_task_cap"))
+    return folded.groupBy("task_id").agg(*_counters())
 
 
 def first_samples(folded: DataFrame, most: int = 5) -> DataFrame:
@@ -69,22 +72,25 @@ def record_offsets(records: DataFrame, length: Column) -> DataFrame:
     return records.select("task_id", "seq", length.cast("long").alias("length")).withColumn("offset", F.sum("length").over(upto) - F.col("length"))
 
 
-def completeness(folded: DataFrame) -> DataFrame:
-    """Per task: urls seen only as 304, urls cut by a cap, whether neither exists, and stored bytes.
-
-    Two aggregations, both with partial sums: by url, then by task."""
+def task_report(folded: DataFrame) -> DataFrame:
+    """recorder_stats and completeness of each task in one pass: aggregated by url, then by task."""
     cap = F.col("skip_reason").isin("too-large", "task-cap")
     by_url = folded.groupBy("task_id", "url").agg(
-        (F.max((F.col("status") == 304).cast("int")) > F.max((F.col("status") == 200).cast("int"))).alias("bodyless"), (F.max(F.coalesce(cap, F.lit(False)).cast("int")) == 1).alias("truncated"),
-        F.sum(F.when(F.col("skip_reason").isNull(), F.col("body_bytes")).otherwise(0)).alias("bytes"),
-    )
+        (F.max((F.col("status") == 304).cast("int")) > F.max((F.col("status") == 200).cast("int"))).alias("bodyless"), (F.max(F.coalesce(cap, F.lit(False)).cast("int")) == 1).alias("truncated"), *_counters()
+    )
     urls = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("url")))), " ")
-    out = by_url.groupBy("task_id").agg(F.count_if("bodyless").alias("bodyless_n"), F.count_if("truncated").alias("truncated_n"), urls("bodyless").alias("bodyless_urls"), urls("truncated").alias("truncated_urls"), F.sum("bytes").alias("total_body_bytes"))
+    sums = [F.sum(c).alias(c) for c in (*_COUNTED, "total_body_bytes", "in_archive")]
+    out = by_url.groupBy("task_id").agg(F.count_if("bodyless").alias("bodyless_n"), F.count_if("truncated").alias("truncated_n"), urls("bodyless").alias("bodyless_urls"), urls("truncated").alias("truncated_urls"), *sums)
     return out.withColumn("complete", (F.col("bodyless_n") == 0) & (F.col("truncated_n") == 0))
 
 
-def trace_lines(stats: DataFrame, complete: DataFrame) -> DataFrame:
-    """The ordered report lines of a task's archive."""
+def completeness(folded: DataFrame) -> DataFrame:
+    """Per task: urls seen only as 304, urls cut by a cap, whether neither exists, and stored bytes."""
+    return task_report(folded).select("task_id", "bodyless_n", "truncated_n", "bodyless_urls", "truncated_urls", "total_body_bytes", "complete")
+
+
+def trace_lines(report: DataFrame) -> DataFrame:
+    """The ordered lines of each task's archive report (rows of task_report)."""
     from captureq.functions.text import human_bytes
 
     omitted = F.expr("skipped_content_type + truncated_too_large + truncated_task_cap")
@@ -96,5 +102,4 @@ def trace_lines(stats: DataFrame, complete: DataFrame) -> DataFrame:
         F.concat(F.lit("body "), human_bytes(F.col("total_body_bytes"))),
         F.concat(F.lit("complete = "), s("complete")),
     )
-    joined = stats.join(complete.drop("total_body_bytes"), "task_id")
-    return joined.select("task_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("report"))
+    return report.select("task_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("report"))

@@ -31,10 +31,13 @@ def resolve_request(requests: DataFrame, signing_policy: str = "allowed") -> Dat
     return requests.withColumns({"error": error, "url": url, "labels": labels, "require_signature": sign})
 
 
+def _name_errors() -> list[Column]:
+    return [labels_error(F.array("label")).alias("label_error"), F.when(F.col("correlation_id") != "", name_error(F.col("correlation_id"))).alias("correlation_error")]
+
+
 def validated(tasks: DataFrame) -> DataFrame:
     """task_id, label_error, correlation_error, valid."""
-    out = tasks.select("task_id", labels_error(F.array("label")).alias("label_error"), F.when(F.col("correlation_id") != "", name_error(F.col("correlation_id"))).alias("correlation_error"))
-    return out.withColumn("valid", F.col("label_error").isNull() & F.col("correlation_error").isNull())
+    return tasks.select("task_id", *_name_errors()).withColumn("valid", F.col("label_error").isNull() & F.col("correlation_error").isNull())
 
 
 def artifact_names(tasks: DataFrame, extension: str) -> DataFrame:
@@ -55,16 +58,20 @@ def classified_errors(tasks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("error_type") == "timeout", "timeout").otherwise("failed"))
 
 
+def _repeats_url() -> Column:
+    return F.row_number().over(Window.partitionBy("url").orderBy("enqueued_at", "task_id")) > 1
+
+
 def duplicate_urls(tasks: DataFrame) -> DataFrame:
     """Tasks whose exact url an earlier one (in queue order) already holds."""
-    order = Window.partitionBy("url").orderBy("enqueued_at", "task_id")
-    return tasks.withColumn("n", F.row_number().over(order)).select("task_id", "url", (F.col("n") > 1).alias("rejected"))
+    return tasks.select("task_id", "url", _repeats_url().alias("rejected"))
 
 
 def admission(tasks: DataFrame, operational_workers: int) -> DataFrame:
     """HTTP status of each submission: 400 invalid, 503 no workers, 409 duplicate, 202 accepted, in that order."""
-    told = validated(tasks).join(duplicate_urls(tasks).select("task_id", "rejected"), "task_id")
-    return told.select("task_id", F.when(~F.col("valid"), 400).when(F.lit(operational_workers == 0), 503).when(F.col("rejected"), 409).otherwise(202).alias("http_status"))
+    told = tasks.select("task_id", *_name_errors(), _repeats_url().alias("rejected"))
+    bad = F.col("label_error").isNotNull() | F.col("correlation_error").isNotNull()
+    return told.select("task_id", F.when(bad, 400).when(F.lit(operational_workers == 0), 503).when(F.col("rejected"), 409).otherwise(202).alias("http_status"))
 
 
 def queue_counts(tasks: DataFrame, max_retry: int = 2) -> DataFrame:

@@ -67,8 +67,7 @@ def warc_offsets(spark, d):
   chr(10) || 'body ' || CASE WHEN s.total_body_bytes >= 1048576 THEN printf('%.1fMB', s.total_body_bytes / 1048576.0) ELSE CAST(floor(s.total_body_bytes / 1024.0 + 0.5) AS BIGINT) || 'KB' END || chr(10) || 'complete = ' || complete AS report
   FROM stats s JOIN complete c ON s.task_id = c.task_id""")
 def archive_trace(spark, d):
-    folded = _folded(spark, d)
-    return recorder.trace_lines(recorder.recorder_stats(folded), recorder.completeness(folded))
+    return recorder.trace_lines(recorder.task_report(_folded(spark, d)))
 
 
 @query(f"WITH {S.EXCHANGES} SELECT task_id, seq, url, (url LIKE 'https://%.example.net/p/1' OR url LIKE '%://h1%.com/%') AS blocked FROM exchanges")
