@@ -21,8 +21,8 @@ from .common import raw_bytes, salted_join, text_slices, written
 
 #: Bytes of an anchor's core; segments in one transform; segments of a core from which it is cut into classes.
 CORE, TOGETHER, HOT = 160, 400, 4096
-#: Bits of the maps that spare texts a shuffle (1 MB; where a map is full it spares nothing and stays right).
-MAP_BITS = 1 << 23
+#: Bits of the maps that spare texts a shuffle (128 KB, as they stand in the plan; a full map spares nothing and stays right).
+MAP_BITS = 1 << 20
 
 
 def _may_hold(ids: DataFrame, column: str) -> Callable[[Column], Column]:
