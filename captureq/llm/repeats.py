@@ -21,6 +21,8 @@ from .common import raw_bytes, salted_join, text_slices, written
 
 #: Bytes of an anchor's core; segments in one transform; segments of a core from which it is cut into classes.
 CORE, TOGETHER, HOT = 160, 400, 4096
+#: Bytes of text that are hashed at once (some hundred bytes of memory each), and cores that count as frequent.
+PIECE, FREQUENT = 1 << 20, 1000
 #: Bits of the maps that spare texts a shuffle (128 KB, as they stand in the plan; a full map spares nothing and stays right).
 MAP_BITS = 1 << 20
 
@@ -49,8 +51,8 @@ def _segments(rows: DataFrame, length: int, core: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             r1, r2 = (batch.column(k).to_numpy() for k in (0, 1))
-            for a, _, col in text_slices(batch, 2, 4 << 20):
-                got = text_segments(*raw_bytes(col), length, core)
+            for a, _, col in text_slices(batch, 2, PIECE):
+                got = text_segments(*raw_bytes(col), length, core, PIECE)
                 row = got["row"] + a
                 at = (got["start"] << 32) | (got["span"] << 16) | got["lead"]
                 for k in range(0, len(row), 100_000):
@@ -130,7 +132,9 @@ def _repeated_parts(cut: DataFrame, length: int, width: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return shard.repartition("key", "shard").sortWithinPartitions("key", "shard").mapInArrow(run, "key long, seg long, part long")
+    # Work a byte is high here, so partitions are many and not merged by size.
+    tasks = 2 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shard.repartition(tasks, "key", "shard").sortWithinPartitions("key", "shard").mapInArrow(run, "key long, seg long, part long")
 
 
 def _merge(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +157,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], text.alias("text"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(text, F.col(id_col)).alias("r2"))
     every = written(_segments(rows.filter(F.octet_length("text") >= length), length, core), "segments")
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = written(every.join(twice, "key", "left_semi"), "met")
+    twice = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    # The most frequent cores, a list of fixed length, are found without a shuffle: one may hold a third of all rows.
+    frequent = F.broadcast(twice.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key"))
+    rest = every.join(frequent, "key", "left_anti").join(twice.select("key"), "key", "left_semi")
+    met = written(every.join(frequent, "key", "left_semi").unionByName(rest), "met")
     each = written(met.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "at")).alias("one")), "each")
     mixed = each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").select("key", F.least(F.lit(width), F.ceil(F.col("d") / HOT)).cast("int").alias("shards"))
     wanted = written(each.join(mixed, "key").select("key", "seg", "shards", "one.r1", "one.r2", "one.at"), "wanted")
