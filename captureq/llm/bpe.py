@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .pieces import UnitCache
+from .pieces import UnitCache, splitter
 
 
 def byte_alphabet() -> list[str]:
@@ -74,12 +74,11 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(serialise_model(self.tokens))
         self.whole = {t: i for i, t in enumerate(self.tokens)}
-        self.findall = regex.compile(pattern).findall
+        self.split = splitter(regex.compile(pattern).findall)
         self.spell = dict(enumerate(byte_alphabet()))
-        self.units = UnitCache(self._encode)
 
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        found = [[p.encode() for p in self.findall(t)] for t in texts]
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        found = [[p.encode() for p in self.split(t)] for t in texts]
         each = list({p for f in found for p in f})
         spelt = [p.decode("latin-1").translate(self.spell) for p in each]
         ids = self.model.encode(spelt, out_type=int, num_threads=1) if spelt else []
@@ -87,9 +86,6 @@ class ByteBpe:
         one = {p: struct.pack("<I", self.whole[p]) if p in self.whole else (np.array(i, "<u4") - 1).astype("<u4").tobytes() for p, i in zip(each, ids, strict=True)}
         return [b"".join(map(one.__getitem__, f)) for f in found]
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        return self.units.texts(texts)
-
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -108,9 +104,10 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
+        units = UnitCache(bpe.encode)
         for batch in batches:
             for a, b, col in text_slices(batch, 1, 2 << 20):
-                blobs = bpe.encode(col.to_pylist())
+                blobs = units.texts(col.to_pylist())
                 flat = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
                 ends = np.cumsum([0, *(len(x) // 4 for x in blobs)]).astype(np.int32)
                 ids, at = flat.tolist(), ends.tolist()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import text_slices
-from .pieces import UnitCache
+from .pieces import UnitCache, splitter
 
 
 class OpenBins:
@@ -63,21 +63,21 @@ def cut_lengths(n: int, size: int) -> list[int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _units(path: str) -> UnitCache:
-    """Cached encoding by the tokeniser's own model, pre-token by pre-token: its batch interface also tracks offsets
+def _encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
+    """Encoding by the tokeniser's own model, pre-token by pre-token: its batch interface also tracks offsets
     and alignments, which cost three times the merges themselves."""
     import regex
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
-    model, findall, spell = Tokenizer.from_file(path).model, regex.compile(PATTERN).findall, dict(enumerate(byte_alphabet()))
+    model, findall, spell = Tokenizer.from_file(path).model, splitter(regex.compile(PATTERN).findall), dict(enumerate(byte_alphabet()))
 
     def encode(texts: Sequence[str]) -> list[bytes]:
         found = [findall(t) for t in texts]
         ids = {p: array("I", [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(spell))]).tobytes() for p in {p for f in found for p in f}}
         return [b"".join(map(ids.__getitem__, f)) for f in found]
 
-    return UnitCache(encode)
+    return encode
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = 1024) -> DataFrame:
@@ -92,7 +92,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = f"`{id_col}` {kind}, piece int, start long, length long, tokens binary, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, units = OpenBins(size, open_bins), _units(tokenizer_path)
+        bins, units = OpenBins(size, open_bins), UnitCache(_encoder(tokenizer_path))
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)

@@ -95,6 +95,17 @@ def test_units_without_cuts():
     assert u.texts(["a b", "b a", " a"]) == [x.encode("utf-32-le") for x in ("a b", "b a", " a")] and sorted(set(seen)) == sorted(set(["a", " b", "b", " a", ""]))
 
 
+def test_splitter_equals_pattern():
+    import regex
+
+    findall = regex.compile(public_tokenizers.PATTERN).findall
+    split = pieces.splitter(findall)
+    rng = random.Random(3)
+    for _ in range(4000):
+        t = "".join(rng.choice(" ab,.'sZé1_\n") for _ in range(rng.randint(0, 6)))
+        assert split(t) == findall(t)
+
+
 def test_media(docs, rows, empty):
     got = media.read_media(media.to_media(media.text_payload(docs))).collect()
     pad = lambda b: b + bytes(64 if not b else -len(b) % 64)
