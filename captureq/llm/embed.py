@@ -160,7 +160,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     met = written(dealt.groupBy("label", "d", "lo", "hi").applyInArrow(meet, f"a {kind}, b {kind}, n long"), "links")
     member = connected_components(met.select("a", "b").filter("a <> b")).withColumnRenamed("node", "rep")
     links = met.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    told = reps.join(links, "rep", "left").join(member, "rep", "left").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = salted_join(rows.withColumn("fit", fit), told.withColumn("fit", F.lit(True)), ["label", "vec", "fit"])
+    # Rows find the vector they equal by 128 bits of hash, so that the vectors themselves are not dealt out again.
+    keys = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.reverse("vec"), F.size("vec")).alias("h2")]
+    told = reps.join(links, "rep", "left").join(member, "rep", "left").select("label", *keys, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    slim = rows.select("id", "label", *keys, fit.alias("fit"))
+    out = salted_join(slim, told.withColumn("fit", F.lit(True)), ["label", "h1", "h2", "fit"])
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
