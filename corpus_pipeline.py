@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captureq.llm import langid, quality, repeats, simhash
+from captureq.llm import langid, quality, repeats, shingles
 from captureq.llm import queries as q
 from captureq.llm.common import written
 
@@ -28,10 +28,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id, once. Rows without an id stay: they have no name
-    by which one could be chosen."""
-    groups = simhash.near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near duplicates (five-word shingle sets of similarity 0.8, linked) the document of smallest id,
+    once. Rows without an id stay: they have no name by which one could be chosen."""
+    groups = shingles.near_copies(docs)
+    keep = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from captureq.llm import anchors, bpe, bwt, components, embed, langid, media, packing, pieces, quality, repeats, simhash, urlfilter, warc
+from captureq.llm import anchors, bpe, bwt, components, embed, langid, media, packing, pieces, quality, repeats, shingles, simhash, urlfilter, warc
 from captureq.llm import queries as q
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -197,6 +197,43 @@ def test_bk_tree_links_all_blocks(spark):
     assert sorted(tree.near(base[3], 2)) == sorted(v for v in vals if (v ^ base[3]).bit_count() <= 2)
 
 
+def edited(rng, text, n):
+    w = text.split(" ")
+    for k in rng.sample(range(10, len(w) - 10), n):
+        w[k] = "edited"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies(spark, empty):
+    rng = random.Random(12)
+    base = [words(rng, 300) for _ in range(25)]
+    texts = base + [edited(rng, t, 1 + k % 9) for k, t in enumerate(base)] + [edited(rng, base[0], 2) for _ in range(30)] + [None, "", " \n", "one two", "one  TWO", "one two three four five six"]
+    want = union(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a] or "", texts[b] or "") >= 0.8])
+    far = [k for k in range(25) if want[25 + k] == want[k] and (simhash.fingerprint(texts[k].encode(), 5) ^ simhash.fingerprint(texts[25 + k].encode(), 5)).bit_count() > 2]
+    assert far and any(want[25 + k] != want[k] for k in range(25))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (shingles.BLOCK_SHINGLES, 700):  # 700: groups are cut into blocks
+        got = {}
+        for r in shingles.near_copies(df, block=block).collect():
+            got.setdefault(bytes(r.component), set()).add(r.doc_id)
+        assert bag(map(sorted, got.values())) == bag([k for k in want if want[k] == c] for c in set(want.values()))
+    assert shingles.near_copies(empty).count() == 0
+
+
+def test_stage_drops_near_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    base = [words(rng, 300) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(base + [edited(rng, t, 5) for t in base])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.keep_distinct(spark, df, "").collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((6, 20))
