@@ -146,13 +146,30 @@ def _merge(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(a) - 1)]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, core: int = CORE, width: int = 50) -> DataFrame:
+def _whole_words(text: bytes, a: int, b: int) -> int:
+    """The words of text[a:b] that it does not cut."""
+    n = len(text[a:b].split())
+    n -= a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()
+    return n - (b < len(text) and not text[b - 1 : b].isspace() and not text[b : b + 1].isspace())
+
+
+def _long_runs(text: bytes, marks: np.ndarray, length: int, words: int, enough: int) -> np.ndarray:
+    """The packed byte ranges of unbroken runs of repeated starts that hold over `words` words, or `enough` bytes. Passages
+    that only touch or overlap have starts between them that are not repeated, and are judged one by one."""
+    lo, hi = _merge(marks - (length - 1))
+    hi = hi + length - 1
+    big = np.array([y - x >= enough or _whole_words(text, x, y) > words for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+    return (lo[big] << 32) | hi[big]
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, core: int = CORE, width: int = 50, words: int = 0, enough: int = 0) -> DataFrame:
     """Every column of df and kept binary (the bytes left) and spans array<struct<start,stop>> (the removed runs).
 
     A byte goes if a string of `length` bytes covers it that also starts anywhere else in any row, its own included;
     strings are judged on the input and never cross rows. Null text counts as empty; shorter texts keep everything; rows
     repeated with id and text repeat each other and lose the same bytes; a null id is a value like others; an empty
-    table gives no rows. Columns named kept or spans are replaced. Texts are under 2^31 bytes."""
+    table gives no rows. Columns named kept or spans are replaced. Texts are under 2^31 bytes. With `words`,
+    of the strings only unbroken runs of more than that many words, or of `enough` bytes, go."""
     carry = [c for c in df.columns if c not in ("kept", "spans")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], text.alias("text"), F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(text, F.col(id_col)).alias("r2"))
@@ -192,7 +209,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         kept.append(t)
                         runs.append([])
                         continue
-                    lo, hi = _merge(marks[i].values.to_numpy(zero_copy_only=False))
+                    found = marks[i].values.to_numpy(zero_copy_only=False)
+                    if words and not len(found := _long_runs(t, found, length, words, enough)):
+                        kept.append(t)
+                        runs.append([])
+                        continue
+                    lo, hi = _merge(found)
                     at, out = 0, []
                     for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
                         out.append(t[at:x])

@@ -13,6 +13,9 @@ from captureq.llm.common import written
 
 #: Documents whose probability of quality 1 is under this are rejected: somewhat under a half, to keep clean ones.
 REJECT_BELOW = 0.4
+#: A repeated passage of more than this many words is cut. It has 101 bytes at least (words and the spaces between), so
+#: strings of 100 bytes find all of them; width divides the length.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_CORE, PASSAGE_WIDTH = 50, 100, 40, 50
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +40,9 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the byte runs that repeat; characters that a cut leaves incomplete go too."""
-    out = repeats.remove_repeats(docs)
+    """Every document without the byte runs that repeat and hold over 50 words, or 400 bytes in any number of words;
+    characters that a cut leaves incomplete go too."""
+    out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, core=PASSAGE_CORE, width=PASSAGE_WIDTH, words=PASSAGE_WORDS, enough=400)
     left = F.col("kept").cast("string")
     clean = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)

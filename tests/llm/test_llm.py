@@ -399,6 +399,24 @@ def test_repeats_of_hard_texts(spark, monkeypatch):
         assert bag((r.doc_id, bytes(r.kept), len(r.spans)) for r in repeats.remove_repeats(df).collect()) == want
 
 
+def test_stage_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(14)
+    fresh = lambda n: words(rng, n)
+    short = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    tiny = " ".join(rng.choice("abcdefgh") for _ in range(51))
+    long, other, under, left, right = short(51), short(60), short(50), short(30), short(30)
+    assert len(tiny) == 101 and max(map(len, (long, other))) < 400
+    cut = [f"{fresh(40)} ({k}) {p} [{k}] {fresh(30)}" for p in (long, other, tiny) for k in "AB"]
+    stay = [f"{fresh(40)} ({k}) {p} [{k}] {fresh(30)}" for k, p in zip("ABABC", (under, under, left, right, left + " " + right))]
+    df = spark.createDataFrame(list(enumerate(cut + stay)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in cp.cut_repeats(spark, df, "").collect()}
+    for k, t in enumerate(cut):
+        assert got[k] == t.replace(f") {(long, other, tiny)[k // 2]} [", ""), k
+    assert [got[len(cut) + k] for k in range(len(stay))] == stay
+
+
 def test_long_text_in_pieces():
     data = np.frombuffer(words(random.Random(1), 9000).encode(), np.uint8)
     whole, cut = (anchors.text_segments(data, np.array([0, len(data)]), 400, 160, p) for p in (1 << 22, 5000))
