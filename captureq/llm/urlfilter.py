@@ -16,11 +16,13 @@ from .components import connected_components
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
-#: Tag patterns (Java syntax): a canonical link with href after or before rel, and a refresh.
+#: Tag patterns (Java syntax): a canonical link with href after or before rel, and a refresh with content after or
+#: before http-equiv.
 _LINKS = (
     r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b["']?[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
     r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
     r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
+    r"""(?is)<meta\b[^>]*?\bcontent\s*=[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
 )
 
 

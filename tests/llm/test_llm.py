@@ -303,6 +303,11 @@ def test_url_filter(spark):
     assert urlfilter.judge_urls(pages(spark, []), q.URL_RULES).count() == 0
 
 
+def test_refresh_with_content_first(spark):
+    rows = [(1, "http://a.net/es/", ""), (2, "http://b.org/", "<meta content='0;url=http://a.net/es/' http-equiv='refresh'>"), (3, "http://c.org/", '<meta content="0; url=http://a.net/es/" name="x"><meta http-equiv="refresh">')]
+    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(pages(spark, rows), q.URL_RULES).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_quality(docs, rows, empty, spark):
     rng = random.Random(5)
     good, bad = [words(rng, rng.randint(3, 300)) for _ in range(120)], ["".join(c + rng.choice("%$#") for c in words(rng, rng.randint(3, 300))) for _ in range(120)]
