@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import salted_join, text_slices, written
@@ -164,13 +164,19 @@ def _decided(members: DataFrame, block: int) -> DataFrame:
     return met.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary")
 
 
+def text_hashes(text_col: str = "text") -> tuple[Column, Column]:
+    """t1, t2: 128 bits of hash of a text; null counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return F.xxhash64(text, F.lit(1)).alias("t1"), F.xxhash64(text, F.lit(2)).alias("t2")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_SHINGLES) -> DataFrame:
     """id, t1, t2 (hash of the text), component (a digest, equal for what links connect), one row per input row.
 
     Texts of equal shingle sets are one node, null and wordless texts too: they have the empty set. Null ids and repeated
     rows stay; an empty table gives no rows; other columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    docs = df.select(id_col, F.xxhash64(text, F.lit(1)).alias("t1"), F.xxhash64(text, F.lit(2)).alias("t2"), text.alias("_t"))
+    docs = df.select(id_col, *text_hashes(text_col), text.alias("_t"))
     rows = written(_marks(docs, id_col), "shingles")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct("t1", "t2", "n", "fp", "bands")).alias("x")).select("node", "x.*"), "nodes")
     prints = fingerprint_links(nodes.filter("n > 0").select("fp").distinct())

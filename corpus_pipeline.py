@@ -32,11 +32,13 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingle sets of similarity 0.8, linked) the document of smallest id,
-    once. Rows without an id stay: they have no name by which one could be chosen."""
-    groups = shingles.near_copies(docs)
-    keep = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    of equal ids the text of least hash, once; a row is known by id and text. Rows without an id stay: they have no name by which one could be chosen."""
+    groups = shingles.near_copies(docs).filter("doc_id is not null")
+    keep = groups.groupBy("component").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("s")).select("s.doc_id", F.col("s.t1").alias("_t1"), F.col("s.t2").alias("_t2"))
+    t1, t2 = shingles.text_hashes()
+    named = docs.withColumn("_t1", t1).withColumn("_t2", t2)
+    kept = named.join(keep, ["doc_id", "_t1", "_t2"], "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,6 +234,15 @@ def test_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in cp.keep_distinct(spark, df, "").collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_stage_keeps_rows_of_one_id_and_different_groups(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(15)
+    a, b = words(rng, 200), words(rng, 200)
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, edited(rng, a, 2)), (3, b), (None, a)], "doc_id long, text string")
+    assert bag(tuple(r) for r in cp.keep_distinct(spark, df, "").collect()) == bag([(1, a), (1, b), (None, a)])
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((6, 20))
