@@ -70,24 +70,30 @@ class ByteBpe:
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
+        tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor()
-        self.model.LoadFromSerializedProto(serialise_model(self.tokens))
-        self.whole = {t: i for i, t in enumerate(self.tokens)}
+        self.model.LoadFromSerializedProto(serialise_model(tokens))
+        self.whole = {t: struct.pack("<I", i) for i, t in enumerate(tokens)}
         self.split = splitter(regex.compile(pattern).findall)
-        self.spell = dict(enumerate(byte_alphabet()))
+        alphabet = byte_alphabet()
+        self.spell = dict(enumerate(alphabet))
+        # Decoding: the model's pieces, each spelt back to bytes through the inverse of the alphabet.
+        back = {ord(c): b for b, c in enumerate(alphabet)}
+        spelt = self.model.id_to_piece(list(range(1, len(tokens) + 1)))
+        self.pieces = [bytes(map(back.__getitem__, map(ord, p))) for p in spelt]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         found = [[p.encode() for p in self.split(t)] for t in texts]
-        each = list({p for f in found for p in f})
-        spelt = [p.decode("latin-1").translate(self.spell) for p in each]
-        ids = self.model.encode(spelt, out_type=int, num_threads=1) if spelt else []
-        # A pre-token that is itself in the vocabulary is one id.
-        one = {p: struct.pack("<I", self.whole[p]) if p in self.whole else (np.array(i, "<u4") - 1).astype("<u4").tobytes() for p, i in zip(each, ids, strict=True)}
-        return [b"".join(map(one.__getitem__, f)) for f in found]
+        # A pre-token that is itself in the vocabulary is one id, and is not given to the model.
+        ids = {p: self.whole[p] for f in found for p in f if p in self.whole}
+        rest = list({p for f in found for p in f if p not in ids})
+        spelt = [p.decode("latin-1").translate(self.spell) for p in rest]
+        for p, i in zip(rest, self.model.encode(spelt, out_type=int, num_threads=1) if spelt else [], strict=True):
+            ids[p] = (np.array(i, "<u4") - 1).astype("<u4").tobytes()
+        return [b"".join(map(ids.__getitem__, f)) for f in found]
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)

@@ -7,8 +7,9 @@ rows, so nothing is shuffled and memory does not grow with the input."""
 from __future__ import annotations
 
 import functools
+import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,43 +63,68 @@ def cut_lengths(n: int, size: int) -> list[int]:
     return ([first] if first else []) + [size] * (n // size)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
-    """Encoding by the tokeniser's own model, pre-token by pre-token: its batch interface also tracks offsets
-    and alignments, which cost three times the merges themselves."""
-    import regex
-    from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
-
-    model, findall, spell = Tokenizer.from_file(path).model, splitter(regex.compile(PATTERN).findall), dict(enumerate(byte_alphabet()))
-
-    def encode(texts: Sequence[str]) -> list[bytes]:
-        found = [findall(t) for t in texts]
-        ids = {p: array("I", [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(spell))]).tobytes() for p in {p for f in found for p in f}}
+class Encoder:
+    """Encoding by the tokeniser's own model, pre-token by pre-token: its batch interface also tracks offsets and
+    alignments, which cost three times the merges themselves. Texts that hold one of its added tokens, which it cuts out
+    before anything else, go through the whole tokeniser."""
+
+    def __init__(self, path: str):
+        import regex
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.find = self.whole.model, splitter(regex.compile(PATTERN).findall)
+        self.spell = dict(enumerate(byte_alphabet()))
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+
+    def units(self, texts: Sequence[str]) -> list[bytes]:
+        found = [self.find(t) for t in texts]
+        ids = {}
+        for p in {p for f in found for p in f}:
+            spelt = p.encode().decode("latin-1").translate(self.spell)
+            ids[p] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return [b"".join(map(ids.__getitem__, f)) for f in found]
 
-    return encode
+    def texts(self, texts: Sequence[str], cache: UnitCache) -> list[bytes]:
+        """The ids of each text as little-endian uint32 bytes, as the library gives them without special tokens."""
+        out = cache.texts(["" if self.added.search(t) else t for t in texts])
+        for i, t in enumerate(texts):
+            if self.added.search(t):
+                out[i] = array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes()
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = 1024) -> DataFrame:
+def pack_documents(
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = 1024
+) -> DataFrame:
     """One row per piece: id, piece, start, length, tokens (little-endian uint32), sequence_id, offset.
 
     A document is its ids followed by end_id; only one longer than `size` is cut, its first piece may be shorter.
+    Ids are the library's own with add_special_tokens=False: an added token that stands in a text is one id.
     Null text counts as empty (one piece holding only end_id); a null id passes through; repeated rows are packed each
     by itself; an empty table gives no rows; other columns are ignored. sequence_id is the task number times 2^40 plus
     a counter, so tasks never share a sequence. Within one slice of a batch longer pieces are placed first."""
     end = np.array([end_id], "<u4").tobytes()
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, tokens binary, sequence_id long, offset long"
+    names = [id_col, "piece", "start", "length", "tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, units = OpenBins(size, open_bins), UnitCache(_encoder(tokenizer_path))
+        encoder = _encoder(tokenizer_path)
+        bins, units = OpenBins(size, open_bins), UnitCache(encoder.units)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)
             for a, _, col in text_slices(batch, 1, 4 << 20):
                 rows = []
-                for i, blob in enumerate(units.texts(col.to_pylist())):
+                for i, blob in enumerate(encoder.texts(col.to_pylist(), units)):
                     start = 0
                     blob += end
                     for k, n in enumerate(cut_lengths(len(blob) // 4, size)):
@@ -108,9 +134,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 put = [bins.place(r[0]) for r in rows]
                 n, row, k, start, blob = zip(*rows, strict=True)
                 seq, off = zip(*put, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary()), pa.array([base + s for s in seq], pa.int64()), pa.array(off, pa.int64())],
-                    names=[id_col, "piece", "start", "length", "tokens", "sequence_id", "offset"],
-                )
+                sequence = [base + s for s in seq]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip((k, start, n, blob, sequence, off), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *cols], names=names)
 
     return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
