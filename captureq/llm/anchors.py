@@ -17,10 +17,18 @@ _BYTES = (_table(11), _table(12))
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Powers of a base, as far as any buffer of this process has needed them.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 12), base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        _POWERS[int(base)] = known
+    return known[:n]
 
 
 def _inverse(base: np.uint64) -> np.uint64:
@@ -63,10 +71,12 @@ def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> dict[str, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int, named: bool = True) -> dict[str, np.ndarray]:
     """Segments of all texts in a buffer: row (text), start, span (starts less one), lead (anchor less start), key (core
-    hash), seg (hash of the segment's bytes). The buffer holds less than 2^24 bytes a piece; longer ones are pieced."""
-    none = {k: np.zeros(0, np.int64) for k in ("row", "start", "span", "lead", "key", "seg")}
+    hash), seg (hash of the segment's bytes), count. Equal segments that follow each other, as in a text that repeats a
+    few words over and over, are one entry with their count; the next one starts span + 1 later. The buffer holds less
+    than 2^24 bytes a piece; longer ones are pieced."""
+    none = {k: np.zeros(0, np.int64) for k in ("row", "start", "span", "lead", "key", "seg", "count")}
     w = length - core + 1
     if len(data) < length:
         return none
@@ -76,19 +86,27 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int) -> d
     anchor = (sliding_least((h & ~np.uint64(0xFFFFFF)) | (place & np.uint64(0xFFFFFF)), w) & np.uint64(0xFFFFFF)).astype(np.int64)
     starts = np.arange(len(anchor))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    inside = starts + length <= offsets[1:][row]
-    starts, anchor, row = starts[inside], anchor[inside], row[inside]
+    if len(offsets) > 2:
+        inside = starts + length <= np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
+        starts, anchor, row = starts[inside], anchor[inside], row[inside]
     if not len(starts):
         return none
     cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [len(starts)]]) - 1
     a, z, p, r = starts[first], starts[last], anchor[first], row[first]
+    key, span, lead = h[p], z - a, p - a
+    if not named:
+        entry = {"row": r, "start": a - offsets[:-1][r], "span": span, "lead": lead, "key": key.view(np.int64)}
+        return entry | {"count": np.ones(len(key), np.int64)}
     seg = one.ranges(a, z + length) ^ Rolling(data, 1).ranges(a, z + length)
-    return {"row": r, "start": a - offsets[:-1][r], "span": z - a, "lead": p - a, "key": h[p].view(np.int64), "seg": seg.view(np.int64)}
+    again = (seg[1:] == seg[:-1]) & (key[1:] == key[:-1]) & (span[1:] == span[:-1]) & (lead[1:] == lead[:-1]) & (r[1:] == r[:-1])
+    head = np.concatenate([[0], np.flatnonzero(~again) + 1])
+    out = {"row": r, "start": a - offsets[:-1][r], "span": span, "lead": lead, "key": key.view(np.int64), "seg": seg.view(np.int64)}
+    return {k: v[head] for k, v in out.items()} | {"count": np.diff(np.append(head, len(seg)))}
 
 
-def text_segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int, piece: int = 1 << 22) -> dict[str, np.ndarray]:
+def text_segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int, piece: int = 1 << 22, named: bool = True) -> dict[str, np.ndarray]:
     """segments() over pieces of bounded size. A longer text is read in overlapping pieces, each giving the segments of
     its own starts; a segment that a piece border cuts comes as two, whose starts are still each under its anchor."""
     parts = []
@@ -98,14 +116,14 @@ def text_segments(data: np.ndarray, offsets: np.ndarray, length: int, core: int,
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + piece, side="right")) - 1)
         a, b = int(offsets[at]), int(offsets[stop])
         if b - a <= piece or stop > at + 1:
-            got = segments(data[a:b], offsets[at : stop + 1] - a, length, core)
+            got = segments(data[a:b], offsets[at : stop + 1] - a, length, core, named)
             got["row"] = got["row"] + at
             parts.append(got)
         else:
             for s in range(a, b, piece):
                 e = min(b, s + piece + length - 1)
-                got = segments(data[s:e], np.array([0, e - s]), length, core)
+                got = segments(data[s:e], np.array([0, e - s]), length, core, named)
                 got["row"], got["start"] = got["row"] + at, got["start"] + (s - a)
                 parts.append(got)
         at = stop
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else segments(data[:0], np.zeros(1, np.int64), length, core)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else segments(data[:0], np.zeros(1, np.int64), length, core, named)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import released, text_slices
 from .pieces import UnitCache, splitter
 
 
@@ -108,6 +108,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     repeated rows pass through; an empty table gives no rows; other columns are ignored."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path, pattern)
         units = UnitCache(bpe.encode)

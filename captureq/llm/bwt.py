@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -38,6 +39,7 @@ def _range_min(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray, zeros: np.ndarra
     out = np.zeros(len(lo), np.int16)
     open_ = np.flatnonzero(zeros[hi] == zeros[lo])
     if len(open_):
+        open_ = open_[np.argsort(lo[open_])]  # in order, so that what lies between two ranges is read once at most
         at = np.stack([lo[open_], hi[open_]], axis=1).ravel()
         grown = np.append(lcp, np.int16(0))
         out[open_] = np.minimum.reduceat(grown, at)[::2]
@@ -114,7 +116,7 @@ def collection_bwt(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
         files.close()
 
 
-def block_ranks(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def block_ranks(texts: Sequence[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """A rank for the block of `width` bytes at every place of the joined texts (equal blocks, equal ranks; other blocks,
     other ranks), and where each text begins. Blocks are told apart by a hash, and every one is compared with the first
     of its rank, so ranks are exact."""
@@ -122,46 +124,47 @@ def block_ranks(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
     base = np.cumsum([0, *(len(t) for t in texts)])
     if len(data) < width:
         return np.zeros(0, np.int64), base
+    # Eight bytes from every place on; blocks are compared eight at a time, the last ones overlapping.
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data.tobytes(), strides=(1,)) if width >= 8 else data
+    steps = [*range(0, width - 7, 8), width - 8] if width >= 8 else range(width)
     for which in (0, 1):
         _, first, rank = np.unique(Rolling(data, which).windows(width), return_index=True, return_inverse=True)
         same = first[rank]
         n = len(rank)
-        if all(np.array_equal(data[k : k + n], data[same + k]) for k in range(width)):
+        if all(np.array_equal(eight[k : k + n], eight[same + k]) for k in steps):
             return rank.astype(np.int64), base
     raise ValueError("two hashes fail to tell blocks apart")
 
 
-def repeated_starts(texts: list[bytes], leads: list[int], spans: list[int], length: int, width: int = 50, classes: range | None = None) -> list[np.ndarray]:
+def repeated_starts(texts: Sequence[bytes], leads: Sequence[int], spans: Sequence[int], length: int, width: int = 50, classes: range | None = None, number: Sequence[int] | None = None) -> list[np.ndarray]:
     """For each text the starts (0..span) whose `length` bytes also stand at another start of these texts.
 
     A symbol is a block of `width` bytes; width divides length. A text gives one string for each distance to its anchor
     modulo width, cut so that a suffix at each of its starts has all length/width symbols; a start is repeated if its
-    suffix shares that many with the row above or below it. Equal stretches have equal distances to their anchors, so
-    the classes of distances may be handled apart: `classes` names those that are looked at."""
+    suffix shares that many with the row above or below it, or if its row stands for several equal ones: `number` says
+    how many texts are equal to each. Equal stretches have equal distances to their anchors, so the classes of distances
+    may be handled apart: `classes` names those that are looked at."""
     if length % width:
         raise ValueError("the width does not divide the length")
     need = length // width
     rank, base = block_ranks(texts, width)
-    wanted = range(width) if classes is None else classes
-    parts, text_of, first_start = [], [], []
-    for t, (lead, span) in enumerate(zip(leads, spans, strict=True)):
-        for c in wanted:
-            phase = (lead - c) % width  # starts at distances c, c + width, ... before the anchor
-            if phase <= span:
-                last = phase + (span - phase) // width * width + length - width
-                parts.append(rank[base[t] + phase : base[t] + last + 1 : width])
-                text_of.append(t)
-                first_start.append(phase)
-    out = [np.zeros(span + 1, bool) for span in spans]
-    if not parts:
-        return out
-    lengths = np.array([len(p) for p in parts])
-    string, size, lcp = collection_bwt(np.concatenate(parts), np.cumsum(lengths))
-    best = lcp.copy()
-    best[:-1] = np.maximum(best[:-1], lcp[1:])
-    hit = np.flatnonzero(best >= need)
-    at = np.array(first_start)[string[hit]] + width * (lengths[string[hit]] - size[hit])
-    flat = np.cumsum([0, *(len(o) for o in out)])
-    every = np.zeros(flat[-1], bool)
-    every[flat[np.array(text_of)[string[hit]]] + at] = True
+    span = np.array(spans)
+    wanted = np.arange(width) if classes is None else np.array(classes)
+    # One string for each text and class: starts at distances c, c + width, ... before the anchor.
+    phase = (np.array(leads)[:, None] - wanted) % width
+    text_of, at = np.nonzero(phase <= span[:, None])
+    phase = phase[text_of, at]
+    every = np.zeros(int((span + 1).sum()), bool)
+    flat = np.cumsum([0, *(span + 1)])
+    if len(text_of):
+        lengths = (span[text_of] - phase) // width + need
+        ends = np.cumsum(lengths)
+        within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        string, size, lcp = collection_bwt(rank[np.repeat(base[text_of] + phase, lengths) + width * within], ends)
+        best = lcp.copy()
+        best[:-1] = np.maximum(best[:-1], lcp[1:])
+        if number is not None:
+            best = np.where(np.array(number)[text_of[string]] > 1, size, best)
+        hit = np.flatnonzero(best >= need)
+        every[flat[text_of[string[hit]]] + phase[string[hit]] + width * (lengths[string[hit]] - size[hit])] = True
     return [every[a:b] for a, b in zip(flat[:-1], flat[1:], strict=True)]

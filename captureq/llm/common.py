@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,16 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is configured (tests)."""
+    """The folder in spark.checkpoint.dir. Where none is configured, a temporary one is set in local mode (tests); on a
+    cluster that is an error, since executors would each write to a disk of their own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="captureq-")
-        sc.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="captureq-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
@@ -51,7 +55,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again: all that was made of them is itself written."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch)
+
+
+#: Rows that Spark hands to a Python step at once, where the session has no setting of its own: both sides hold a batch.
+BATCH_ROWS, _BATCH_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch from Spark's default of 10000, which whole texts make too large."""
+    if int(spark.conf.get(_BATCH_KEY)) == 10_000:
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A Python step after whose task freed memory goes back to the system: the worker lives on, idle or for the next
+    task, beside others and the JVM."""
+
+    @functools.wraps(run)
+    def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        trim()
+
+    return step
 
 
 def byte_slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -92,9 +141,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(fold(id_col) == 1, F.lit(False))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salt: int = 16) -> DataFrame:
-    """Join whose left side may hold a third of its rows under one key: left rows are dealt, by a hash of their columns
-    (so that a repeated task deals them alike), over `salt` copies of each right row. right has at most one row a key."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salt)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+#: Keys of a join that count as frequent: so many rows of one side at most are broadcast.
+FREQUENT = 1000
+
+
+def frequent_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """Join (left or inner) of a side whose rows may crowd under a few keys with one that has at most one row a key and
+    knows in `weight` how many rows the left has there. The right's FREQUENT heaviest rows are broadcast, whatever the
+    input's size; no other key can hold more than a thousandth of the left's rows, and those meet by a shuffle, without
+    copies. Both sides are read twice: they should be written tables or plain scans."""
+    top = right.orderBy(F.desc(weight), *keys).limit(FREQUENT)
+    near = left.join(F.broadcast(top.drop(weight)), keys, "inner")
+    far = left.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(right.drop(weight), keys, how)
+    return near.unionByName(far)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import frequent_join, released, written
 from .components import connected_components
 
 #: Vectors in a block of the comparison, and in a tile inside a task.
@@ -37,6 +37,7 @@ def principal_axes(vectors: DataFrame, vec_col: str) -> dict[int, np.ndarray]:
 
     Tasks emit one moment matrix each, summed by entry on the executors: what reaches the driver is length squared."""
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in parts:
@@ -135,8 +136,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     fit = valid_vector("vec") & F.col("label").isNotNull() & F.col("id").isNotNull()
     reps = written(rows.filter(fit).groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "vectors")
     axes = principal_axes(reps, "vec")
-    sizes = reps.groupBy("label", F.size("vec").alias("d")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = salted_join(reps.withColumn("d", F.size("vec")), sizes, ["label", "d"], "inner")
+    sizes = reps.groupBy("label", F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = frequent_join(reps.withColumn("d", F.size("vec")), sizes, ["label", "d"], "n", "inner")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "d", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "w", "vec")
 
@@ -162,8 +163,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     links = met.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     # Rows find the vector they equal by 128 bits of hash, so that the vectors themselves are not dealt out again.
     keys = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.reverse("vec"), F.size("vec")).alias("h2")]
-    told = reps.join(links, "rep", "left").join(member, "rep", "left").select("label", *keys, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    told = reps.join(links, "rep", "left").join(member, "rep", "left").select("label", *keys, (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"), "w")
+    told = written(told.withColumn("fit", F.lit(True)), "told")
     slim = rows.select("id", "label", *keys, fit.alias("fit"))
-    out = salted_join(slim, told.withColumn("fit", F.lit(True)), ["label", "h1", "h2", "fit"])
+    out = frequent_join(slim, told, ["label", "h1", "h2", "fit"], "w")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

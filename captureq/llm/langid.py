@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, raw_bytes, text_slices
+from .common import fold, raw_bytes, released, text_slices, trim
+from .quality import excerpt
 
 BUCKETS, DIM, ORDERS = 1 << 13, 8, (2, 3, 4)
-#: Bounds of the training sample: texts of each language, and bytes of a text that may serve as an example.
+#: Bounds of the training sample: texts of each language, and bytes of an example.
 ROWS_PER_LANG, EXAMPLE_BYTES = 250, 32_768
 PIECE = 1 << 19
 
@@ -78,7 +79,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[bytes], langs: list[str], epochs: int = 15, batch: int = 16, rate: float = 8.0, seed: int = 7, keep: float = 0.998) -> Model:
     """SGD over four fifths of the examples; the rest sets the temperature (least log loss) and the rejection bound,
-    which at least `keep` of those texts pass. Without examples the model knows no language."""
+    four fifths of the confidence that `keep` of those texts pass, and at most 0.15 over a guess: short texts are unsure. Without examples the model knows no language."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -113,14 +114,18 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 15, batch: int = 16,
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, example_bytes: int = EXAMPLE_BYTES) -> Model:
     """Fit on a bounded sample: of each non-null language the rows_per_lang ids of smallest hash in the training folds
-    whose texts hold a letter and at most example_bytes."""
-    text = F.col(text_col)
-    own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), text.alias("_t")).filter((fold(F.col("_id")) != 1) & F.col("_l").isNotNull() & (F.octet_length("_t") <= example_bytes) & F.col("_t").rlike(r"\p{L}"))
+    whose texts hold a letter. Of a text longer than example_bytes an excerpt from anywhere in it is learnt from."""
+    own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
+    own = own.filter((fold(F.col("_id")) != 1) & F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_id"), "_id"))
     pick = own.select("_id", "_l").withColumn("_r", rank).filter(F.col("_r") <= rows_per_lang).select("_id", "_l").distinct()
-    rows = own.join(F.broadcast(pick), ["_id", "_l"]).withColumn("_r", rank).filter(F.col("_r") <= rows_per_lang).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_l"], r["_t"]))
-    return fit([r["_t"].encode() for r in rows], [r["_l"] for r in rows])
+    part = excerpt(F.col("_t").cast("binary"), F.col("_id"), example_bytes)
+    some = own.join(F.broadcast(pick), ["_id", "_l"]).select("_id", "_l", part.alias("_t"))
+    rows = some.withColumn("_r", rank).filter(F.col("_r") <= rows_per_lang).collect()
+    rows.sort(key=lambda r: (r["_id"], r["_l"], bytes(r["_t"])))
+    model = fit([bytes(r["_t"]) for r in rows], [r["_l"] for r in rows])
+    trim()
+    return model
 
 
 def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -155,6 +160,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = np.array([*model.langs, "und"], object)
     at = keep.index(text_col) if carry else len(keep) + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letter = np.array(batch.column(len(keep)).to_pylist(), bool)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import released, text_slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -128,6 +128,7 @@ def _mapped(df: DataFrame, binary_col: str, extra: dict[str, str], run) -> DataF
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} {t}" for c, t in extra.items()])
     names = [*carry, *extra]
 
+    @released
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for a, b, col in text_slices(batch, len(carry), 4 << 20):

@@ -1,5 +1,7 @@
 """DuckDB equivalents of the queries that SQL can express on whole tables."""
 
+from .urlfilter import REFERENCES
+
 _VECTORS = """v AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e, embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false) AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS fit FROM embeddings),
 l AS (SELECT a.k AS a, b.k AS b, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND a.fit AND b.fit AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -22,25 +24,53 @@ def _fits(host: str, path: str) -> str:
 _RULE = "CASE " + " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p in (("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/"))) + " END"
 _PARTS = """translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path"""
 _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"
-_LINK = """list_concat(list_concat(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b["'']?[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-  regexp_extract_all(html, '(?is)<link\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)["'']?[^>]*\\brel\\s*=\\s*["'']?canonical\\b', 1)),
-  regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b["'']?[^>]*?\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1))"""
+_TAG = """regexp_extract_all(html, '(?is){0}', 1)"""
+_VALUE = """\\s*=\\s*["'']?"""
+_LINK = "flatten([" + ", ".join(_TAG.format(p) for p in (
+    rf"""<link\b[^>]*\brel{_VALUE}canonical\b["'']?[^>]*?\bhref{_VALUE}([^"''\s>]+)""",
+    rf"""<link\b[^>]*?\bhref{_VALUE}([^"''\s>]+)["'']?[^>]*\brel{_VALUE}canonical\b""",
+    rf"""<meta\b[^>]*\bhttp-equiv{_VALUE}refresh\b["'']?[^>]*?\burl{_VALUE}([^"''\s>]+)""",
+    rf"""<meta\b[^>]*?\bcontent\s*=[^>]*?\burl{_VALUE}([^"''\s>]+)["'']?[^>]*\bhttp-equiv{_VALUE}refresh\b""",
+)) + "])"
+
+
+def _decoded(sql: str) -> str:
+    for reference, char in REFERENCES:
+        quoted = char.replace("'", "''")
+        sql = f"replace({sql}, '{reference}', '{quoted}')"
+    return sql
+
+
+#: Of column u: the site, the path without dot segments, and the query.
+_NODE = r"""CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(u, '#.*$', '')
+  ELSE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || p || CASE WHEN p = '' OR regexp_matches(q, '(^|/)\.\.?$') THEN '/' ELSE '' END
+    || regexp_extract(regexp_replace(u, '#.*$', ''), '(\?.*)$', 1) END"""
+_STEPS = r"""list_reduce(string_split(q, '/'), lambda done, x: CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END)"""
+_SPLIT = r"""regexp_extract(regexp_replace(u, '#.*$', ''), '^[^?]*?://[^/?]*([^?]*)', 1) AS q"""
+
+
+def _nodes(source: str) -> str:
+    """Every row of a source with a column u, and its node."""
+    return f"(SELECT *, {_NODE} AS node FROM (SELECT *, {_STEPS} AS p FROM (SELECT *, {_SPLIT} FROM {source})))"
+
 
 OP6 = f"""WITH RECURSIVE
-j AS (SELECT page_id, url, html, {_PARTS} FROM (SELECT *, {_REST} FROM pages)),
+j AS (SELECT page_id, u, node, {_PARTS} FROM (SELECT page_id, u, node, {_REST.replace("url", "u")} FROM {_nodes("(SELECT page_id, url AS u FROM pages)")})),
 own AS (SELECT *, {_RULE} AS rule FROM j),
-raw AS (SELECT regexp_replace(url, '#.*$', '') AS a, url, regexp_replace(unnest({_LINK}), '#.*$', '') AS t FROM pages WHERE url IS NOT NULL),
+raw AS (SELECT regexp_replace(url, '#.*$', '') AS a, unnest({_LINK}) AS t FROM pages WHERE url IS NOT NULL),
+cut AS (SELECT a, regexp_replace({_decoded("t")}, '#.*$', '') AS t FROM raw),
 e AS (SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '^([^:/?#]+:)//', 1) || t
   WHEN starts_with(t, '/') THEN regexp_extract(a, '^([^:/?#]+://[^/?#]*)', 1) || t WHEN starts_with(t, '?') THEN regexp_extract(a, '^([^?#]*)', 1) || t
-  ELSE rtrim(regexp_extract(a, '^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || t END AS b FROM raw WHERE t <> ''),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  ELSE rtrim(regexp_extract(a, '^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || t END AS b FROM cut WHERE t <> ''),
+k AS (SELECT x.node AS a, y.node AS b FROM {_nodes("(SELECT a AS u, b FROM e)")} x JOIN {_nodes("(SELECT DISTINCT b AS u FROM e)")} y ON x.b = y.u),
+s AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
 reach AS (SELECT a AS n, a AS m FROM s UNION SELECT r.n, s.b FROM reach r JOIN s ON r.m = s.a),
 told AS (SELECT n, {_RULE} AS rule FROM (SELECT n, {_PARTS} FROM (SELECT n, m AS url, {_REST.replace("url", "m")} FROM reach))),
 alias AS (SELECT n, CASE WHEN bool_or(rule IN ('com/', 'www.example.com/en/')) THEN 'allow' WHEN bool_or(rule IS NOT NULL) THEN 'block' END AS v FROM told GROUP BY n)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE coalesce(v, 'allow') END AS verdict
-FROM own LEFT JOIN alias ON n = regexp_replace(url, '#.*$', '')"""
+FROM own LEFT JOIN alias ON n = node"""
 
-OP8 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+OP8 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 part AS (SELECT r, n, 500 * c AS z, substr(h, 1000 * c + 1, 1800) AS s FROM (SELECT r, n, h, unnest(range(0, (n - 400) // 500 + 1)) AS c FROM d WHERE n >= 400)),
 w AS (SELECT r, z + i AS i, md5(substr(s, 2 * i + 1, 800)) AS k FROM (SELECT r, z, s, unnest(range(0, least(500, n - 399 - z))) AS i FROM part)),
 rep AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
@@ -48,6 +78,7 @@ isle AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END)
 span AS (SELECT r, g, min(i) AS a, max(i) + 400 AS b FROM isle GROUP BY r, g),
 kept AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z, lead(a) OVER (PARTITION BY r ORDER BY a) AS nxt FROM span),
 text_left AS (SELECT r, string_agg(substr(h, 2 * z + 1, 2 * (a - z)) || CASE WHEN nxt IS NULL THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS t, sum(b - a) AS gone, count(*) AS runs FROM kept JOIN d USING (r) GROUP BY r)
-SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN text_left USING (r)"""
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256,
+  CASE WHEN t IS NULL THEN body ELSE decode(unhex(array_to_string(list_filter(regexp_extract_all(t, '[0-7].|[CD].[89AB].|E.(?:[89AB].){2}|F.(?:[89AB].){3}|..'), lambda x: length(x) > 2 OR x < '8'), ''))) END AS text FROM d LEFT JOIN text_left USING (r)"""
 
 ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8}

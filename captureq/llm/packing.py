@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import text_slices
+from .common import released, text_slices
 from .pieces import UnitCache, splitter
 
 
@@ -116,6 +116,7 @@ def pack_documents(
     schema = f"`{id_col}` {kind}, piece int, start long, length long, tokens binary, sequence_id long, offset long"
     names = [id_col, "piece", "start", "length", "tokens", "sequence_id", "offset"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         bins, units = OpenBins(size, open_bins), UnitCache(encoder.units)

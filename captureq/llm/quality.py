@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, raw_bytes, text_slices
+from .common import fold, raw_bytes, released, text_slices, trim
 
 #: Bytes in a block (a chunk is two), embedding size, filters, hidden units; a filter spans three steps of two bytes.
 BLOCK, DIM, FILTERS, HIDDEN, PAD = 256, 8, 40, 24, 256
-#: Bounds of the training sample: labelled rows of each class, and bytes of a text that may serve as an example.
+#: Bounds of the training sample: labelled rows of each class, and bytes of an example.
 ROWS_PER_CLASS, EXAMPLE_BYTES = 700, 8_192
 
 Model = dict[str, np.ndarray]
@@ -154,17 +154,34 @@ def fit(texts: list[bytes], labels: list[int], prior: float | None = None, epoch
     return model | {"shift": np.array(np.log(aim / (1 - aim)) - np.log(share / (1 - share)))}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, example_bytes: int = EXAMPLE_BYTES) -> Model:
+def excerpt(text: Column, key: Column, most: int) -> Column:
+    """A binary text of at most `most` bytes whole, of a longer one so many bytes from a place named by the key's hash."""
+    room = F.greatest(F.octet_length(text) - most, F.lit(0)) + 1
+    return text.substr((F.pmod(F.xxhash64(key), room) + 1).cast("int"), F.lit(most))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, example_bytes: int = EXAMPLE_BYTES
+) -> Model:
     """Fit on a bounded sample: of each class the rows_per_class labelled ids of smallest hash that are in a training
-    fold, with texts of at most example_bytes. Rows with a null id, label or text are never learnt from."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter((fold(F.col("_id")) != 1) & F.col("_y").isin(0, 1))
-    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    pick = [known.filter(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class) for k in (0, 1)]
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).filter(F.octet_length("_t") <= example_bytes)
-    rows = some.join(F.broadcast(pick[0].unionByName(pick[1])), "_id").limit(2 * rows_per_class).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"], bytes(r["_t"])))
+    fold and in docs. Of a text longer than example_bytes an excerpt from anywhere in it is learnt from. Rows with a
+    null id, label or text are never learnt from, nor are ids that have both labels; of rows that share an id the text
+    of least hash is."""
+    label = F.col(label_col).cast("int")
+    known = labels.select(F.col(id_col).alias("_id"), label.alias("_y")).filter((fold(F.col("_id")) != 1) & F.col("_y").isin(0, 1))
+    sure = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter("_y = _z").drop("_z")
+    counts = {r["_y"]: r["count"] for r in sure.groupBy("_y").count().collect()}
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).filter(F.col("_t").isNotNull())
+    here = sure.join(text.select("_id"), "_id", "left_semi")
+    pick = [here.filter(F.col("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class) for k in (0, 1)]
+    some = text.join(F.broadcast(pick[0].unionByName(pick[1])), "_id")
+    part = excerpt(F.col("_t"), F.col("_id"), example_bytes)
+    rows = some.select("_id", "_y", part.alias("_t")).groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), "_t")).alias("x")).collect()
+    rows.sort(key=lambda r: (r["_id"], r["_y"]))
     total = sum(counts.values())
-    return fit([bytes(r["_t"]) for r in rows], [r["_y"] for r in rows], counts.get(1, 0) / total if total else None)
+    model = fit([bytes(r["x"]["_t"]) for r in rows], [r["_y"] for r in rows], counts.get(1, 0) / total if total else None)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -177,6 +194,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     text = keep.index(text_col) if carry else 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, col in text_slices(batch, text):

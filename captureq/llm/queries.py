@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed, langid, media, packing, quality, repeats, simhash, urlfilter, warc
-from .common import held_out, scratch_path
+from .common import bounded_batches, held_out, scratch_path
 from .oracles import ORACLES  # noqa: F401  read by the driver entry
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,9 +27,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then text: what is left, without characters that a cut has left incomplete."""
     out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n, left = (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("text", "kept"))
-    return out.select("doc_id", n.alias("n_bytes"), (n - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return out.select("doc_id", n.alias("n_bytes"), (n - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), digest, repeats.valid_text(F.col("kept")).alias("text"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, text_slices, written
+from .common import frequent_join, released, text_slices, written
 from .components import connected_components
 from .simhash import fingerprint_links
 
@@ -111,6 +111,7 @@ def _marks(df: DataFrame, id_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     names = [id_col, "t1", "t2", "node", "n", "fp", "bands"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, col in text_slices(batch, 3):
@@ -130,23 +131,27 @@ def _marks(df: DataFrame, id_col: str) -> DataFrame:
 
 def _stars(keyed: DataFrame) -> DataFrame:
     """(a, b): every node of a key that holds several, and the key's least."""
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b <> most").select("key", "b")
-    return salted_join(keyed, least, ["key"], "inner").select(F.col("node").alias("a"), "b").filter("a <> b")
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most"), F.count(F.lit(1)).alias("w")).filter("b <> most").select("key", "b", "w")
+    return frequent_join(keyed, least, ["key"], "w", "inner").select(F.col("node").alias("a"), "b").filter("a <> b")
 
 
-def _decided(members: DataFrame, block: int) -> DataFrame:
-    """(a, b): links between nodes of one proposed group that the shingle sets bear out. members: grp, node, n, text."""
-    size = members.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    met = salted_join(members, size.withColumn("blocks", F.greatest("blocks", F.lit(1))), ["grp"], "inner")
+def _decided(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(a, b): links between nodes of one proposed group that the shingle sets bear out. members: grp, node, n, t1, t2;
+    texts: t1, t2, text. Rows stay slim until blocks are dealt."""
+    blocks = F.greatest(F.ceil(F.sum("n") / block).cast("int"), F.lit(1))
+    size = written(members.groupBy("grp").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("w")), "sizes")
+    met = frequent_join(members, size, ["grp"], "w", "inner")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
+    met = met.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "t1", "t2")
+    met = met.join(texts, ["t1", "t2"]).select("grp", "lo", "hi", "node", "text")
 
     def solve(nodes: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         links = similar_links(sets) if len(sets) > 1 else []
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         for batch in parts:
@@ -178,14 +183,16 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = df.select(id_col, *text_hashes(text_col), text.alias("_t"))
     rows = written(_marks(docs, id_col), "shingles")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("t1", "t2", "n", "fp", "bands")).alias("x")).select("node", "x.*"), "nodes")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("t1", "t2", "n", "fp", "bands")).alias("x"), F.count(F.lit(1)).alias("w"))
+    nodes = written(nodes.select("node", "x.*", "w"), "nodes")
     prints = fingerprint_links(nodes.filter("n > 0").select("fp").distinct())
     merged = connected_components(prints).select(F.col("node").alias("fp"), "component")
     by_print = nodes.filter("n > 0").select("node", "fp").join(merged, "fp", "left").select(F.coalesce("component", "fp").alias("key"), "node")
     by_band = nodes.select(F.explode("bands").alias("key"), "node")
-    proposed = _stars(by_band).unionByName(_stars(by_print))
-    group = written(connected_components(proposed).select("node", F.col("component").alias("grp")), "groups")
-    wanted = nodes.join(group, "node").select("t1", "t2", "node", "n", "grp")
-    members = wanted.join(docs.select("t1", "t2", F.col("_t").alias("text")).dropDuplicates(["t1", "t2"]), ["t1", "t2"]).select("grp", "node", "n", "text")
-    member = connected_components(_decided(members, block))
-    return salted_join(rows.select(id_col, "t1", "t2", "node"), member, ["node"]).select(id_col, "t1", "t2", F.coalesce("component", "node").alias("component"))
+    proposed = _stars(by_band).unionByName(_stars(written(by_print, "prints")))
+    group = connected_components(proposed).select("node", F.col("component").alias("grp"))
+    members = written(nodes.join(group, "node").select("t1", "t2", "node", "n", "grp"), "members")
+    texts = docs.select("t1", "t2", F.col("_t").alias("text")).dropDuplicates(["t1", "t2"])
+    member = connected_components(_decided(members, texts, block))
+    named = written(member.join(nodes.select("node", "w"), "node"), "members")
+    return frequent_join(rows.select(id_col, "t1", "t2", "node"), named, ["node"], "w").select(id_col, "t1", "t2", F.coalesce("component", "node").alias("component"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, text_slices, written
+from .common import frequent_join, released, text_slices, written
 from .components import connected_components
 
 TREE = 4096
@@ -48,6 +48,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, fp long (the 64 bits, signed) for every row; null and wordless texts have fingerprint zero."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, col in text_slices(batch, 1):
@@ -145,6 +146,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, tree: int = TREE) -> Data
     met = met.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).cast("int").alias("in_tree"), "fp")
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for own, fp in _runs(parts):
@@ -174,9 +176,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint zero and link like any other; a null id gets the smallest non-null id of its component; repeated rows
     stay repeated; an empty table gives no rows; other columns are ignored."""
     rows = written(fingerprints(df, id_col, text_col, words), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    fps = rows.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_n"))
     member = connected_components(fingerprint_links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
-    known = fps.join(member, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "_least")
+    known = fps.join(member, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "_least", "_n")
     known = written(known, "classes")
     least = known.groupBy("component").agg(F.min("_least").alias("component_id"))
-    return salted_join(rows, known.join(least, "component").select("fp", "component_id"), ["fp"])
+    named = written(known.join(least, "component").select("fp", "component_id", "_n"), "named")
+    return frequent_join(rows, named, ["fp"], "_n")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join
+from .common import frequent_join, written
 from .components import connected_components
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -43,32 +43,65 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
+#: Character references that may stand in an attribute's url: names and numbers of these, the ampersand last.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_NUMBERED = "<>\"'/:=?#%."
+REFERENCES = [(f"&{k};", v) for k, v in _NAMED.items()] + [(f"&#{n};", c) for c in _NUMBERED for n in (ord(c), f"x{ord(c):x}", f"x{ord(c):X}", f"X{ord(c):X}")]
+REFERENCES += [(k, "&") for k in ("&#38;", "&#x26;", "&#X26;", "&amp;")]
+
+
+def decoded(attribute: Column) -> Column:
+    """An attribute's text without character references, as far as REFERENCES goes."""
+    for reference, char in REFERENCES:
+        attribute = F.replace(attribute, F.lit(reference), F.lit(char))
+    return attribute
+
+
+def node(url: Column) -> Column:
+    """The name under which a url is a node: no fragment, scheme and authority in lower case, no dot segments, `/` for
+    an empty path. A url without `://` only loses its fragment."""
+    plain = F.regexp_replace(url, r"#.*$", "")
+    site = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    path = F.regexp_extract(plain, r"^[^?]*?://[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(plain, r"(\?.*)$", 1)
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    clean = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    clean = F.concat(clean, F.when((clean == "") | F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when(site == "", plain).otherwise(F.concat(F.lower(site), clean, query))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): page url and the absolute target of each canonical link and refresh; fragments are dropped."""
+    """(a, b): the nodes of the page's url and of the absolute target of each canonical link and refresh."""
     # Only pages that can hold such a tag are searched by pattern.
     low = F.lower(F.col(html_col))
     some = pages.select(F.col(url_col).alias("a"), F.col(html_col).alias("_h")).filter(low.contains("canonical") | low.contains("refresh"))
     found = F.flatten(F.array(*[F.regexp_extract_all("_h", F.lit(p), 1) for p in _LINKS]))
-    edge = some.filter(F.col("a").isNotNull()).select("a", F.explode(found).alias("t"))
+    edge = some.filter(F.col("a").isNotNull()).select(F.regexp_replace("a", r"#.*$", "").alias("a"), F.explode(found).alias("t"))
+    edge = edge.select("a", F.regexp_replace(decoded(F.col("t")), r"#.*$", "").alias("t"))
     scheme = F.regexp_extract("a", r"^([^:/?#]+:)//", 1)
     origin = F.regexp_extract("a", r"^([^:/?#]+://[^/?#]*)", 1)
     folder = F.regexp_extract("a", r"^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    t = F.regexp_replace("t", r"#.*$", "")
+    t = F.col("t")
     full = (
-        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(origin, t)).when(t.startswith("?"), F.concat(F.regexp_extract("a", r"^([^?#]*)", 1), t))
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when(t.startswith("//"), F.concat(scheme, t))
+        .when(t.startswith("/"), F.concat(origin, t))
+        .when(t.startswith("?"), F.concat(F.regexp_extract("a", r"^([^?#]*)", 1), t))
         .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), t))
-    )
-    return edge.withColumn("b", full).filter(t != "").select(F.regexp_replace("a", r"#.*$", "").alias("a"), "b")
+    )
+    return edge.filter(t != "").select(node(F.col("a")).alias("a"), node(full).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, host, path, rule (null where none fits), verdict, for every row.
 
     The longest fitting rule decides; explicit allow is never overruled by an alias. A null url has empty host and path
-    and no aliases, so it is allowed; null html has no edges; repeated rows stay; an empty table gives no rows."""
+    and no aliases, so it is allowed; null html has no edges; repeated rows stay; an empty table gives no rows. Urls that
+    differ in the case of scheme and host, in dot segments or in character references of a link are one node."""
     base = pages.select(F.col(id_col), F.col(url_col).alias("_url"))
     host, path = host_path(F.col("_url"))
-    base = base.select(id_col, F.regexp_replace("_url", r"#.*$", "").alias("node"), host.alias("host"), path.alias("path"))
+    base = base.select(id_col, node(F.col("_url")).alias("node"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("_own"))
     member = connected_components(alias_edges(pages, url_col, html_col))
@@ -77,5 +110,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     told = member.withColumn("_url", F.col("node")).select("node", "component", h.alias("h"), p.alias("p")).withColumn("v", own)
     decided = told.groupBy("component").agg(F.max(F.col("v") == "allow").alias("some_allow"), F.max(F.col("v") == "block").alias("some_block"))
     alias = member.join(decided, "component").select("node", F.when(F.col("some_allow"), "allow").when(F.col("some_block"), "block").alias("_alias"))
-    out = salted_join(base, alias, ["node"])
+    alias = written(alias, "aliases")
+    weight = base.join(alias.select("node"), "node").groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    out = frequent_join(base, written(alias.join(weight, "node"), "weights"), ["node"], "w")
     return out.select(id_col, "host", "path", "rule", F.coalesce("_own", "_alias", F.lit("allow")).alias("verdict"))

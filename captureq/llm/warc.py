@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, text_slices, written
+from .common import frequent_join, released, text_slices, written
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -47,9 +47,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
     """(id, digest, refers_to) of the rows whose payload, of at least least_bytes, also stands under a larger id."""
-    slim = pages.select(F.col(id_col).alias("id"), F.sha2(payload_col, 256).alias("digest"), F.octet_length(payload_col).alias("n")).filter((F.col("n") >= least_bytes) & F.col("id").isNotNull()).drop("n")
-    first = slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).filter("least < refers_to").drop("least")
-    return salted_join(slim, first, ["digest"], "inner").filter("id < refers_to").distinct()
+    slim = written(pages.select(F.col(id_col).alias("id"), F.sha2(payload_col, 256).alias("digest"), F.octet_length(payload_col).alias("n")).filter((F.col("n") >= least_bytes) & F.col("id").isNotNull()).drop("n"), "digests")
+    first = slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least"), F.count(F.lit(1)).alias("w")).filter("least < refers_to").drop("least")
+    return frequent_join(slim, first, ["digest"], "w", "inner").filter("id < refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 20_000) -> None:
@@ -62,6 +62,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits(rows, "id", "payload", least_bytes), ["id", "digest"], "left")
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             ids, urls, refers = (batch.column(k).to_pylist() for k in range(3))
@@ -107,6 +108,7 @@ CANDIDATE = "file string, at long, next long, record_type string, id long, refer
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """The candidates of every archive file below path; files may be compressed by gzip."""
 
+    @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("id", pa.int64()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("sound", pa.bool_())])
         for batch in parts:

@@ -59,7 +59,6 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     got = packing.pack_documents(docs, JSON, size=512, open_bins=4).collect()
     want = []
     for i, t, _ in rows:
@@ -82,6 +81,15 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, JSON).count() == 0
 
 
+def test_packing_is_full(spark):
+    """Packed sequences are nearly full: at most the open ones of each task and some of their room stay empty."""
+    rng = random.Random(21)
+    df = spark.createDataFrame([(k, words(rng, rng.randint(1, 900))) for k in range(400)], "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, JSON, size=2048).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    total = sum(r.n for r in got)
+    assert len(got) <= 1.02 * total / 2048 + 1
+
+
 def test_open_bins():
     b = packing.OpenBins(10, 2)
     assert [b.place(n) for n in (6, 7, 3, 4, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 9)]
@@ -129,6 +137,54 @@ def test_png_filters(kind):
     assert np.array_equal(media.unfilter(lines), image)
 
 
+def test_png_filters_mixed():
+    """Every filter above every other, undone as by hand, sample by sample."""
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(0, 5, 60)
+    lines = np.column_stack([kinds, rng.integers(0, 256, (60, 9))]).astype(np.uint8)
+    want = np.zeros((61, 10), int)
+    for y, line in enumerate(lines.tolist()):
+        for x, v in enumerate(line[1:]):
+            a, b, c = want[y + 1, x], want[y, x + 1], want[y, x]
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            want[y + 1, x + 1] = (v + [0, a, b, (a + b) // 2, paeth][line[0]]) % 256
+    assert np.array_equal(media.unfilter(lines), want[1:, 1:])
+
+
+def test_written_filters_are_undone():
+    rng = np.random.default_rng(2)
+    ramp = (np.arange(64 * 20) % 251).astype(np.uint8)
+    stripes = np.tile(rng.integers(0, 256, 64, dtype=np.uint8), 20)
+    seen = set()
+    for samples in (rng.integers(0, 2, 64 * 20, dtype=np.uint8), ramp, stripes, np.zeros(64, np.uint8)):
+        png = media.write_png(samples.tobytes())
+        n = int.from_bytes(png[33:37], "big")
+        seen.add(zlib.decompress(png[41 : 41 + n])[65 if len(samples) > 64 else 0])
+        assert media.read_png(png).tobytes() == samples.tobytes()
+    assert seen == {0, 1, 2}
+
+
+def test_feature_is_a_direct_cosine_sum():
+    """The hash from sums written out by hand, and the stored form's digest from its own bytes."""
+    rng = np.random.default_rng(4)
+    for height in (1, 5, 32, 70):
+        image = rng.integers(0, 256, (height, 64)).astype(float)
+        rows = [image[y * height // 32] if height < 32 else image[y * height // 32 : (y + 1) * height // 32].mean(axis=0) for y in range(32)]
+        small = [[(r[2 * x] + r[2 * x + 1]) / 2 for x in range(32)] for r in rows]
+        angle = lambda k, i: np.cos(np.pi * (2 * i + 1) * k / 64)
+        low = [round(sum(small[y][x] * angle(v, y) * angle(u, x) for y in range(32) for x in range(32)), 6) for v in range(8) for u in range(8)]
+        bits = "".join(str(int(c > np.median(low[1:]))) for c in low)
+        assert media.dct_hash(image) == f"{int(bits, 2):016x}"
+
+
+def test_bpe_decodes_by_the_inverse_mapping():
+    enc = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
+    assert enc.pieces == bpe.read_ranks(RANKS)
+    enc.pieces = [b"?"] * len(enc.pieces)
+    assert enc.decode([5, 6]) == b"??"  # nothing else is asked
+
+
 def test_png_checksum():
     png = media.write_png(bytes(128))
     assert media.read_png(png).tobytes() == bytes(128)
@@ -497,3 +553,25 @@ def test_folds(spark):
     from captureq.llm.common import held_out
 
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in df.select("id", held_out(F.col("id")).alias("h")).collect())
+
+
+def test_url_aliases_equal_sql(spark):
+    """Rows whose verdict hangs on an alias: mixed case, character references, dot segments, every kind of target."""
+    import duckdb
+
+    from captureq.llm.oracles import OP6
+
+    link, refresh = '<link rel="canonical" href="{}">', "<meta content='0;url={}' http-equiv='refresh'>"
+    rows = [
+        (1, "http://a.net/es/", link.format("HTTP://B.org/p?x=1&amp;y=2")), (2, "http://b.ORG/p?x=1&y=2", ""), (3, "http://c.org/d/e/../f/./g", link.format("http://a.net/es/")), (4, "http://C.org/d/f/g", None),
+        (5, "http://d.org", refresh.format("&#x2F;q")), (6, "http://d.org/q#z", link.format("http://a.net/es/")), (7, "http://e.org/x/y", link.format("../z/..")), (8, "http://e.org/", link.format("//shop.com/")),
+        (9, "http://f.org/a/b?q", link.format("?r=1")), (10, "http://f.org/a/b?r=1", link.format("http://e.net/fr/x")), (11, "http://g.org/p", link.format("http://h.org/p")), (12, None, link.format("http://a.net/es/")),
+        (13, "http://e.net/fr/x", None), (14, "nonsense", link.format("http://a.net/es/")), (15, "http://i.org/../..", link.format("http://i.org/.")),
+    ]
+    got = bag(tuple(r) for r in urlfilter.judge_urls(pages(spark, rows), q.URL_RULES).collect())
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert got == bag(duck.execute(OP6).fetchall())
+    verdict = {r[0]: r[4] for r in map(eval, got)}
+    assert [verdict[k] for k in (2, 3, 4, 5, 6, 7, 8, 9, 10)] == ["block"] * 5 + ["allow"] * 2 + ["block"] * 2
