@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from captureq.llm import langid, quality, repeats, shingles
 from captureq.llm import queries as q
-from captureq.llm.common import written
+from captureq.llm.common import bounded_batches, written
 
 #: Documents whose probability of quality 1 is under this are rejected: somewhat under a half, to keep clean ones.
 REJECT_BELOW = 0.4
@@ -20,6 +20,7 @@ PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_CORE, PASSAGE_WIDTH = 50, 100, 40, 50
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Null and empty texts are scored as empty texts."""
+    bounded_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, carry=True).filter(F.col("score") >= REJECT_BELOW).select(*docs.columns)
 
@@ -45,9 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte runs that repeat and hold over 50 words, or 400 bytes in any number of words;
     characters that a cut leaves incomplete go too."""
     out = repeats.remove_repeats(docs, length=PASSAGE_BYTES, core=PASSAGE_CORE, width=PASSAGE_WIDTH, words=PASSAGE_WORDS, enough=400)
-    left = F.col("kept").cast("string")
-    clean = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(repeats.valid_text(F.col("kept")))
     new = {"text": text} | ({"n_chars": F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
@@ -66,6 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn to the documents table."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
