@@ -70,9 +70,26 @@ def timeout_ms(message: Column) -> Column:
     return F.regexp_extract(message, r"(\d+)\s*ms\s+exceeded", 1).try_cast("int")
 
 
-def error_type(signing_failed: Column, own_timeout: Column, message: Column) -> Column:
-    lib_timeout = F.regexp_extract(message, r"(\d+)\s*ms\s+exceeded", 1) != ""
-    return F.when(signing_failed, "signing").when(own_timeout | lib_timeout, "timeout").when(message.contains("disconnect") | message.contains("closed"), "connection").otherwise("internal")
+#: Names of error classes that decide before any message does.
+SIGNING_ERROR, TIMEOUT_ERROR = "SigningRequiredError", "TimeoutError"
+
+
+def error_type(error_class: Column, message: Column) -> Column:
+    """Class first: a failed signature, a time limit (the engine's own or the browser library's); then the message: a
+    lost connection, else an internal error. Null class and message give an internal error."""
+    lost = F.coalesce(message.contains("disconnect") | message.contains("closed"), F.lit(False))
+    by_class = F.when(error_class == SIGNING_ERROR, "signing").when(error_class == TIMEOUT_ERROR, "timeout")
+    return by_class.when(lost, "connection").otherwise("internal")
+
+
+def context_destroyed(message: Column) -> Column:
+    """Whether an error only says that the page navigated while it was looked at: such an operation is run again."""
+    return F.coalesce(F.lower(message).contains("execution context was destroyed"), F.lit(False))
+
+
+def http_success(status: Column) -> Column:
+    """The statuses of a successful page: 200 to 299; a null status is none."""
+    return F.coalesce(status.between(200, 299), F.lit(False))
 
 
 def mask_key(key: Column) -> Column:
@@ -89,7 +106,7 @@ def env_bool(text: Column) -> Column:
 
 def http_version(protocol: Column) -> Column:
     p = F.lower(F.coalesce(protocol, F.lit("")))
-    return F.when(p.startswith("h2"), "HTTP/2.0").when(p == "http/1.0", "HTTP/1.0").otherwise("HTTP/1.1")
+    return F.when(p.isin("h2", "http/2", "http/2.0"), "HTTP/2.0").when(p == "http/1.0", "HTTP/1.0").otherwise("HTTP/1.1")
 
 
 def scale_dims(url: Column, factor: float) -> Column:

@@ -22,6 +22,17 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
 
 
+def host_port(url: Column) -> Column:
+    """Lower-case host and port as a Host header names them, without user information."""
+    return F.lower(F.regexp_replace(F.regexp_extract(url, _AUTHORITY, 1), r"^.*@", ""))
+
+
+def parseable(url: Column) -> Column:
+    """Whether the authority holds a host, whole brackets and only digits as a port, so that a browser would take it."""
+    fine = r"^(?:[^@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^\s\[\]<>^|%\\@:]+)(?::\d*)?$"
+    return F.coalesce(F.regexp_extract(url, _AUTHORITY, 1).rlike(fine), F.lit(False))
+
+
 def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
 
@@ -69,18 +80,46 @@ def fuzzy_key(url: Column, params: Sequence[str]) -> Column:
     return F.when(F.size(kept) > 0, F.concat(stem, F.lit("?"), F.array_join(kept, "&"))).otherwise(stem)
 
 
+def dotless(url: Column) -> Column:
+    """The url with `.` and `..` segments of its path resolved; one without an authority stays as it is."""
+    site = origin(url)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    clean = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    clean = F.concat(clean, F.when((clean == "") | F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when((site != "") & path.contains("/."), F.concat(site, clean, rest)).otherwise(url)
+
+
+#: Character references that an attribute's url commonly holds, the ampersand last.
+REFERENCES = [("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
+
+
+def decoded(attribute: Column) -> Column:
+    """An attribute's value without character references, as far as REFERENCES goes."""
+    for reference, char in REFERENCES:
+        attribute = F.replace(attribute, F.lit(reference), F.lit(char))
+    return attribute
+
+
 def absolute(href: Column, base: Column) -> Column:
-    """href resolved against a base url without dot segments: absolute, `//`, `/`, `?`, `#` and relative forms."""
+    """href resolved against a base url: absolute, `//`, `/`, `?`, `#` and relative forms, dot segments resolved."""
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href)).otherwise(F.concat(folder, href))
-    )
+    full = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin(base), href))
+        .when((href == "") | href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
+        .otherwise(F.concat(folder, href))
+    )
+    return dotless(full)
 
 
 def is_web(url: Column) -> Column:
-    return scheme(url).isin("http", "https") & (host(url) != "")
+    return scheme(url).isin("http", "https") & (host(url) != "") & parseable(url)
 
 
 def s3_parts(uri: Column) -> tuple[Column, Column]:

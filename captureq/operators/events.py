@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from captureq.functions.text import context_destroyed
+
 #: Events that open a request, and those that end one.
 OPENING, ENDING = ("requestWillBeSent", "redirect"), ("loadingFinished", "loadingFailed")
 
@@ -36,6 +38,19 @@ def paired_exchanges(events: DataFrame) -> DataFrame:
     return told.select("request_id", "round", "opened_at", "responded", outcome.alias("outcome"), F.when(F.col("end.kind") == "loadingFinished", F.col("end.encoded_length")).alias("encoded_length"))
 
 
+def navigation_retries(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """key, attempts, given_up: how often an operation ran, at first and again after errors that only say that the page
+    navigated (message; null: it went well), and whether it ended in such an error after `most` repetitions."""
+    again = context_destroyed(F.col("message"))
+    out = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(again).alias("_lost"), F.max_by(again, F.col("seq")).alias("_last"))
+    return out.select(key, "attempts", (F.col("_last") & (F.col("_lost") > most)).alias("given_up"))
+
+
+def membership_key(members: DataFrame, group: str, member: str) -> DataFrame:
+    """group, key: the group's distinct members in order, joined by commas; equal keys are equal memberships."""
+    return members.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(member)), ",").alias("key"))
+
+
 def flips(events: DataFrame, key: str, seq: str, value: str) -> DataFrame:
     """Rows whose value differs from the one before it under the key (the first row counts)."""
     prev = F.lag(value).over(Window.partitionBy(key).orderBy(seq))

@@ -6,24 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captureq.functions.text import trim_all
-from captureq.functions.url import absolute, is_web
+from captureq.functions.url import absolute, decoded, is_web
 
-_ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>.*?</a>"""
-_WHOLE = r"""(?is)(<a\s[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a>)"""
+#: An attribute's value: quoted either way, or up to white space and the end of the tag.
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_WHOLE = r"""(?is)(<a\s(?:"[^"]*"|'[^']*'|[^>"'])*>.*?</a>)"""
+_TAG = r"""(?is)(<[a-z](?:"[^"]*"|'[^']*'|[^>"'])*>)"""
 
 
 def _group(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's attribute, however it is quoted; null where the tag has none."""
+    p = rf"(?is)^<[a-z][^\s/>]*(?:\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)?\s{name}{_VALUE}"
+    value = F.concat(*[F.regexp_extract(tag, p, k) for k in (1, 2, 3)])
+    return F.when(tag.rlike(p), decoded(value))
+
+
 def anchors(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """page, pos, href (absolute), text (trimmed, 200 characters at most), rel (null where empty), in document order."""
-    tags = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(_WHOLE), 1)).alias("pos", "tag"))
+    """page, pos, href (absolute, as it stands where no url can be made of it), text (trimmed, 200 characters at most),
+    rel (null where empty), in document order. Null html has no links; a null url leaves relative targets null."""
+    told = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("base"), F.regexp_extract_all("html", F.lit(_WHOLE), 1).alias("tags"))
+    # A position counts the anchors that have a target.
+    targets = F.filter("tags", lambda t: t.rlike(rf"(?is)^<a\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?(?<=\s)href{_VALUE}"))
+    tags = told.select("page_id", "base", F.posexplode(targets).alias("pos", "tag"))
     tag = F.col("tag")
-    raw = _group(tag, r"""(?is)^<a\s[^>]*?\bhref\s*=\s*["']([^"']*)["']""")
-    text = F.regexp_replace(_group(tag, r"(?is)^<a\s[^>]*>(.*)</a>$"), r"<[^>]*>", "")
-    rel = _group(tag, r"""(?is)^<a\s[^>]*?\brel\s*=\s*["']([^"']*)["']""")
-    return tags.select("page_id", F.col("pos").cast("long").alias("pos"), absolute(raw, F.col("base")).alias("href"), F.substring(trim_all(text), 1, 200).alias("text"), F.nullif(rel, F.lit("")).alias("rel"))
+    text = F.regexp_replace(_group(tag, r"""(?is)^<a\s(?:"[^"]*"|'[^']*'|[^>"'])*>(.*)</a>$"""), r"<[^>]*>", "")
+    href = absolute(F.trim(attribute(tag, "href")), F.col("base"))
+    rel = F.nullif(attribute(tag, "rel"), F.lit(""))
+    return tags.select("page_id", F.col("pos").cast("long").alias("pos"), href.alias("href"), F.substring(trim_all(text), 1, 200).alias("text"), rel.alias("rel"))
 
 
 def outbound_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -44,12 +57,20 @@ def srcset_urls(value: Column) -> Column:
 
 
 def responsive_candidates(pages: DataFrame) -> DataFrame:
-    """page_id, candidates: absolute urls of src, data-src, data-lazy-src, poster and every srcset candidate."""
-    html = F.col("html")
-    plain = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:img|source|video|[a-z0-9]+)\b[^>]*?\s(?:data-src|data-lazy-src|poster|src)\s*=\s*["']([^"']*)["']"""), 1)
-    sets = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)\s(?:data-srcset|srcset)\s*=\s*["']([^"']*)["']"""), 1), srcset_urls))
-    every = F.transform(F.concat(plain, sets), lambda u: absolute(u, F.col("url")))
-    return pages.select("page_id", F.array_distinct(F.filter(every, is_web)).alias("candidates"))
+    """page_id, candidates: absolute urls of src, data-src, data-lazy-src, poster and every srcset candidate, each once.
+
+    Elements are img, source and whatever has one of the other attributes; they are looked at in document order, the
+    attributes of one in that order. Null html has no candidates."""
+    element = r"""(?is)^<(?:(?:img|source)\b|.*\s(?:data-src|data-srcset|data-lazy-src|poster)\s*=)"""
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), 1), lambda t: t.rlike(element))
+
+    def urls(tag: Column) -> Column:
+        plain = F.array(*[F.nullif(attribute(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src", "poster")])
+        sets = F.flatten(F.array(*[F.coalesce(srcset_urls(attribute(tag, n)), F.array().cast("array<string>")) for n in ("srcset", "data-srcset")]))
+        return F.concat(plain, sets)
+
+    every = F.transform(F.flatten(F.transform(tags, urls)), lambda u: absolute(F.trim(u), F.col("url")))
+    return pages.select("page_id", F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda u: F.coalesce(is_web(u), F.lit(False)))).alias("candidates"))
 
 
 def stylesheet_urls(css: Column, base: Column) -> Column:
@@ -68,21 +89,60 @@ CMP = [
 ]
 
 
-def _selector_regex(selector: str) -> str:
+#: Which overlays a page is freed of where a request does not say.
+HEURISTIC = {"enabled": True, "min_ratio": 0.3, "min_z": 1000}
+
+
+def _matches(selector: str, ids: Column, classes: Column) -> Column:
+    """Whether a selector of the forms #id, .class and [id^="prefix"] finds an element: names are matched exactly."""
     if selector.startswith("#"):
-        return rf"""(?is)<[a-z][^>]*\sid\s*=\s*["']{selector[1:]}["']"""
+        return F.array_contains(ids, selector[1:])
     if selector.startswith("."):
-        return rf"""(?is)<[a-z][^>]*\sclass\s*=\s*["'](?:[^"']*\s)?{selector[1:]}(?:\s[^"']*)?["']"""
-    return rf"""(?is)<[a-z][^>]*\sid\s*=\s*["']{selector.split('"')[1]}"""
+        return F.array_contains(classes, selector[1:])
+    prefix = selector.split('"')[1]
+    return F.exists(ids, lambda i: i.startswith(prefix))
 
 
 def consent_banners(pages: DataFrame, excluded: list[str] | None = None, custom: list[tuple[str, str]] | None = None) -> DataFrame:
-    """page_id, framework (first hit, else null), removed (matching selectors, space-joined); excluded frameworks are
-    left out, custom entries come last."""
+    """page_id, framework (first hit, else null), removed (array of matching selectors); excluded frameworks are left
+    out, custom entries come last. The ids and classes of a page are read once, all selectors look at them."""
     entries = [e for e in CMP if e[0] not in (excluded or [])] + (custom or [])
-    hits = F.filter(F.array(*[F.when(F.col("html").rlike(_selector_regex(s)), F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"))) for f, s in entries]), lambda x: x.isNotNull())
-    told = pages.select("page_id", hits.alias("h"))
-    return told.select("page_id", F.get("h", F.lit(0))["f"].alias("framework"), F.array_join(F.transform("h", lambda x: x["s"]), " ").alias("removed"))
+    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), 1), lambda t: t.rlike(r"(?is)\s(?:id|class)\s*="))
+    named = pages.select("page_id", F.coalesce(tags, F.array().cast("array<string>")).alias("t"))
+    ids = F.filter(F.transform("t", lambda t: attribute(t, "id")), lambda x: x.isNotNull())
+    classes = F.flatten(F.filter(F.transform("t", lambda t: F.split(attribute(t, "class"), r"\s+")), lambda x: x.isNotNull()))
+    told = named.select("page_id", F.array_distinct(ids).alias("ids"), F.array_distinct(classes).alias("classes"))
+    hit = [F.when(_matches(s, F.col("ids"), F.col("classes")), F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"))) for f, s in entries]
+    told = told.select("page_id", F.filter(F.array(*hit), lambda x: x.isNotNull()).alias("h"))
+    return told.select("page_id", F.get("h", F.lit(0))["f"].alias("framework"), F.transform("h", lambda x: x["s"]).alias("removed"))
+
+
+def dismiss_options(specs: DataFrame, spec_col: str = "spec") -> DataFrame:
+    """The banner options of each request: spec is a VARIANT that holds nothing, a boolean or an object.
+
+    active (false for absent, null and false), excluded, custom selectors, use_defaults, fail_on_error and the
+    heuristic's fields, each with its default where the object leaves it out."""
+    v = F.col(spec_col)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    flag = get("$", "boolean")
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    active = v.isNotNull() & ~F.is_variant_null(v) & F.coalesce(is_object | flag, F.lit(False))
+    none = F.array().cast("array<string>")
+    heuristic = F.struct(
+        F.coalesce(get("$.heuristic.enabled", "boolean"), F.lit(HEURISTIC["enabled"])).alias("enabled"),
+        F.coalesce(get("$.heuristic.minViewportCoverageRatio", "double"), F.lit(HEURISTIC["min_ratio"])).alias("min_ratio"),
+        F.coalesce(get("$.heuristic.minZIndex", "long"), F.lit(HEURISTIC["min_z"])).alias("min_z"),
+    )
+    return specs.withColumns(
+        {
+            "active": active,
+            "use_defaults": F.coalesce(get("$.useDefaults", "boolean"), F.lit(True)),
+            "excluded": F.coalesce(get("$.excludeFrameworks", "array<string>"), none),
+            "custom": F.coalesce(get("$.extraSelectors", "array<string>"), none),
+            "heuristic": heuristic,
+            "fail_on_error": F.coalesce(get("$.failOnError", "boolean"), F.lit(False)),
+        }
+    )
 
 
 def media_urls(pages: DataFrame) -> DataFrame:

@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captureq.functions.digest import EMPTY_SHA256
 from captureq.functions.url import fuzzy_key, surt
 
 
 def cdxj_line(url: Column, timestamp: Column, mime: Column, status: Column, digest: Column, length: Column, offset: Column, filename: Column) -> Column:
-    """`surt ts {json}` with fixed key order and every value a JSON string (values are quoted by to_json)."""
+    """`surt ts {json}` with fixed key order and every value a JSON string (values are quoted by to_json). A null digest
+    is that of no bytes, since every line states one; other null values are empty strings."""
+    digest = F.coalesce(digest, F.lit("sha256:" + EMPTY_SHA256))
     pairs = [("url", url), ("mime", mime), ("status", status), ("digest", digest), ("length", length), ("offset", offset), ("filename", filename)]
-    quoted = [F.concat(F.lit(f'"{k}":'), F.regexp_extract(F.to_json(F.struct(v.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)) for k, v in pairs]
+    quoted = [F.concat(F.lit(f'"{k}":'), F.regexp_extract(F.to_json(F.struct(F.coalesce(v.cast("string"), F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)) for k, v in pairs]
     return F.concat_ws(" ", surt(url), timestamp, F.concat(F.lit("{"), F.concat_ws(",", *quoted), F.lit("}")))
 
 

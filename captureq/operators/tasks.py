@@ -52,26 +52,35 @@ def retry_outcome(tasks: DataFrame, max_retry: int = 2) -> DataFrame:
 
 
 def classified_errors(tasks: DataFrame) -> DataFrame:
-    """Error class of each message, the library's time limit, and the resulting status."""
-    kind = error_type(F.lit(False), F.lit(False), F.col("message"))
-    out = tasks.select("task_id", kind.alias("error_type"), timeout_ms(F.col("message")).alias("timeout_ms"))
+    """Kind of each error (error_class, message), the time limit that a message names, and the resulting status."""
+    kind = error_type(F.col("error_class"), F.col("message"))
+    limit = F.when(kind == "timeout", timeout_ms(F.col("message")))
+    out = tasks.select("task_id", kind.alias("error_type"), limit.alias("timeout_ms"))
     return out.withColumn("status", F.when(F.col("error_type") == "timeout", "timeout").otherwise("failed"))
 
 
-def _repeats_url() -> Column:
-    return F.row_number().over(Window.partitionBy("url").orderBy("enqueued_at", "task_id")) > 1
+def _held(tasks: DataFrame, holds: Column) -> DataFrame:
+    """tasks with held: whether an earlier task (in queue order) holds the same url. The first holder of a url is a
+    partial minimum, so a url that very many tasks name is no crowded window."""
+    order = F.struct("enqueued_at", "task_id")
+    first = tasks.filter(holds).groupBy("url").agg(F.min(order).alias("_first"))
+    return tasks.join(first, "url", "left").withColumn("held", F.coalesce(F.col("_first") < order, F.lit(False))).drop("_first")
 
 
-def duplicate_urls(tasks: DataFrame) -> DataFrame:
-    """Tasks whose exact url an earlier one (in queue order) already holds."""
-    return tasks.select("task_id", "url", _repeats_url().alias("rejected"))
+def duplicate_urls(tasks: DataFrame, holds: Column | None = None) -> DataFrame:
+    """Tasks whose exact url an earlier one already holds: any earlier one, or only those of which `holds` is true (a
+    finished task holds nothing). Null urls are never duplicates."""
+    return _held(tasks, F.lit(True) if holds is None else holds).select("task_id", "url", F.col("held").alias("rejected"))
 
 
-def admission(tasks: DataFrame, operational_workers: int) -> DataFrame:
-    """HTTP status of each submission: 400 invalid, 503 no workers, 409 duplicate, 202 accepted, in that order."""
-    told = tasks.select("task_id", *_name_errors(), _repeats_url().alias("rejected"))
+def admission(tasks: DataFrame, operational_workers: int, finished: Column | None = None) -> DataFrame:
+    """HTTP status of each submission: 400 invalid, 503 no workers, 409 duplicate, 202 accepted, in that order. Only a
+    submission that was taken and has not finished holds its url: an invalid one never does."""
+    told = tasks.withColumns({c: e for c, e in zip(("label_error", "correlation_error"), _name_errors(), strict=True)})
     bad = F.col("label_error").isNotNull() | F.col("correlation_error").isNotNull()
-    return told.select("task_id", F.when(bad, 400).when(F.lit(operational_workers == 0), 503).when(F.col("rejected"), 409).otherwise(202).alias("http_status"))
+    done = F.lit(False) if finished is None else F.coalesce(finished, F.lit(False))
+    told = _held(told.withColumn("_bad", bad), ~F.col("_bad") & ~done)
+    return told.select("task_id", F.when(F.col("_bad"), 400).when(F.lit(operational_workers == 0), 503).when(F.col("held"), 409).otherwise(202).alias("http_status"))
 
 
 def queue_counts(tasks: DataFrame, max_retry: int = 2) -> DataFrame:
@@ -89,7 +98,7 @@ def worker_counters(tasks: DataFrame, max_retry: int = 2) -> DataFrame:
     """processed and errors of each worker: a retried failure touches neither, except a lost connection, which counts as
     an error on both branches and as processed only when final."""
     ok, final = F.col("status") == "success", F.col("retry_count") >= max_retry
-    lost = error_type(F.lit(False), F.lit(False), F.col("message")) == "connection"
+    lost = error_type(F.col("error_class"), F.col("message")) == "connection"
     return tasks.groupBy("worker_index").agg(F.count_if(ok | final).alias("processed"), F.count_if(~ok & (final | lost)).alias("errors"))
 
 

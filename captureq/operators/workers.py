@@ -73,7 +73,7 @@ def scroll_steps(positions: DataFrame, key: str, most: int) -> DataFrame:
 
 def completeness_log(complete: DataFrame, most: int = 5) -> DataFrame:
     """warn with the number and first urls that have no body, for tasks that are not complete; else info."""
-    return complete.select("task_id", F.when(F.col("complete"), "info").otherwise("warn").alias("level"), F.when(~F.col("complete"), F.col("bodyless_n")).alias("bodyless"), F.when(~F.col("complete"), F.array_join(F.slice(F.split("bodyless_urls", " "), 1, most), " ")).alias("sample"))
+    return complete.select("task_id", F.when(F.col("complete"), "info").otherwise("warn").alias("level"), F.when(~F.col("complete"), F.col("bodyless_n")).alias("bodyless"), F.when(~F.col("complete"), F.slice("bodyless_urls", 1, most)).alias("sample"))
 
 
 def certificate_times(observed: DataFrame) -> DataFrame:

@@ -36,9 +36,14 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
 # Archive recording
 
 
-@query(f"WITH RECURSIVE {S.COMPLETE} SELECT * FROM complete")
+def _as_json(df: DataFrame, *arrays: str) -> DataFrame:
+    """Arrays as JSON text, which both engines spell alike."""
+    return df.withColumns({c: F.to_json(c) for c in arrays})
+
+
+@query(f"WITH RECURSIVE {S.COMPLETE} SELECT * REPLACE (CAST(to_json(bodyless_urls) AS VARCHAR) AS bodyless_urls, CAST(to_json(truncated_urls) AS VARCHAR) AS truncated_urls) FROM complete")
 def archive_completeness(spark, d):
-    return recorder.completeness(_folded(spark, d))
+    return _as_json(recorder.completeness(_folded(spark, d)), "bodyless_urls", "truncated_urls")
 
 
 @query(f"WITH RECURSIVE {S.FOLDED} SELECT task_id, seq, url, body_bytes, skip_reason FROM folded")
@@ -57,23 +62,41 @@ def recorder_samples_top5(spark, d):
     return recorder.first_samples(_folded(spark, d))
 
 
-@query(f"""WITH {S.EXCHANGES} SELECT task_id, seq, body_bytes + 300 AS length, CAST(sum(body_bytes + 300) OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - body_bytes - 300 AS BIGINT) AS "offset" FROM exchanges""")
+@query(f"""WITH {S.EXCHANGES} SELECT task_id, seq, coalesce(body_bytes, 0) + 300 AS length, CAST(sum(coalesce(body_bytes, 0) + 300) OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - coalesce(body_bytes, 0) - 300 AS BIGINT) AS "offset" FROM exchanges""")
 def warc_offsets(spark, d):
-    return recorder.record_offsets(tables.exchanges(spark, d), F.col("body_bytes") + 300)
-
-
-@query(f"""WITH RECURSIVE {S.COMPLETE}, {S.STATS} SELECT s.task_id, 'in archive ' || in_archive || ' (with body ' || total_recorded || ' / without body ' || (in_archive - total_recorded) || ')' ||
-  CASE WHEN in_archive > total_recorded THEN chr(10) || 'body omitted ' || (in_archive - total_recorded) ELSE '' END || CASE WHEN NOT complete THEN chr(10) || 'bodyless ' || bodyless_n ELSE '' END ||
-  chr(10) || 'body ' || CASE WHEN s.total_body_bytes >= 1048576 THEN printf('%.1fMB', s.total_body_bytes / 1048576.0) ELSE CAST(floor(s.total_body_bytes / 1024.0 + 0.5) AS BIGINT) || 'KB' END || chr(10) || 'complete = ' || complete AS report
-  FROM stats s JOIN complete c ON s.task_id = c.task_id""")
+    return recorder.record_offsets(tables.exchanges(spark, d), F.coalesce("body_bytes", F.lit(0)) + 300)
+
+
+_KINDS = "".join(
+    f""" || CASE WHEN {name} > 0 THEN chr(10) || '  {reason} ' || {name} || '{tail}' || coalesce(chr(10) || array_to_string(list_transform(list_slice({name}_urls, 1, 5), lambda u: '    ' || u), chr(10)), '') ELSE '' END"""
+    for name, reason, tail in (
+        ("skipped_content_type", "content-type", ""),
+        ("truncated_too_large", "too-large", " — raise --wacz-max-response-bytes"),
+        ("truncated_task_cap", "task-cap", " — raise --wacz-max-task-bytes"),
+    )
+)
+_SAMPLED = ", ".join(f"list(url ORDER BY seq) FILTER (skip_reason = '{r}') AS {n}_urls" for n, r in (("skipped_content_type", "content-type"), ("truncated_too_large", "too-large"), ("truncated_task_cap", "task-cap")))
+
+
+@query(f"""WITH RECURSIVE {S.COMPLETE}, {S.STATS}, sampled AS (SELECT task_id, {_SAMPLED} FROM folded GROUP BY task_id)
+  SELECT s.task_id, 'in archive ' || in_archive || ' (with body ' || total_recorded || ' / without body ' || (in_archive - total_recorded) || ')' ||
+  CASE WHEN in_archive > total_recorded THEN chr(10) || 'body omitted ' || (in_archive - total_recorded) || ' — in the archive, not replayable' {_KINDS} ELSE '' END ||
+  CASE WHEN NOT complete THEN chr(10) || 'bodyless ' || bodyless_n || ' — seen only as 304, replay cannot recover' || CASE WHEN bodyless_n > 0 THEN chr(10) || array_to_string(list_transform(list_slice(bodyless_urls, 1, 5), lambda u: '  ' || u), chr(10)) ELSE '' END ELSE '' END ||
+  chr(10) || 'failed 0  incomplete 0  body ' || CASE WHEN s.total_body_bytes >= 1048576 THEN printf('%.1fMB', s.total_body_bytes / 1048576.0) ELSE CAST(floor(s.total_body_bytes / 1024.0 + 0.5) AS BIGINT) || 'KB' END || chr(10) || 'complete = ' || complete AS report
+  FROM stats s JOIN complete c ON s.task_id = c.task_id JOIN sampled m ON s.task_id = m.task_id""")
 def archive_trace(spark, d):
     return recorder.trace_lines(recorder.task_report(_folded(spark, d)))
 
 
-@query(f"WITH {S.EXCHANGES} SELECT task_id, seq, url, (url LIKE 'https://%.example.net/p/1' OR url LIKE '%://h1%.com/%') AS blocked FROM exchanges")
+_SEEN = "CASE seq % 4 WHEN 0 THEN 'https://x.doubleclick.net/a' WHEN 1 THEN 'https://www.facebook.com/tra?b' ELSE url END"
+
+
+@query(f"""WITH {S.EXCHANGES}, e AS (SELECT task_id, seq, {_SEEN} AS url FROM exchanges)
+  SELECT task_id, seq, url, (url LIKE 'https://%.example.net/p/1' OR url LIKE '%://h1%.com/%' OR url LIKE '%://%.doubleclick.net/%' OR url LIKE '%://%.facebook.com/tr%') AS blocked FROM e""")
 def block_list(spark, d):
-    e = tables.exchanges(spark, d)
-    return e.select("task_id", "seq", "url", url.matches_any(F.col("url"), ["https://*.example.net/p/1", "*://h1*.com/*", *recorder.BLOCK_GLOBS]).alias("blocked"))
+    e = tables.exchanges(spark, d).withColumn("url", F.expr(_SEEN))
+    globs = ["https://*.example.net/p/1", "*://h1*.com/*", *recorder.BLOCK_GLOBS]
+    return e.select("task_id", "seq", "url", url.matches_any(F.col("url"), globs).alias("blocked"))
 
 
 @query(f"WITH {S.EXCHANGES} SELECT task_id, seq, mime, (mime LIKE 'video/%' OR mime LIKE 'image/p%') AS skipped FROM exchanges")
@@ -127,12 +150,12 @@ def payload_digest_b32(spark, d):
     return tables.table(spark, d, "pages").select("page_id", digest.sha256_base32(F.col("html")).alias("digest"))
 
 
-@query(f"""SELECT page_id, {S.SURT.format('url')} || ' ' || strftime(make_timestamp((1704067200 + page_id * 60) * 1000000), '%Y%m%d%H%M%S') || ' {{"url":"' || url || '","mime":"text/html","status":"200","digest":"sha256:' || {S.BASE32.format('h')} ||
+@query(f"""SELECT page_id, {S.SURT.format('url')} || ' ' || strftime(make_timestamp((1704067200 + page_id * 60) * 1000000), '%Y%m%d%H%M%S') || ' {{"url":"' || url || '","mime":"text/html","status":"200","digest":"sha256:' || CASE WHEN page_id % 4 = 0 THEN '{digest.EMPTY_SHA256}' ELSE {S.BASE32.format('h')} END ||
   '","length":"' || strlen(html) || '","offset":"' || (page_id * 1000) || '","filename":"data.warc.gz"}}' AS line FROM (SELECT *, sha256(html) AS h FROM pages)""")
 def cdxj_lines(spark, d):
     p = tables.page_times(spark, d)
     ts = url.cdx_timestamp(F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    line = replay.cdxj_line(F.col("url"), ts, F.lit("text/html"), F.lit(200), digest.sha256_base32(F.col("html")), F.octet_length("html"), F.col("page_id") * 1000, F.lit("data.warc.gz"))
+    line = replay.cdxj_line(F.col("url"), ts, F.lit("text/html"), F.lit(200), F.when(F.col("page_id") % 4 != 0, digest.sha256_base32(F.col("html"))), F.octet_length("html"), F.col("page_id") * 1000, F.lit("data.warc.gz"))
     return p.select("page_id", line.alias("line"))
 
 
@@ -141,14 +164,28 @@ raw AS (SELECT page_id, pos, url, regexp_extract(tag, '(?is)^<a\\s[^>]*?\\bhref\
 anchors AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN h ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || h END AS href, substr(trim(x), 1, 200) AS text FROM raw)"""
 
 
-@query(f"WITH {_TAGS} SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM anchors")
+_PATH = r"regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
+_SITE = r"regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
+_FOLDER = f"{_SITE} || regexp_replace({_PATH}, '/[^/]*$', '') || '/'"
+#: The links that tables.rich_pages adds behind a page's own.
+_LINKS = f"""{_TAGS}, links AS (SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM anchors
+  UNION ALL SELECT p.page_id, i + (SELECT count(*) FROM tags t WHERE t.page_id = p.page_id), CASE i WHEN 0 THEN {_SITE} || regexp_replace({_PATH}, '/[^/]*/[^/]*$', '') || '/up/x?a=1&b=2'
+    WHEN 1 THEN 'http://[bad' ELSE regexp_replace(url, '#.*$', '') || '#f' END, text, rel FROM pages p, (VALUES (0, 'Up', 'nofollow'), (1, 'Bad', NULL), (2, 'Q', 'me noopener')) v(i, text, rel))"""
+
+
+@query(f"WITH {_LINKS} SELECT * FROM links")
 def link_extract(spark, d):
-    return links.anchors(tables.table(spark, d, "pages"))
+    return links.anchors(tables.rich_pages(spark, d))
 
 
-@query(f"WITH {_TAGS} SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS n FROM anchors WHERE regexp_matches(href, '^https?://')) WHERE n = 1")
+@query(f"WITH {_LINKS} SELECT page_id, pos, href, text, rel FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS n FROM links WHERE regexp_matches(href, '^https?://[^\\[]')) WHERE n = 1")
 def link_dedup_first(spark, d):
-    return links.outbound_links(tables.table(spark, d, "pages"))
+    return links.outbound_links(tables.rich_pages(spark, d))
+
+
+@query(f"""SELECT page_id, CAST(to_json([{_FOLDER} || 'a.png', {_SITE} || '/b.png', {_FOLDER} || 'c.png', {_FOLDER} || 'd.png', {_FOLDER} || 'v.mp4', regexp_extract(url, '^([^:]+:)', 1) || '//cdn.example/p.png']) AS VARCHAR) AS candidates FROM pages""")
+def responsive_candidates(spark, d):
+    return _as_json(links.responsive_candidates(tables.rich_pages(spark, d)), "candidates")
 
 
 @query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
@@ -173,9 +210,10 @@ def host_behaviors(spark, d):
     return behaviors.host_behaviors(tables.table(spark, d, "pages"), F.broadcast(registry))
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS framework, '' AS removed FROM pages")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OneTrust' WHEN 1 THEN 'InsitesCookieConsent' WHEN 2 THEN 'Klaro' ELSE 'Sourcepoint' END AS framework,
+  CASE page_id % 4 WHEN 0 THEN '["#onetrust-banner-sdk"]' WHEN 1 THEN '[".cc-window"]' WHEN 2 THEN '[".klaro"]' ELSE '["[id^=\\"sp_message_container\\"]"]' END AS removed FROM pages""")
 def consent_banners(spark, d):
-    return links.consent_banners(tables.table(spark, d, "pages"))
+    return _as_json(links.consent_banners(tables.rich_pages(spark, d)), "removed")
 
 
 # Tasks
@@ -203,7 +241,7 @@ def retry_outcome(spark, d):
     return tasks.retry_outcome(tables.tasks(spark, d))
 
 
-@query(f"WITH {S.TASKS}, c AS (SELECT task_id, {S.ERROR_TYPE} AS error_type, CAST(nullif(regexp_extract(message, '(\\d+)\\s*ms\\s+exceeded', 1), '') AS INTEGER) AS timeout_ms FROM tasks) SELECT *, CASE WHEN error_type = 'timeout' THEN 'timeout' ELSE 'failed' END AS status FROM c")
+@query(f"WITH {S.TASKS}, c AS (SELECT task_id, {S.ERROR_TYPE} AS error_type, CASE WHEN {S.ERROR_TYPE} = 'timeout' THEN CAST(nullif(regexp_extract(message, '(\\d+)\\s*ms\\s+exceeded', 1), '') AS INTEGER) END AS timeout_ms FROM tasks) SELECT *, CASE WHEN error_type = 'timeout' THEN 'timeout' ELSE 'failed' END AS status FROM c")
 def error_classify(spark, d):
     return tasks.classified_errors(tables.tasks(spark, d))
 
@@ -213,10 +251,19 @@ def duplicate_url_reject(spark, d):
     return tasks.duplicate_urls(tables.tasks(spark, d))
 
 
-@query(f"""WITH {S.TASKS} SELECT task_id, CASE WHEN {S.NAME_ERROR.format("trim(label)")} IS NOT NULL THEN 400 WHEN correlation_id <> '' AND {S.NAME_ERROR.format("correlation_id")} IS NOT NULL THEN 400
-  WHEN row_number() OVER (PARTITION BY url ORDER BY enqueued_at, task_id) > 1 THEN 409 ELSE 202 END AS http_status FROM tasks""")
+_ADMISSION = f"""WITH {S.TASKS}, t AS (SELECT *, {S.NAME_ERROR.format("trim(label)")} IS NOT NULL OR correlation_id <> '' AND {S.NAME_ERROR.format("correlation_id")} IS NOT NULL AS bad FROM tasks),
+  h AS (SELECT url, min({{'a': enqueued_at, 'b': task_id}}) AS first FROM t WHERE NOT bad AND status <> 'success' GROUP BY url)
+  SELECT task_id, CASE WHEN bad THEN 400 WHEN {{closed}} THEN 503 WHEN first < {{'a': enqueued_at, 'b': task_id}} THEN 409 ELSE 202 END AS http_status FROM t LEFT JOIN h USING (url)"""
+
+
+@query(_ADMISSION.replace("{closed}", "false"))
 def admission(spark, d):
-    return tasks.admission(tables.tasks(spark, d), 3)
+    return tasks.admission(tables.tasks(spark, d), 3, F.col("status") == "success")
+
+
+@query(_ADMISSION.replace("{closed}", "true"))
+def admission_closed(spark, d):
+    return tasks.admission(tables.tasks(spark, d), 0, F.col("status") == "success")
 
 
 @query(f"WITH {S.TASKS} SELECT count(*) FILTER (status <> 'success' AND retry_count < 2) AS pending, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status <> 'success' AND retry_count >= 2) AS failed, count(*) AS total FROM tasks")
@@ -347,6 +394,85 @@ def exchange_fold(spark, d):
     return exchanges.assemble(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Records of settled exchanges
+
+_RECORD_ID = """'<urn:uuid:' || (SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', h[17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] FROM (SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(task_id || '/' || request_id || '/' || round || '/{0}')) AS h)) || '>'"""
+_SETTLED = f"""{S.PAIRED}, settled AS (SELECT request_id // 16 AS task_id, request_id, round, opened_at, outcome, encoded_length, 'https://H.example:8443/r?i=' || request_id AS url, CASE WHEN request_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
+  CASE WHEN request_id % 3 = 0 THEN 'Image' END AS kind, CASE WHEN outcome = 'redirected' THEN 302 WHEN responded THEN 200 END AS status,
+  CASE WHEN outcome = 'recorded' THEN CASE encoded_length % 7 WHEN 0 THEN 'too-large' WHEN 1 THEN 'content-type' WHEN 2 THEN 'task-cap' END END AS skip FROM paired)"""
+_PAIR = "outcome IN ('recorded', 'redirected')"
+_MISSING = "CASE outcome WHEN 'no-response' THEN 'loadingFinished-without-response' WHEN 'failed' THEN 'loadingFailed' WHEN 'incomplete' THEN 'stop-while-pending' END"
+_WHY = f"""'incomplete=true;reason=' || {_MISSING} || CASE WHEN outcome <> 'failed' THEN ';requestId=' || request_id ELSE ';errorText=net::ERR_FAILED;canceled=' || (request_id % 2 = 0) END || CASE WHEN outcome <> 'no-response' THEN ';method=' || method ELSE '' END
+  || coalesce(';resourceType=' || kind, '') || CASE WHEN outcome = 'failed' THEN CASE WHEN request_id % 5 = 0 THEN ';blockedReason=inspector' ELSE '' END || coalesce(';status=' || status, '') ELSE '' END"""
+_CRLF = "chr(13) || chr(10)"
+_OWN = "CASE WHEN outcome = 'recorded' THEN 'Set-Cookie: a=1' || {0} || 'Set-Cookie: b=2' || {0} || 'Content-Length: ' || CASE WHEN skip IS NULL THEN encoded_length ELSE 0 END ELSE 'Content-Length: 9' || {0} || 'Set-Cookie: a=1' || {0} || 'Set-Cookie: b=2' END".format(_CRLF)
+
+
+@query(f"""WITH {_SETTLED} SELECT task_id, request_id, round, 0 AS pos, 'response' AS kind, {_RECORD_ID.format("response")} AS record_id, {_RECORD_ID.format("request")} AS concurrent_to, CAST(NULL AS VARCHAR) AS refers_to,
+    CASE WHEN skip IN ('too-large', 'task-cap') THEN 'length' END AS truncated, 'HTTP/1.1 ' || status || CASE status WHEN 302 THEN ' Found' ELSE ' OK' END || {_CRLF} || {_OWN} || {_CRLF} || {_CRLF} AS head, CAST(NULL AS VARCHAR) AS fields FROM settled WHERE {_PAIR}
+  UNION ALL SELECT task_id, request_id, round, 1, 'request', {_RECORD_ID.format("request")}, {_RECORD_ID.format("response")}, NULL, NULL, method || ' /r?i=' || request_id || ' HTTP/1.1' || {_CRLF} || 'Accept: */*' || {_CRLF} || 'Host: h.example:8443' || {_CRLF} || {_CRLF}, NULL FROM settled WHERE {_PAIR}
+  UNION ALL SELECT task_id, request_id, round, 2, 'metadata', {_RECORD_ID.format("metadata")}, NULL, {_RECORD_ID.format("response")}, NULL, NULL, 'truncated=' || skip || coalesce(';encodedDataLength=' || encoded_length, '') FROM settled WHERE {_PAIR} AND skip IS NOT NULL
+  UNION ALL SELECT task_id, request_id, round, 0, 'metadata', {_RECORD_ID.format("metadata")}, NULL, NULL, NULL, NULL, {_WHY} FROM settled WHERE {_MISSING} IS NOT NULL""")
+def exchange_records(spark, d):
+    from captureq.operators import records
+
+    fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return records.exchange_records(tables.settled(spark, d)).withColumn("fields", fields)
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (skip = '{r}') AS {n}" for n, r in (("skipped_content_type", "content-type"), ("truncated_too_large", "too-large"), ("truncated_task_cap", "task-cap")))
+_FIRST = ", ".join(f"CAST(to_json(coalesce(list_slice(list(url ORDER BY opened_at, url) FILTER (skip = '{r}'), 1, 5), [])) AS VARCHAR) AS {n}_urls" for n, r in (("skipped_content_type", "content-type"), ("truncated_too_large", "too-large"), ("truncated_task_cap", "task-cap")))
+
+
+@query(f"""WITH {_SETTLED}, s AS (SELECT * REPLACE (CASE WHEN request_id % 11 = 0 THEN 'blocked' ELSE outcome END AS outcome, CASE WHEN request_id % 11 <> 0 THEN skip END AS skip) FROM settled)
+  SELECT task_id, count(*) FILTER ({_PAIR} AND skip IS NULL) AS total_recorded, count(*) FILTER (outcome = 'blocked') AS blocked, {_COUNTS}, count(*) FILTER (outcome IN ('failed', 'no-response')) AS failed, count(*) FILTER (outcome = 'incomplete') AS incomplete,
+    CAST(coalesce(sum(CASE WHEN outcome = 'recorded' AND skip IS NULL THEN encoded_length END), 0) AS BIGINT) AS total_body_bytes, CAST(to_json(coalesce(list_slice(list(url ORDER BY opened_at, url) FILTER (outcome = 'blocked'), 1, 5), [])) AS VARCHAR) AS blocked_urls, {_FIRST} FROM s GROUP BY task_id""")
+def recorder_counters(spark, d):
+    from captureq.operators import records
+
+    blocked = F.col("request_id") % 11 == 0
+    s = tables.settled(spark, d).withColumns({"outcome": F.when(blocked, "blocked").otherwise(F.col("outcome")), "skip_reason": F.when(~blocked, F.col("skip_reason"))})
+    return _as_json(records.recorder_counters(s), *[f"{k}_urls" for k in records.REJECTIONS])
+
+
+_HEADED = """h AS (SELECT request_id, round, arg_max(seq, seq) FILTER (kind IN ('requestWillBeSent', 'redirect')) AS q0, max(seq) FILTER (kind = 'responseReceived' AND seq % 3 <> 0) AS r0, max(seq) FILTER (kind = 'responseReceived' AND seq % 3 = 0) AS r1 FROM live GROUP BY request_id, round)"""
+
+
+@query(f"""WITH {S.PAIRED}, {_HEADED} SELECT request_id, round, 'seq=' || q0 AS request_headers, 'seq=' || coalesce(r1, r0) AS response_headers FROM h""")
+def exchange_headers(spark, d):
+    from captureq.operators import records
+
+    e = tables.net_events(spark, d)
+    # Every third response event is taken for the extra one, whichever comes first.
+    extra = (F.col("kind") == "responseReceived") & (F.col("seq") % 3 == 0)
+    e = e.withColumns({"kind": F.when(extra, records.EXTRA_RESPONSE).otherwise(F.col("kind")), "headers": F.create_map(F.lit("seq"), F.col("seq").cast("string"))})
+    spelt = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return records.exchange_headers(e).withColumns({c: spelt(c) for c in ("request_headers", "response_headers")})
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 2 OR o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AS active, CASE WHEN o_orderkey % 3 = 2 THEN '[\"Didomi\"]' ELSE '[]' END AS excluded, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 5000 ELSE 1000 END AS min_z, o_orderkey % 3 <> 2 OR o_orderkey % 2 = 0 AS use_defaults FROM orders")
+def dismiss_specs(spark, d):
+    k = F.col("o_orderkey")
+    given = F.concat(F.lit('{"excludeFrameworks":["Didomi"],"useDefaults":'), (k % 2 == 0).cast("string"), F.lit(',"heuristic":{"minZIndex":'), (k % 5000).cast("string"), F.lit("}}"))
+    spec = F.when(k % 3 == 2, given).when(k % 3 == 1, (k % 2 == 0).cast("string"))
+    out = links.dismiss_options(tables.table(spark, d, "orders").select(k.alias("id"), F.parse_json(spec).alias("spec")))
+    return _as_json(out.select("id", "active", "excluded", F.col("heuristic.min_z").alias("min_z"), "use_defaults"), "excluded")
+
+
+@query(f"WITH {S.TASKS} SELECT task_id, 1 + task_id % 3 AS attempts, task_id % 3 = 2 AND task_id % 5 = 4 AS given_up FROM tasks")
+def navigation_retries(spark, d):
+    k = F.col("task_id")
+    tries = tables.tasks(spark, d).select(k, F.explode(F.sequence(F.lit(0).cast("long"), k % 3)).alias("seq"))
+    lost = (F.col("seq") < k % 3) | (k % 5 == 4)
+    message = F.when(lost, "Protocol error: EXECUTION context was destroyed, most likely because of a navigation.")
+    return events.navigation_retries(tries.withColumn("message", message), "task_id")
+
+
+@query(f"WITH {S.TASKS} SELECT worker_index, string_agg(label, ',' ORDER BY label) AS key FROM (SELECT DISTINCT worker_index, label FROM tasks) GROUP BY worker_index")
+def membership_keys(spark, d):
+    return events.membership_key(tables.tasks(spark, d), "worker_index", "label")
+
+
 # Workers and requests
 
 from captureq.operators import requests, workers  # noqa: E402
@@ -386,9 +512,9 @@ def scroll_coverage(spark, d):
     return workers.scroll_steps(e.select(F.col("request_id").alias("run"), step.alias("step"), (F.col("encoded_length") % 3).alias("y")), "run", 20)
 
 
-@query(f"WITH RECURSIVE {S.COMPLETE} SELECT task_id, CASE WHEN complete THEN 'info' ELSE 'warn' END AS level, CASE WHEN NOT complete THEN bodyless_n END AS bodyless, CASE WHEN NOT complete THEN array_to_string(list_slice(string_split(bodyless_urls, ' '), 1, 5), ' ') END AS sample FROM complete")
+@query(f"WITH RECURSIVE {S.COMPLETE} SELECT task_id, CASE WHEN complete THEN 'info' ELSE 'warn' END AS level, CASE WHEN NOT complete THEN bodyless_n END AS bodyless, CASE WHEN NOT complete THEN CAST(to_json(list_slice(bodyless_urls, 1, 5)) AS VARCHAR) END AS sample FROM complete")
 def completeness_log(spark, d):
-    return workers.completeness_log(recorder.completeness(_folded(spark, d)))
+    return _as_json(workers.completeness_log(recorder.completeness(_folded(spark, d))), "sample")
 
 
 @query(f"WITH {S.TASKS} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS accepted, count(*) FILTER (status <> 'success') AS rejected, max(task_id % 977) AS duration_ms FROM tasks")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captureq.functions.url import surt
+from captureq.functions.url import host_port, request_target, surt
 
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
 #: Entries of a package.
@@ -179,8 +179,13 @@ def unpack(data: bytes) -> dict[str, bytes]:
 
 
 def page_packages(pages: DataFrame) -> DataFrame:
-    """page_id, url, warc, wacz: an archive and a package for each page (page_id, url, html, captured_at)."""
-    base = pages.select("page_id", "url", "html", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), surt(F.col("url")).alias("surt"), F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.lit("")).alias("title"))
+    """page_id, url, warc, wacz: an archive and a package for each page (page_id, url, html, captured_at).
+
+    Null urls and null html count as empty; a url without a host gives a request without a Host header."""
+    url = F.coalesce("url", F.lit(""))
+    title = F.coalesce(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    date = F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    base = pages.select("page_id", url.alias("url"), "html", date.alias("date"), surt(url).alias("surt"), request_target(url).alias("target"), host_port(url).alias("host"), title.alias("title"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -191,8 +196,9 @@ def page_packages(pages: DataFrame) -> DataFrame:
                 block = http_response("HTTP/1.1", 200, "OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))], body)
                 records = [
                     warcinfo(record_id(f"{r.page_id}/info"), r.date, "data.warc.gz", {"software": "captureq", "format": "WARC File Format 1.1"}),
-                    http_record("response", rid, r.date, r.url, block, qid, payload=body), http_record("request", qid, r.date, r.url, http_request("GET", "/", [("Host", r.surt.split(")")[0])]), rid),
-                ]
+                    http_record("response", rid, r.date, r.url, block, qid, payload=body),
+                    http_record("request", qid, r.date, r.url, http_request("GET", r.target, header_list(request_headers({}, r.host or None))), rid),
+                ]
                 warc, places = write_archive(records)
                 entry = {"url": r.url, "mime": "text/html", "status": "200", "digest": sha256_base32(body), "length": str(places[1][1]), "offset": str(places[1][0]), "filename": "data.warc.gz"}
                 line = f"{r.surt} {re.sub('[-:TZ]', '', r.date)[:14]} {json.dumps(entry, separators=(',', ':'), ensure_ascii=False)}"

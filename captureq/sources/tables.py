@@ -24,7 +24,7 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
     return li.select(
         "task_id", seq.cast("long").alias("seq"), url.alias("url"), status.cast("int").alias("status"), mime.alias("mime"), F.col("l_shipdate").alias("date"),
-        F.when(empty, F.lit(0)).otherwise(F.floor(price)).cast("long").alias("body_bytes"), F.when(empty, F.lit(0)).otherwise(F.floor(price * (1 - F.col("l_discount")))).cast("long").alias("declared_bytes"),
+        F.when(status == 204, None).when(empty, F.lit(0)).otherwise(F.floor(price)).cast("long").alias("body_bytes"), F.when(empty, F.lit(0)).otherwise(F.floor(price * (1 - F.col("l_discount")))).cast("long").alias("declared_bytes"),
     )
 
 
@@ -33,11 +33,13 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "httpError").otherwise("timeout")
     k = key % 5
+    # Classes decide before messages: one that reads like a time limit comes from a plain error too.
+    error_class = F.when(k == 0, "TimeoutError").when((k == 2) & (key % 3 == 0), "SigningRequiredError").otherwise("Error")
     message = F.when(k == 0, "Navigation timeout of 30000 ms exceeded").when(k == 1, "Waiting failed: 100ms exceeded").when(k == 2, "Target closed").when(k == 3, "browser disconnected").otherwise("boom")
     return table(spark, sf_dir, "orders").select(
         key.alias("task_id"), F.concat(F.lit("https://h"), (key % 97).cast("string"), F.lit(".example.com/p/"), (F.col("o_custkey") % 50).cast("string")).alias("url"), F.col("o_orderdate").alias("enqueued_at"),
         (F.col("o_custkey") % 3).cast("int").alias("worker_index"), (key % 3).cast("int").alias("retry_count"), status.alias("status"), F.col("o_orderpriority").alias("label"),
-        F.when(F.col("o_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("correlation_id"), message.alias("message"),
+        F.when(F.col("o_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("correlation_id"), message.alias("message"), error_class.alias("error_class"),
     )
 
 
@@ -51,6 +53,40 @@ def net_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.floor(F.col("value") * 1000).cast("long").alias("encoded_length"))
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages whose html ends with what the generated pages lack: unquoted, entity-coded, relative and unparseable link
+    targets, rel, responsive images, a video, and by page_id one of four banners (or near misses of them)."""
+    tail = (
+        "<a rel=nofollow href=../up/./x?a=1&amp;b=2>Up</a><a href=\"http://[bad\">Bad</a><a HREF='#f' rel=\"me noopener\"> Q </a>"
+        "<img src=a.png data-src=\"/b.png\" srcset=\"c.png 1x, d.png 2x\"><video src='v.mp4' poster=//cdn.example/p.png></video>"
+    )
+    kind = F.pmod("page_id", F.lit(4))
+    banner = F.when(kind == 0, "<div id=onetrust-banner-sdk>").when(kind == 1, '<div id="ONETRUST-banner-sdk" class="x cc-window">')
+    banner = banner.when(kind == 2, "<div class='a klaro b'>").otherwise('<p id="sp_message_container_9">')
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(tail), banner))
+
+
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled exchanges from the network-event log: outcomes as they are, the rest derived from ids and sizes. The number
+    of tasks grows with that of requests, and so do the request ids."""
+    from captureq.operators.events import paired_exchanges
+
+    p = paired_exchanges(net_events(spark, sf_dir))
+    rid, size = F.col("request_id"), F.col("encoded_length")
+    odd = size % 7
+    skip = F.when(odd == 0, "too-large").when(odd == 1, "content-type").when(odd == 2, "task-cap")
+    recorded = F.col("outcome") == "recorded"
+    sent = F.create_map(F.lit(":path"), F.lit("/"), F.lit("Accept"), F.lit("*/*"))
+    got = F.create_map(F.lit(":status"), F.lit("200"), F.lit("Content-Length"), F.lit("9"), F.lit("Set-Cookie"), F.lit("a=1\nb=2"))
+    return p.select(
+        F.floor(rid / 16).alias("task_id"), "request_id", "round", "opened_at", "outcome", "encoded_length",
+        F.concat(F.lit("https://H.example:8443/r?i="), rid.cast("string")).alias("url"), F.when(rid % 2 == 0, "GET").otherwise("POST").alias("method"), F.when(rid % 3 == 0, "Image").alias("resource_type"),
+        F.when(F.col("responded") | (F.col("outcome") == "redirected"), F.when(F.col("outcome") == "redirected", 302).otherwise(200)).alias("status"), F.lit("").alias("status_text"), sent.alias("request_headers"), got.alias("response_headers"),
+        F.when(recorded, skip).alias("skip_reason"), F.when(recorded & skip.isNull(), size).alias("body_bytes"), F.lit("net::ERR_FAILED").alias("error_text"), (rid % 2 == 0).alias("canceled"),
+        F.when(rid % 5 == 0, "inspector").alias("blocked_reason"),
+    )
+
+
 def page_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with their synthetic capture time."""
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
