@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captureq.functions.digest import EMPTY_SHA256
@@ -20,19 +20,36 @@ def cdxj_line(url: Column, timestamp: Column, mime: Column, status: Column, dige
     return F.concat_ws(" ", surt(url), timestamp, F.concat(F.lit("{"), F.concat_ws(",", *quoted), F.lit("}")))
 
 
-def nearest(asked: DataFrame, index: DataFrame, key: str = "key") -> DataFrame:
-    """For each request (id, key, at) the capture of that key closest in time; of equally close ones the earlier, then
-    the smaller ref.
+#: Seconds of a time bucket of the nearest-capture lookup.
+BUCKET = 7 * 86_400
 
-    An as-of join by sorting: requests and captures of a key are merged in time order and the neighbours before and
-    after are carried along, so no request meets every capture of its key."""
-    both = asked.select(key, "at", F.col("id"), F.lit(None).cast("long").alias("ref")).unionByName(index.select(key, "at", F.lit(None).cast("long").alias("id"), "ref"))
-    from pyspark.sql import Window
 
+def nearest(asked: DataFrame, index: DataFrame, key: str = "key", bucket: int = BUCKET) -> DataFrame:
+    """For each request (id, key, at) the capture of that key closest in time; of equally close ones the earlier, then
+    the smaller ref; nulls where the key has none.
+
+    An as-of join by sorting: requests and captures of a key and a bucket of time are merged in order and the neighbours
+    before and after are carried along. Where a bucket has none on one side, the last or first capture of the next one
+    that has is taken from a table of one row a bucket. So no request meets every capture of its key, and a key that
+    very many rows name is as many partitions as it has buckets."""
+    slot = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / bucket).alias("slot")
+    none = F.lit(None).cast("long")
+    both = asked.select(key, slot, "at", "id", none.alias("ref")).unionByName(index.select(key, slot, "at", none.alias("id"), "ref"))
     seen = F.when(F.col("ref").isNotNull(), F.struct("at", "ref"))
-    before = Window.partitionBy(key).orderBy("at", F.col("id").isNotNull(), F.desc("ref")).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy("at", F.col("ref").isNotNull(), "ref").rowsBetween(0, Window.unboundedFollowing)
+    before = Window.partitionBy(key, "slot").orderBy("at", F.col("id").isNotNull(), F.desc("ref")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key, "slot").orderBy("at", F.col("ref").isNotNull(), "ref").rowsBetween(0, Window.unboundedFollowing)
     near = both.withColumn("p", F.last(seen, ignorenulls=True).over(before)).withColumn("n", F.first(seen, ignorenulls=True).over(after)).filter(F.col("id").isNotNull())
+    # One row a bucket: its first and last capture, then the nearest ones of the buckets before and after.
+    late = F.max(F.when(F.col("ref").isNotNull(), F.struct("at", (-F.col("ref")).alias("ref"))))
+    ends = both.groupBy(key, "slot").agg(F.min(seen).alias("first"), late.alias("last")).withColumn("last", F.when(F.col("last").isNotNull(), F.struct("last.at", (-F.col("last.ref")).alias("ref"))))
+    order = Window.partitionBy(key).orderBy("slot")
+    ends = ends.select(
+        key,
+        "slot",
+        F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    near = near.join(ends, [key, "slot"]).withColumns({"p": F.coalesce("p", "earlier"), "n": F.coalesce("n", "later")})
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     gap_p, gap_n = ms(F.col("at")) - ms(F.col("p.at")), ms(F.col("n.at")) - ms(F.col("at"))
     use_p = F.col("n").isNull() | (F.col("p").isNotNull() & (gap_p <= gap_n))

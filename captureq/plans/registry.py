@@ -369,7 +369,7 @@ def spec_coverage(spark, d):
 def warc_roundtrip(spark, d):
     from captureq.sources import archive
 
-    out = archive.read_warcs(archive.page_packages(tables.page_times(spark, d)))
+    out = archive.read_warcs(archive.page_packages(tables.page_times(spark, d), packages=False))
     return out.select("page_id", "url", F.sha2("payload", 256).alias("payload_sha256"))
 
 

@@ -178,8 +178,9 @@ def unpack(data: bytes) -> dict[str, bytes]:
     return out
 
 
-def page_packages(pages: DataFrame) -> DataFrame:
-    """page_id, url, warc, wacz: an archive and a package for each page (page_id, url, html, captured_at).
+def page_packages(pages: DataFrame, packages: bool = True) -> DataFrame:
+    """page_id, url, warc, wacz: an archive and a package (null without `packages`) for each page (page_id, url, html,
+    captured_at).
 
     Null urls and null html count as empty; a url without a host gives a request without a Host header."""
     url = F.coalesce("url", F.lit(""))
@@ -202,7 +203,8 @@ def page_packages(pages: DataFrame) -> DataFrame:
                 warc, places = write_archive(records)
                 entry = {"url": r.url, "mime": "text/html", "status": "200", "digest": sha256_base32(body), "length": str(places[1][1]), "offset": str(places[1][0]), "filename": "data.warc.gz"}
                 line = f"{r.surt} {re.sub('[-:TZ]', '', r.date)[:14]} {json.dumps(entry, separators=(',', ':'), ensure_ascii=False)}"
-                wacz = pack(warc, cdxj_index([line]), {"id": str(r.page_id), "url": r.url, "ts": r.date, "title": r.title}, fuzzy=FUZZY_PARAMS)
+                page = {"id": str(r.page_id), "url": r.url, "ts": r.date, "title": r.title}
+                wacz = pack(warc, cdxj_index([line]), page, fuzzy=FUZZY_PARAMS) if packages else None
                 out.append((r.page_id, r.url, warc, wacz))
             yield pd.DataFrame(out, columns=["page_id", "url", "warc", "wacz"])
 
