@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Small star: u and its smaller neighbours hang on the least of them.
         least = _least(large)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
-        now = written(small, "stars")
+        old, now = now, written(small, "stars")
+        if old is not nodes:
+            discard(old)
         after = _print(now)
         if after == before:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frequent_join, released, text_slices, written
+from .common import discard, frequent_join, released, text_slices, written
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -52,8 +52,8 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int =
     return frequent_join(slim, first, ["digest"], "w", "inner").filter("id < refers_to").distinct()
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 20_000) -> None:
-    """Write one record per row below path.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", bytes_per_file: int = 64 << 20) -> None:
+    """Write one record per row below path, in files that hold at most bytes_per_file before compression, or one record.
 
     Of rows with equal payloads (null html: empty) of at least least_bytes the one with the largest id is a response,
     the others are revisits of it; rows repeated under the largest id are all responses, and so is a row with a null id,
@@ -64,14 +64,21 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, room = 0, bytes_per_file
         for batch in parts:
             ids, urls, refers = (batch.column(k).to_pylist() for k in range(3))
             for a, b, col in text_slices(batch, 3):
                 out = [record(ids[a + i], urls[a + i], p, refers[a + i], date) for i, p in enumerate(col.to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                places = []
+                for r in out:
+                    room -= len(r) + len(END)
+                    if room < 0:
+                        file, room = file + 1, bytes_per_file - len(r) - len(END)
+                    places.append(file)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(places, pa.int32())], names=["record", "part"])
 
-    lines = rows.select("id", "url", "refers_to", "payload").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    lines = rows.select("id", "url", "refers_to", "payload").mapInArrow(run, "record binary, part int").select(F.col("record").cast("string").alias("value"), "part")
+    lines.write.option("lineSep", END.decode()).option("compression", compression).partitionBy("part").text(path)
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
@@ -95,9 +102,10 @@ def parse_candidates(data: bytes) -> Iterator[dict]:
             digest = (_field(head, b"WARC-Payload-Digest") or b"").decode("latin-1").removeprefix("sha1:")
             own, refers = ((_field(head, x) or b"").decode("latin-1").removeprefix(f"<{RECORD_ID}").removesuffix(">") for x in (b"WARC-Record-ID", b"WARC-Refers-To"))
             whole = kind != "revisit"
+            own_digest = sha1_base32(payload) if whole else digest
             yield {
                 "at": at, "next": stop + 8 + int(size), "record_type": kind, "id": int(own) if re.fullmatch(r"-?\d+", own) else None, "refers_to": int(refers) if re.fullmatch(r"-?\d+", refers) else None,
-                "payload_bytes": len(payload) if whole else int(n or 0), "payload_digest": sha1_base32(payload) if whole else digest, "sound": not whole or sha1_base32(payload) == digest,
+                "payload_bytes": len(payload) if whole else int(n or 0), "payload_digest": own_digest, "sound": own_digest == digest,
             }
         at = data.find(MAGIC, at + 1)
 
@@ -120,7 +128,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CANDIDATE)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, CANDIDATE)
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -133,7 +141,9 @@ def reachable(links: DataFrame) -> DataFrame:
         ahead = now.select("file", F.col("at").alias("next"), F.col("next").alias("far"), F.lit(True).alias("known"))
         jumped = now.join(ahead, ["file", "next"], "left")
         told = jumped.select("file", F.explode(F.array(F.struct("at", F.when(F.col("known"), F.col("far")).alias("next"), "reached"), F.struct(F.when(F.col("known") & F.col("reached"), F.col("next")).alias("at"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("reached")))).alias("x"))
-        now = written(told.select("file", "x.*").filter("at is not null").groupBy("file", "at").agg(F.max("next").alias("next"), F.max("reached").alias("reached")), "chain")
+        old, told = now, told.select("file", "x.*").filter("at is not null").groupBy("file", "at")
+        now = written(told.agg(F.max("next").alias("next"), F.max("reached").alias("reached")), "chain")
+        discard(old)
     return now.filter("reached").select("file", "at")
 
 

@@ -343,7 +343,8 @@ def test_warc(spark, tmp_path):
         want.append((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if first else "revisit", None if first else best[h]))
     assert bag((r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == bag(want) and all(r.sound for r in got)
     plain = str(tmp_path / "p")
-    warc.write_warc(pages(spark, rows).coalesce(1), plain, least_bytes=2, compression="none", records_per_file=2)
+    warc.write_warc(pages(spark, rows).coalesce(1), plain, least_bytes=2, compression="none", bytes_per_file=700)
+    assert len(list((tmp_path / "p").rglob("*.txt"))) > 3
     got = warc.read_warc(spark, plain).collect()
     assert len(got) == len(rows) and sum(r.record_type == "revisit" for r in got) == 0
     warc.write_warc(pages(spark, []), str(tmp_path / "e"))
