@@ -7,7 +7,6 @@ rows, so nothing is shuffled and memory does not grow with the input."""
 from __future__ import annotations
 
 import functools
-import re
 from array import array
 from collections.abc import Iterator, Sequence
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import released, text_slices
-from .pieces import UnitCache, splitter
+from .pieces import UnitCache
 
 
 class OpenBins:
@@ -74,25 +73,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.find = self.whole.model, splitter(regex.compile(PATTERN).findall)
+        self.model, self.find = self.whole.model, regex.compile(PATTERN).findall
         self.spell = dict(enumerate(byte_alphabet()))
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def units(self, texts: Sequence[str]) -> list[bytes]:
-        found = [self.find(t) for t in texts]
-        ids = {}
-        for p in {p for f in found for p in f}:
-            spelt = p.encode().decode("latin-1").translate(self.spell)
-            ids[p] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
-        return [b"".join(map(ids.__getitem__, f)) for f in found]
+        """The ids of units, each given once. Most are a space and a word, with or without a comma or full stop behind
+        it: such a word is its own pre-token, spelt as it stands but for the space."""
+        out, known, model = [], {}, self.model.tokenize
+
+        def ids(spelt: str) -> bytes:
+            return array("I", [x.id for x in model(spelt)]).tobytes()
+
+        def other(p: str) -> bytes:
+            found = known.get(p)
+            if found is None:
+                found = known[p] = ids(p.encode().decode("latin-1").translate(self.spell))
+            return found
+
+        for t in texts:
+            if t[:1] == " " and t.isascii():
+                word = t[1:]
+                if word.isalpha():
+                    out.append(ids("\u0120" + word))
+                    continue
+                if t[-1] in ",." and word[:-1].isalpha():
+                    out.append(ids("\u0120" + word[:-1]) + other(t[-1]))
+                    continue
+            out.append(b"".join(map(other, self.find(t))))
+        return out
 
     def texts(self, texts: Sequence[str], cache: UnitCache) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes, as the library gives them without special tokens."""
-        out = cache.texts(["" if self.added.search(t) else t for t in texts])
-        for i, t in enumerate(texts):
-            if self.added.search(t):
-                out[i] = array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes()
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not odd:
+            return cache.texts(texts)
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        out = cache.texts(plain)
+        for i in odd:
+            out[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
 
