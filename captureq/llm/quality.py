@@ -47,14 +47,19 @@ def _convolve(model: Model, x: np.ndarray) -> np.ndarray:
     return z
 
 
-def block_maxima(model: Model, sym: np.ndarray, piece: int = 1024) -> np.ndarray:
-    """Each filter's largest response in each block, a bounded piece of blocks at a time."""
+def block_maxima(model: Model, sym: np.ndarray, piece: int = 1024, first: np.ndarray | None = None) -> np.ndarray:
+    """Each filter's largest response in each block, a bounded piece of blocks at a time. With `first`, windows that
+    begin in the PADs at a text's end and reach into the next text do not count, so that a text stands for itself."""
     n = (len(sym) - 6) // BLOCK
     out = np.empty((n, FILTERS), np.float32)
     for a in range(0, n, piece):
         b = min(n, a + piece)
         z = _convolve(model, _steps(model, sym[a * BLOCK : b * BLOCK + 6]))
-        out[a:b] = z.reshape(b - a, BLOCK // 2, FILTERS).max(axis=1)
+        z = z.reshape(b - a, BLOCK // 2, FILTERS)
+        if first is not None:
+            ends = first[1:][(first[1:] > a) & (first[1:] <= b)] - 1 - a
+            z[ends, -2:] = -np.inf
+        out[a:b] = z.max(axis=1)
     return out + model["bias"]
 
 
@@ -80,7 +85,7 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if "prior" in model:
         return np.full(len(offsets) - 1, float(model["prior"]))
     sym, first = symbols(data, offsets)
-    logit = _head(model, block_maxima(model, sym), first)[-1].astype(np.float64) + float(model["shift"])
+    logit = _head(model, block_maxima(model, sym, first=first), first)[-1].astype(np.float64) + float(model["shift"])
     return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
 
 

@@ -135,7 +135,7 @@ def _cut_texts(wanted: DataFrame, rows: DataFrame, length: int, core: int) -> Da
     return lists.join(some, ["r1", "r2"]).select("w", "text").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'bytes' else 'long'}" for n in names))
 
 
-def _solve(rows: list[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+def _solve(rows: list[pa.RecordBatch], length: int, width: int, together: int) -> Iterator[pa.RecordBatch]:
     """(key, seg, part) of whole shards: each maximal run of repeated starts of a segment, as first << 16 | last."""
     t = pa.Table.from_batches(rows).combine_chunks()
     # Segments that are equal byte for byte are one string of the transform, with their number.
@@ -146,7 +146,7 @@ def _solve(rows: list[pa.RecordBatch], length: int, width: int) -> Iterator[pa.R
     texts, leads, spans = zip(*strings, strict=True)
     number, key, seg, first = zip(*strings.values(), strict=True)
     # Of very many segments one class of distances after the other is looked at.
-    rounds = [range(c, c + 1) for c in range(width)] if len(texts) > 4 * TOGETHER else [None]
+    rounds = [range(c, c + 1) for c in range(width)] if len(texts) > 4 * together else [None]
     out: list[tuple[int, int, int]] = []
     for classes in rounds:
         for k, flags in enumerate(repeated_starts(texts, leads, spans, length, width, classes, number)):
@@ -159,6 +159,7 @@ def _solve(rows: list[pa.RecordBatch], length: int, width: int) -> Iterator[pa.R
 
 def _repeated_parts(cut: DataFrame, length: int, width: int) -> DataFrame:
     """(key, seg, part) from the transforms of all shards; several small shards share one."""
+    together = TOGETHER
 
     @released
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +171,13 @@ def _repeated_parts(cut: DataFrame, length: int, width: int) -> DataFrame:
             shard = batch.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if count >= TOGETHER and shard[a] != last:
-                    yield from _solve(held, length, width)
+                if count >= together and shard[a] != last:
+                    yield from _solve(held, length, width, together)
                     held, count = [], 0
                 held.append(batch.slice(a, b - a))
                 count, last = count + b - a, shard[a]
         if held:
-            yield from _solve(held, length, width)
+            yield from _solve(held, length, width, together)
 
     # Work a byte is high here, so partitions are many and not merged by size.
     tasks = 2 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -576,3 +576,101 @@ def test_url_aliases_equal_sql(spark):
     assert got == bag(duck.execute(OP6).fetchall())
     verdict = {r[0]: r[4] for r in map(eval, got)}
     assert [verdict[k] for k in (2, 3, 4, 5, 6, 7, 8, 9, 10)] == ["block"] * 5 + ["allow"] * 2 + ["block"] * 2
+
+
+def test_quality_scores_by_hand(spark):
+    """Every score from the definition, window by window; a text's neighbours do not matter."""
+    rng = random.Random(31)
+    texts = [words(rng, n).encode() for n in (0, 1, 5, 60, 300)] + [b"%$#" * 200, b"x" * 250, b"x" * 251]
+    model = quality.fit([t * 3 + b"a" for t in texts[3:5]] + [b"%$#" * 90, b"#" * 300], [1, 1, 0, 0], epochs=2)
+
+    def by_hand(t):
+        blocks = -(-(len(t) + 6) // quality.BLOCK)
+        sym = list(t) + [quality.PAD] * (blocks * quality.BLOCK - len(t))
+        best = []
+        for b in range(blocks):
+            top = np.full(quality.FILTERS, -np.inf)
+            for at in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, 2):
+                if at + 6 <= len(sym):
+                    x = model["embed"][sym[at : at + 6]].reshape(3, -1)
+                    top = np.maximum(top, sum(x[k] @ model["filters"][k] for k in range(3)))
+            best.append(top + model["bias"])
+        chunks = [np.maximum(a, b) for a, b in zip(best, best[1:])] or best
+        hidden = [np.maximum(np.maximum(c, 0) @ model["hidden"] + model["hidden_bias"], 0) for c in chunks]
+        return 1 / (1 + np.exp(-(np.mean(hidden, axis=0) @ model["out"] + model["out_bias"] + model["shift"])))
+
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    together = [r.score for r in quality.score(df.coalesce(1), model).orderBy("doc_id").collect()]
+    alone = [quality.scores(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert np.allclose(together, [by_hand(t) for t in texts], atol=2e-5) and np.allclose(together, alone, atol=2e-6)
+
+
+def test_langid_scores_by_hand():
+    """Every confidence from the definition, subword by subword."""
+    rng = random.Random(32)
+    texts = [words(rng, n).encode() for n in (3, 40, 200)] + ["für größe ñ".encode(), b"a", b"12 a"]
+    model = langid.fit([words(rng, 20).encode() for _ in range(6)] + ["größe für ".encode() * 9] * 6, ["en"] * 6 + ["de"] * 6, epochs=2)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = langid.logits(model, data, offsets)
+    letter = lambda c: (c | 32 if 65 <= (c & 223) <= 90 else c if c > 127 else 0) if c else 0
+    for t, z in zip(texts, got, strict=True):
+        sym = [0, *map(letter, t)] + [0] * 8
+        total, n = np.zeros(len(model.langs)), 0
+        for at in range(len(t) + 1):
+            if not sym[at] and not sym[at + 1]:
+                continue
+            h = (sym[at] * 0x9E3779B1 + sym[at + 1] * 0x85EBCA77) % 2**32
+            for k in (2, 3, 4):
+                if k > 2:
+                    h = (h * 0x27D4EB2F + sym[at + k - 1] * 0xC2B2AE3D) % 2**32
+                total += model.table[((h ^ h >> 15) * (0x2C1B3C6D + 2 * k) % 2**32) >> 19]
+                n += 1
+        assert np.allclose(z, (total / max(n, 1) + model.bias) / model.temperature, atol=1e-3)
+
+
+def test_held_out_labels_are_never_learnt(spark):
+    """Poisoned labels and languages of held-out documents change no score; an id with both labels is not learnt from."""
+    rng = random.Random(33)
+    out = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    good = [(k, words(rng, 30), "en") for k in range(60)]
+    bad = [(k, "".join(c + rng.choice("%$#") for c in words(rng, 20)), "de") for k in range(60, 120)]
+    long = [(120, words(rng, 4000), "en"), (121, words(rng, 30), "en")]
+    kinds = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(good + bad + long, kinds)
+    poisoned = spark.createDataFrame([(k, t, "xx" if out(k) else lang) for k, t, lang in good + bad + long], kinds)
+    truth = [(k, int(lang == "en")) for k, _, lang in good + bad + long]
+    labels = spark.createDataFrame(truth, "doc_id long, quality int")
+    wrong = spark.createDataFrame([(k, 1 - y if out(k) else y) for k, y in truth] + [(k, 1 - y) for k, y in truth if out(k)], labels.schema)
+    a, b = quality.train(docs, labels), quality.train(docs, wrong)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    assert langid.train(poisoned).langs == ["de", "en"] and np.array_equal(langid.train(poisoned).table, langid.train(docs).table)
+    both = labels.unionByName(spark.createDataFrame([(k, 0) for k in range(60)], labels.schema))
+    one = quality.train(docs.filter("doc_id >= 60"), labels)
+    assert all(np.array_equal(quality.train(docs, both)[k], one[k]) for k in one if k != "shift")
+
+
+def test_every_removed_run_comes_out_of_a_transform(spark, monkeypatch):
+    """Where the transforms find nothing, nothing goes, however often a text stands."""
+    rng = random.Random(34)
+    text = words(rng, 200)
+    df = spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string")
+    assert {r.kept for r in repeats.remove_repeats(df).collect()} == {b""}
+    real = repeats._repeated_parts
+    monkeypatch.setattr(repeats, "_repeated_parts", lambda *given: real(*given).limit(0))
+    assert {bytes(r.kept) for r in repeats.remove_repeats(df).collect()} == {text.encode()}
+
+
+def test_equal_segments_in_a_row():
+    """A text of few words over and over is few entries, which stand for every segment."""
+    data = np.frombuffer(b"The quick " * 4000, np.uint8)
+    got = anchors.text_segments(data, np.array([0, len(data)]), 400, 160)
+    assert len(got["key"]) < 40 and (got["count"] * (got["span"] + 1)).sum() == len(data) - 399
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    assert cp.run(spark, d).count() == 0
