@@ -60,6 +60,13 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float  # calibrated confidence under which a text is not given a language
+    familiar: np.ndarray  # (BUCKETS + 1,) log shares of the buckets in the languages learnt; the last is zero
+    floor: float  # mean log share under which a long text is in none of them
+    spread: float  # of one subword's log share: what a short text may lie under the floor
+
+    def foreign(self, familiarity: np.ndarray, subwords: np.ndarray) -> np.ndarray:
+        """Whether texts consist of subwords that no learnt language uses; one without subwords does not tell."""
+        return familiarity < self.floor - 2 * self.spread / np.sqrt(np.maximum(subwords, 1))
 
 
 def bag(text: bytes) -> np.ndarray:
@@ -78,16 +85,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], langs: list[str], epochs: int = 15, batch: int = 16, rate: float = 8.0, seed: int = 7, keep: float = 0.998) -> Model:
-    """SGD over four fifths of the examples; the rest sets the temperature (least log loss) and the rejection bound,
-    four fifths of the confidence that `keep` of those texts pass, and at most 0.15 over a guess: short texts are unsure. Without examples the model knows no language."""
+    """SGD over four fifths of the examples; the rest sets the temperature (least log loss) and the rejection bounds.
+
+    The bound of confidence is four fifths of what `keep` of those texts pass, and at most 0.15 over a guess: short
+    texts are unsure. A softmax is sure of foreign texts too, so the second bound is on the mean log share of a text's
+    subwords among those of the languages (each weighs alike): what `keep` of the held-back texts of every language pass,
+    less half the spread of one subword. Without examples the model knows no language."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS + 1, np.float32), 0.0, 0.0)
     y = np.array([names.index(x) for x in langs])
     c = np.stack([bag(t) for t in texts])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     test, own = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 10 else (order, order)
+    share = np.mean([c[own[y[own] == k]].mean(axis=0) for k in np.unique(y[own])], axis=0)
+    familiar = np.log(0.9 * share + 0.1 / BUCKETS)
     e = (rng.standard_normal((BUCKETS, DIM)) / DIM**0.5).astype(np.float32)
     w = (rng.standard_normal((DIM, len(names))) / DIM**0.5).astype(np.float32)
     b = np.zeros(len(names), np.float32)
@@ -109,7 +122,11 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 15, batch: int = 16,
     temperature = float(grid[int(np.argmin(loss))])
     sure = _softmax(z / temperature).max(axis=1)
     bound = min(float(np.quantile(sure, 1 - keep)) * 0.8, 1 / len(names) + 0.15)
-    return Model(names, np.vstack([e @ w, np.zeros((1, len(names)))]).astype(np.float32), b.astype(np.float64), temperature, bound)
+    known = c[test] @ familiar
+    spread = float(np.sqrt(np.maximum(c[test] @ familiar**2 - known**2, 0)).mean())
+    floor = min(float(np.quantile(known[y[test] == k], 1 - keep)) for k in np.unique(y[test])) - spread / 2
+    table = np.vstack([e @ w, np.zeros((1, len(names)))]).astype(np.float32)
+    return Model(names, table, b.astype(np.float64), temperature, bound, np.append(familiar, 0).astype(np.float32), floor, spread)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, example_bytes: int = EXAMPLE_BYTES) -> Model:
@@ -128,37 +145,44 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Calibrated logits of every text; a text is read in pieces of fixed places, so its sum depends on it alone."""
-    out = np.zeros((len(offsets) - 1, len(model.langs)))
+def subword_means(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean table row over the subwords of every text, and their number; a text is read in pieces of fixed places, so its
+    sum depends on it alone."""
+    out, number = np.zeros((len(offsets) - 1, table.shape[1])), np.zeros(len(offsets) - 1)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         sym = _spelt(data[a:b])
-        total, n = np.zeros(len(model.langs)), 0
+        total, n = np.zeros(table.shape[1]), 0
         for p in range(0, b - a + 1, PIECE):
             m = min(PIECE, b - a + 1 - p)
             for at in _subwords(sym[p : p + m + 8], m):
                 count = np.bincount(at, minlength=BUCKETS + 1) if m > 4 * BUCKETS else None
                 if count is None:
-                    total += model.table.take(at, axis=0).sum(axis=0, dtype=np.float64)
+                    total += table.take(at, axis=0).sum(axis=0, dtype=np.float64)
                     n += m - int(np.count_nonzero(at == BUCKETS))
                 else:
-                    total += count @ model.table.astype(np.float64)
+                    total += count @ table.astype(np.float64)
                     n += int(count[:BUCKETS].sum())
-        out[i] = (total / max(n, 1) + model.bias) / model.temperature
-    return out
+        out[i], number[i] = total / max(n, 1), n
+    return out, number
+
+
+def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Calibrated logits of every text."""
+    return (subword_means(model.table, data, offsets)[0] + model.bias) / model.temperature
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """id (or, with carry, every column), lang_pred, score (calibrated confidence) and rejected.
 
     lang_pred is `und` with score 0 for a null text, one without a letter, or a model that knows no language; rejected
-    marks these and texts whose confidence is under the model's bound. Null ids and repeated rows pass through, texts
+    marks these, texts whose confidence is under the model's bound, and texts of subwords that no learnt language uses. Null ids and repeated rows pass through, texts
     of any length are read whole, an empty table gives no rows. With carry, columns of those names are replaced."""
     told = ["lang_pred", "score", "rejected"]
     keep = [c for c in docs.columns if c not in told] if carry else [id_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, rejected boolean"
     names = np.array([*model.langs, "und"], object)
     at = keep.index(text_col) if carry else len(keep) + 1
+    wide = np.column_stack([model.table, model.familiar])
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +192,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 has = letter[a:b] & bool(model.langs)
                 if model.langs:
                     data, offsets = raw_bytes(col)
-                    p = _softmax(logits(model, data, offsets))
+                    means, number = subword_means(wide, data, offsets)
+                    p = _softmax((means[:, :-1] + model.bias) / model.temperature)
+                    foreign = model.foreign(means[:, -1], number)
                     best, sure = np.where(has, p.argmax(axis=1), len(model.langs)), np.where(has, np.round(p.max(axis=1), 6), 0.0)
                 else:
-                    best, sure = np.zeros(b - a, int), np.zeros(b - a)
+                    best, sure, foreign = np.zeros(b - a, int), np.zeros(b - a), np.ones(b - a, bool)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(a, b - a) for k in range(len(keep))] + [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(~has | (sure < model.reject_below))],
+                    [batch.column(k).slice(a, b - a) for k in range(len(keep))] + [pa.array(names[best].tolist(), pa.string()), pa.array(sure), pa.array(~has | foreign | (sure < model.reject_below))],
                     names=[*keep, *told],
                 )
 

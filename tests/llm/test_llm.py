@@ -605,6 +605,25 @@ def test_quality_scores_by_hand(spark):
     assert np.allclose(together, [by_hand(t) for t in texts], atol=2e-5) and np.allclose(together, alone, atol=2e-6)
 
 
+def test_langid_rejects_foreign_texts():
+    """Texts of letters that no learnt language uses go, those of the languages stay, short or very repetitive ones too."""
+    rng = random.Random(33)
+    stems = {"en": ["the", "and", "thing", "with", "water", "over"], "de": ["der", "und", "schein", "ein", "für", "größe"]}
+    texts = [(" ".join(rng.choices(stems[x], k=rng.randint(3, 80))).encode(), x) for x in ("en", "de") for _ in range(100)]
+    model = langid.fit(*map(list, zip(*texts, strict=True)))
+    own = [t for t, _ in texts] + [b"the", b"water " * 900, "größe ".encode() * 3, b"12 the"]
+    alphabets = [range(0x3B1, 0x3C9), range(0x430, 0x450), range(0x4E00, 0x5E00), range(0x561, 0x586)]
+    foreign = [" ".join("".join(chr(rng.choice(a)) for _ in range(6)) for _ in range(n)).encode() for a in alphabets for n in (5, 40, 400)]
+
+    def rejected(many):
+        data, offsets = np.frombuffer(b"".join(many), np.uint8), np.cumsum([0, *map(len, many)])
+        means, number = langid.subword_means(model.familiar[:, None], data, offsets)
+        return model.foreign(means[:, 0], number).tolist()
+
+    assert rejected(own) == [False] * len(own) and rejected(foreign) == [True] * len(foreign)
+    assert rejected([b"", b"12 34"]) == [False, False]  # without a letter: `und`, not for this bound to tell
+
+
 def test_langid_scores_by_hand():
     """Every confidence from the definition, subword by subword."""
     rng = random.Random(32)
