@@ -97,7 +97,7 @@ def mask_key(key: Column) -> Column:
 
 
 def split_csv(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def env_bool(text: Column) -> Column:

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captureq.functions import digest, text, url
 from captureq.operators import behaviors, events, links, recorder, replay, tasks
+from captureq.plans import columns  # noqa: F401  registers its queries
 from captureq.plans import sqltext as S
+from captureq.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
 from captureq.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: Limits of the recorded exchanges in these queries.
 MAX_RESPONSE, MAX_TASK, SKIP = 90_000, 150_000, ["video/"]
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _folded(spark: SparkSession, d: str) -> DataFrame:
     return recorder.body_budget(tables.exchanges(spark, d), MAX_RESPONSE, MAX_TASK, SKIP)
 
