@@ -66,14 +66,20 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.scratch)
 
 
-#: Rows that Spark hands to a Python step at once, where the session has no setting of its own: both sides hold a batch.
+#: Rows and bytes that Spark hands to a Python step at once, where the session has no setting of its own: both sides hold
+#: a batch. One longer row is a batch by itself.
 BATCH_ROWS, _BATCH_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, _BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch from Spark's default of 10000, which whole texts make too large."""
+    """Lower the rows of an Arrow batch from Spark's default of 10000, and its bytes, which whole texts make too large."""
     if int(spark.conf.get(_BATCH_KEY)) == 10_000:
         spark.conf.set(_BATCH_KEY, BATCH_ROWS)
+    # Without this setting Spark bounds a batch by rows alone, and so does a session that has raised it to its limit.
+    given = spark.conf.get(_BYTES_KEY, None)
+    if given is None or given in ("-1", str(2**31 - 1), f"{2**31 - 1}b"):
+        spark.conf.set(_BYTES_KEY, str(BATCH_BYTES))
 
 
 @functools.cache

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 _RUN = re.compile(r"\s \s|\s \Z")
 #: Entries that one task's cache holds at most, and the longest unit that it keeps. The cache goes with its task: an
 #: idle worker would keep the memory.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 100
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 100
 
 
 def splitter(findall: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
