@@ -12,16 +12,17 @@ from captureq.plans import sqltext as S
 from captureq.plans.catalog import query
 from captureq.sources import sinks, tables
 
-K = F.col("k")
+def _k() -> Column:
+    return F.col("k")
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
 
 
-def _pick(values: list, key: Column = K) -> Column:
+def _pick(values: list) -> Column:
     """The value whose place in the list is the key modulo its length."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int") + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (_k() % len(values)).cast("int") + 1)
 
 
 def _sql(values: list) -> str:
@@ -54,7 +55,7 @@ URIS = {"s3://b/k/x": ("b", "k/x"), "s3://b/": ("", ""), "s3://b": ("", ""), "ht
   {_nth([v[1] for v in URIS.values()])} AS object, CASE WHEN o_orderkey < 100000 THEN '***' ELSE 'key-***' || right('000' || o_orderkey, 4) END AS masked FROM orders""")
 def setting_values(spark, d):
     bucket, key = url.s3_parts(_pick(list(URIS)))
-    secret = F.when(K < 100000, F.concat(F.lit("key"), K.cast("string"))).otherwise(F.concat(F.lit("key-"), K.cast("string")))
+    secret = F.when(_k() < 100000, F.concat(F.lit("key"), _k().cast("string"))).otherwise(F.concat(F.lit("key-"), _k().cast("string")))
     return _keys(spark, d).select(
         "k", text.env_bool(_pick(list(FLAGS))).alias("flag"), F.to_json(text.split_csv(_pick(list(LISTS)))).alias("items"), bucket.alias("bucket"), key.alias("object"), text.mask_key(secret).alias("masked")
     )
@@ -94,7 +95,7 @@ LANGUAGES, CACHES, MODES, TARGETS = ["en", "", None, "de-DE,de;q=0.9", "x" * 201
     CASE WHEN o_orderkey % 60 > 50 THEN 'extraSelectors must have at most 50 items' END, CASE WHEN o_orderkey % 25 > 20 THEN 'excludeFrameworks must have at most 20 items' END) AS errors FROM orders)
   SELECT k, errors, CASE WHEN errors <> '' THEN '{{"type":"about:blank","title":"Validation failed","status":400,"detail":"' || errors || '"}}' END AS problem FROM r""")
 def request_errors(spark, d):
-    n = lambda m: (K % m).cast("int")
+    n = lambda m: (_k() % m).cast("int")
     asked = _keys(spark, d).select(
         "k", _pick(TARGETS).alias("url"), _pick(LANGUAGES).alias("acceptLanguage"), F.struct(n(9000).alias("width"), n(5000).alias("height")).alias("viewport"), n(5).cast("double").alias("deviceScaleFactor"),
         (n(12000) - 1000).alias("operationDelayMs"), _pick(CACHES).alias("cache"), _pick(MODES).alias("archiveMode"), F.array_repeat(F.lit("x"), n(60)).alias("extraSelectors"), F.array_repeat(F.lit("x"), n(25)).alias("excludeFrameworks"),
@@ -107,10 +108,10 @@ def request_errors(spark, d):
   CASE o_orderkey % 3 WHEN 0 THEN '{{"cookies":true,"pageContext":true}}' WHEN 1 THEN '{{"cookies":false,"pageContext":false}}'
     ELSE '{{"cookies":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' WHEN o_orderkey % 4 = 1 THEN 'false' ELSE 'true' END || ',"pageContext":' || CASE WHEN o_orderkey % 5 = 0 THEN 'true' ELSE 'false' END || '}}' END AS reset FROM orders""")
 def capture_settings(spark, d):
-    k = _keys(spark, d).withColumn("cache", F.when(K % 2 == 1, "clear"))
+    k = _keys(spark, d).withColumn("cache", F.when(_k() % 2 == 1, "clear"))
     k = requests.with_defaults(k, {"cache": "use", "mode": "default"})
-    given = F.struct(F.when(K % 2 == 0, True).when(K % 4 == 1, False).alias("cookies"), F.when(K % 5 == 0, True).alias("pageContext"))
-    ratios = requests.device_ratios(F.when(K % 3 == 0, "multipass").otherwise("single-pass"), 1 + K % 3)
+    given = F.struct(F.when(_k() % 2 == 0, True).when(_k() % 4 == 1, False).alias("cookies"), F.when(_k() % 5 == 0, True).alias("pageContext"))
+    ratios = requests.device_ratios(F.when(_k() % 3 == 0, "multipass").otherwise("single-pass"), 1 + _k() % 3)
     reset = requests.reset_state(given, _pick([True, False, None]), True, False)
     return k.select("k", "cache", "mode", F.to_json(ratios).alias("ratios"), F.to_json(reset).alias("reset"))
 
@@ -119,8 +120,8 @@ def capture_settings(spark, d):
   WHEN o_orderkey % 3 = 0 THEN '{"a":{"x":"9"},"b":{"z":"4"},"c":{}}' ELSE '{"c":{}}' END AS options FROM orders""")
 def behavior_option_union(spark, d):
     kind = "map<string,map<string,string>>"
-    config = F.when(K % 2 == 0, F.from_json(F.lit('{"a":{"x":"1","y":"2"}}'), kind))
-    asked = F.when(K % 3 == 0, F.from_json(F.lit('{"a":{"x":"9"},"b":{"z":"4"}}'), kind))
+    config = F.when(_k() % 2 == 0, F.from_json(F.lit('{"a":{"x":"1","y":"2"}}'), kind))
+    asked = F.when(_k() % 3 == 0, F.from_json(F.lit('{"a":{"x":"9"},"b":{"z":"4"}}'), kind))
     return _keys(spark, d).select("k", F.to_json(requests.behavior_options(config, asked, F.array(F.lit("c")))).alias("options"))
 
 
@@ -132,8 +133,8 @@ def repeated_ids(spark, d):
 @query("""WITH f AS (SELECT 'n' || n_nationkey AS key FROM nation), t AS (SELECT o_orderkey AS id, unnest(list_distinct(['n' || (o_orderkey % 40), 'n' || (o_orderkey % 30)])) AS key FROM orders)
   SELECT id, key FROM t WHERE key NOT IN (SELECT key FROM f)""")
 def missing_references(spark, d):
-    n = lambda m: (K % m).cast("string")
-    said = _keys(spark, d).select(K.alias("id"), F.concat(F.lit("see [[n"), n(40), F.lit("]], [[n"), n(30), F.lit("]] and [n99]")).alias("text"))
+    n = lambda m: (_k() % m).cast("string")
+    said = _keys(spark, d).select(_k().alias("id"), F.concat(F.lit("see [[n"), n(40), F.lit("]], [[n"), n(30), F.lit("]] and [n99]")).alias("text"))
     facts = tables.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"))
     return requests.missing_references(said, r"\[\[(\w+)\]\]", facts, "key")
 
@@ -146,19 +147,19 @@ EVENTS = ["initialize", "ready", "degrade", "members", "ready", "shutdown", "don
 @query(f"""WITH e AS (SELECT CAST(floor(o_orderkey / 8) AS BIGINT) AS worker, list({_nth(EVENTS)} ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
   SELECT worker, list_reduce(list_prepend('created', l), lambda a, x: CASE a || '/' || x {" ".join(f"WHEN '{s}/{e}' THEN '{n}'" for s, e, n in workers.COORDINATOR)} ELSE a END) AS state FROM e""")
 def coordinator_states(spark, d):
-    e = _keys(spark, d).select(F.floor(K / 8).cast("long").alias("worker"), "k", _pick(EVENTS).alias("event"))
+    e = _keys(spark, d).select(F.floor(_k() / 8).cast("long").alias("worker"), "k", _pick(EVENTS).alias("event"))
     return workers.follow(e, "worker", "k", "event")
 
 
 @query("SELECT 'h' || o_orderkey AS host FROM orders WHERE o_orderkey % 3 <> 1")
 def present_members(spark, d):
-    profiles = _keys(spark, d).select(F.concat(F.lit("h"), K.cast("string")).alias("host"), _pick([None, "NXDOMAIN", "SERVFAIL"]).alias("error"))
+    profiles = _keys(spark, d).select(F.concat(F.lit("h"), _k().cast("string")).alias("host"), _pick([None, "NXDOMAIN", "SERVFAIL"]).alias("error"))
     return workers.present_members(profiles)
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
-    chain = F.array(F.concat(F.lit("leaf"), (K % 13).cast("string")), F.concat(F.lit("root"), (K % 2).cast("string")))
-    return workers.certificate_times(_keys(spark, d).select("k", K.cast("string").alias("host"), (1_700_000_000 + K).alias("valid_from"), (1_800_000_000 + 60 * K).alias("valid_to"), chain.alias("chain")))
+    chain = F.array(F.concat(F.lit("leaf"), (_k() % 13).cast("string")), F.concat(F.lit("root"), (_k() % 2).cast("string")))
+    return workers.certificate_times(_keys(spark, d).select("k", _k().cast("string").alias("host"), (1_700_000_000 + _k()).alias("valid_from"), (1_800_000_000 + 60 * _k()).alias("valid_to"), chain.alias("chain")))
 
 
 _REF = "substr(sha256('leaf' || (o_orderkey % 13) || 'root' || (o_orderkey % 2)), 1, 16)"
@@ -179,18 +180,18 @@ def certificate_chains(spark, d):
 @query("SELECT o_orderkey AS chain, CASE o_orderkey % 3 WHEN 2 THEN true WHEN 1 THEN o_orderkey % 4 <> 0 ELSE false END AS reaches FROM orders")
 def trusted_chains(spark, d):
     """Three certificates a chain; of every fourth chain the second names another issuer than the third's subject."""
-    kind = F.concat(F.lit("-"), (K % 3).cast("string"))
-    certs = _keys(spark, d).select(K.alias("chain"), "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+    kind = F.concat(F.lit("-"), (_k() % 3).cast("string"))
+    certs = _keys(spark, d).select(_k().alias("chain"), "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
     named = lambda p: F.concat(F.lit("s"), p.cast("string"), kind)
-    issuer = F.when((K % 4 == 0) & (F.col("pos") == 1), "elsewhere").otherwise(named(F.col("pos") + 1))
+    issuer = F.when((_k() % 4 == 0) & (F.col("pos") == 1), "elsewhere").otherwise(named(F.col("pos") + 1))
     return behaviors.chain_reaches(certs.select("chain", "pos", named(F.col("pos")).alias("subject"), issuer.alias("issuer")), ["s3-1", "s1-2"])
 
 
 @query("""SELECT 'h' || (o_orderkey % 50) AS host, min_by('tls' || o_orderkey, o_orderkey) FILTER (o_orderkey % 50 <> 7 AND o_orderkey % 3 <> 0) AS details FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1""")
 def tls_hosts(spark, d):
-    scheme = F.when(K % 7 == 0, "http://h/").otherwise("https://h/")
-    details = F.when((K % 50 != 7) & (K % 3 != 0), F.concat(F.lit("tls"), K.cast("string")))
-    return behaviors.tls_hosts(_keys(spark, d).select(K.alias("seq"), F.concat(F.lit("h"), (K % 50).cast("string")).alias("host"), scheme.alias("url"), details.alias("details")))
+    scheme = F.when(_k() % 7 == 0, "http://h/").otherwise("https://h/")
+    details = F.when((_k() % 50 != 7) & (_k() % 3 != 0), F.concat(F.lit("tls"), _k().cast("string")))
+    return behaviors.tls_hosts(_keys(spark, d).select(_k().alias("seq"), F.concat(F.lit("h"), (_k() % 50).cast("string")).alias("host"), scheme.alias("url"), details.alias("details")))
 
 
 _CHECKS = {"hash": 3, "signature": 4, "domain": 5, "timestamp": 7}
@@ -199,8 +200,8 @@ _CHECKS = {"hash": 3, "signature": 4, "domain": 5, "timestamp": 7}
 @query(f"""WITH c AS (SELECT o_orderkey AS id, {", ".join(f"CASE o_orderkey % {m} WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' ELSE 'ok' END AS {n}" for n, m in _CHECKS.items())} FROM orders)
   SELECT *, CASE 'failed' {" ".join(f"WHEN {n} THEN '{n}'" for n in _CHECKS)} END AS reason FROM c""")
 def package_verdicts(spark, d):
-    told = [F.when(K % m == 0, None).otherwise(K % m != 1).alias(n) for n, m in _CHECKS.items()]
-    return behaviors.verdict(_keys(spark, d).select(K.alias("id"), *told))
+    told = [F.when(_k() % m == 0, None).otherwise(_k() % m != 1).alias(n) for n, m in _CHECKS.items()]
+    return behaviors.verdict(_keys(spark, d).select(_k().alias("id"), *told))
 
 
 # Pages
@@ -215,16 +216,16 @@ RAN = [
 @query(f"SELECT o_orderkey AS id, {_nth([r[1] for r in RAN])} AS coverage FROM orders")
 def behavior_coverage(spark, d):
     ran = F.from_json(_pick([r[0] for r in RAN]), "array<struct<id string, steps long, exhausted boolean>>")
-    return behaviors.coverage(_keys(spark, d).select(K.alias("id"), ran.alias("ran")), 800).select("id", F.to_json("coverage").alias("coverage"))
+    return behaviors.coverage(_keys(spark, d).select(_k().alias("id"), ran.alias("ran")), 800).select("id", F.to_json("coverage").alias("coverage"))
 
 
 @query("""WITH e AS (SELECT CAST(floor(o_orderkey / 8) AS BIGINT) AS page_id, CASE WHEN o_orderkey % 2 = 1 THEN 'r/' || (o_orderkey % 8 - 1) || '/c' ELSE 'r/' || (o_orderkey % 8) END AS path FROM orders
     WHERE o_orderkey % 3 <> 2 AND o_orderkey % 2000 >= 500 AND o_orderkey % 100 >= 30 AND o_orderkey % 7 <> 0)
   SELECT page_id, path FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.page_id = e.page_id AND starts_with(e.path, o.path || '/'))""")
 def page_overlays(spark, d):
-    path = F.when(K % 2 == 1, F.concat(F.lit("r/"), (K % 8 - 1).cast("string"), F.lit("/c"))).otherwise(F.concat(F.lit("r/"), (K % 8).cast("string")))
+    path = F.when(_k() % 2 == 1, F.concat(F.lit("r/"), (_k() % 8 - 1).cast("string"), F.lit("/c"))).otherwise(F.concat(F.lit("r/"), (_k() % 8).cast("string")))
     e = _keys(spark, d).select(
-        F.floor(K / 8).cast("long").alias("page_id"), path.alias("path"), _pick(["fixed", "sticky", "static"]).alias("position"), (K % 2000).alias("z"), (K % 100).alias("area"), F.lit(100).alias("viewport_area"), (K % 7 == 0).alias("landmark")
+        F.floor(_k() / 8).cast("long").alias("page_id"), path.alias("path"), _pick(["fixed", "sticky", "static"]).alias("position"), (_k() % 2000).alias("z"), (_k() % 100).alias("area"), F.lit(100).alias("viewport_area"), (_k() % 7 == 0).alias("landmark")
     )
     return links.overlays(e, 500, 0.3).select("page_id", "path")
 
@@ -247,15 +248,15 @@ def stylesheet_targets(spark, d):
 @query("""SELECT o_orderkey AS k, '["https://cdn' || (o_orderkey % 3) || '.example/i' || o_orderkey || '.PNG"]' AS images, '["https://i.example/' || (2 + o_orderkey % 400) || 'x' || (2 + o_orderkey % 300) || '_c.jpg","https://i.example/'
   || 2 * (2 + o_orderkey % 400) || 'x' || 2 * (2 + o_orderkey % 300) || '_c.jpg","https://i.example/' || (3 + o_orderkey % 400) // 2 || 'x' || (3 + o_orderkey % 300) // 2 || '_c.jpg","https://i.example/plain.jpg"]' AS sizes FROM orders""")
 def image_variants(spark, d):
-    html = F.format_string('<img src="https://cdn%d.example/i%d.PNG"> https://other.org/x.jpg (https://cdn%d.example/i%d.PNG) https://x.example/y.txt', K % 3, K, K % 3, K)
-    sized = F.format_string("https://i.example/%dx%d_c.jpg", 2 + K % 400, 2 + K % 300)
+    html = F.format_string('<img src="https://cdn%d.example/i%d.PNG"> https://other.org/x.jpg (https://cdn%d.example/i%d.PNG) https://x.example/y.txt', _k() % 3, _k(), _k() % 3, _k())
+    sized = F.format_string("https://i.example/%dx%d_c.jpg", 2 + _k() % 400, 2 + _k() % 300)
     sizes = links.size_siblings(F.array(sized, F.lit("https://i.example/plain.jpg")))
     return _keys(spark, d).select("k", F.to_json(links.image_urls(html, "example")).alias("images"), F.to_json(sizes).alias("sizes"))
 
 
 @query("""SELECT o_orderkey AS k, substr(sha256('-----BEGIN CERTIFICATE-----' || o_orderkey || '-----END CERTIFICATE----------BEGIN CERTIFICATE-----x-----END CERTIFICATE-----'), 1, 16) AS ref, 2 AS n FROM orders""")
 def pem_chains(spark, d):
-    pem = F.format_string("head -----BEGIN CERTIFICATE-----%d-----END CERTIFICATE-----\n-----BEGIN CERTIFICATE-----x-----END CERTIFICATE----- -----BEGIN CERTIFICATE-----cut", K)
+    pem = F.format_string("head -----BEGIN CERTIFICATE-----%d-----END CERTIFICATE-----\n-----BEGIN CERTIFICATE-----x-----END CERTIFICATE----- -----BEGIN CERTIFICATE-----cut", _k())
     blocks = links.pem_blocks(pem)
     return _keys(spark, d).select("k", digest.chain_ref(blocks).alias("ref"), F.size(blocks).alias("n"))
 
@@ -263,9 +264,9 @@ def pem_chains(spark, d):
 @query("""SELECT 'p' || o_orderkey AS path, 'one ' || o_orderkey AS name, 'x' || chr(10) || '  y' || o_orderkey AS body FROM orders
   UNION ALL SELECT 'p' || o_orderkey, 'two', 'z' FROM orders WHERE o_orderkey % 2 = 0""")
 def source_regions(spark, d):
-    first = F.format_string("a\n  // #region one %d\n    x\n      y%d\n  // #endregion\nb\n", K, K)
-    second = F.when(K % 2 == 0, "# #region two\nz\n# #endregion\n").otherwise("# #region two\nz\n")
-    return sinks.regions(_keys(spark, d).select(F.concat(F.lit("p"), K.cast("string")).alias("path"), F.concat(first, second).alias("text")))
+    first = F.format_string("a\n  // #region one %d\n    x\n      y%d\n  // #endregion\nb\n", _k(), _k())
+    second = F.when(_k() % 2 == 0, "# #region two\nz\n# #endregion\n").otherwise("# #region two\nz\n")
+    return sinks.regions(_keys(spark, d).select(F.concat(F.lit("p"), _k().cast("string")).alias("path"), F.concat(first, second).alias("text")))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'sig' || page_id END AS signature,
@@ -282,7 +283,7 @@ def page_outcomes(spark, d):
     k = _keys(spark, d)
     status = _pick([200 + 99, 304, None])
     message = _pick([None, "Execution context was destroyed, most likely because of a navigation.", "Target closed", "navigation"])
-    return k.select(K.alias("task_id"), text.http_success(status).alias("success"), text.context_destroyed(message).alias("again"))
+    return k.select(_k().alias("task_id"), text.http_success(status).alias("success"), text.context_destroyed(message).alias("again"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OneTrust' WHEN 1 THEN 'InsitesCookieConsent' WHEN 3 THEN 'Own' END AS framework,
