@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import released, text_slices
-from .pieces import UnitCache
+from .pieces import CACHE_ENTRIES, UnitCache
 
 
 class OpenBins:
@@ -123,7 +123,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def pack_documents(
-    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = 1024
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, open_bins: int = 1024, cache_entries: int = CACHE_ENTRIES
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, tokens (little-endian uint32), sequence_id, offset.
 
@@ -140,7 +140,7 @@ def pack_documents(
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        bins, units = OpenBins(size, open_bins), UnitCache(encoder.units)
+        bins, units = OpenBins(size, open_bins), UnitCache(encoder.units, cache_entries)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0)

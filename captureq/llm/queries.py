@@ -16,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, **options: int) -> DataFrame:
     """The digest columns of best-fit packing, one row per piece."""
-    out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), **options)
     return out.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
