@@ -52,8 +52,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
-    return q.packed(docs)
+    """The pieces of all documents in sequences of 2048 ids; executors still hold what the stages before have left, so
+    the encoder's cache is smaller here."""
+    return q.packed(docs, cache_entries=150_000)
 
 
 #: (name, function of (spark, docs, sf_dir)); each works on all that the one before it kept.
