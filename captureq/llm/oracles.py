@@ -81,4 +81,22 @@ text_left AS (SELECT r, string_agg(substr(h, 2 * z + 1, 2 * (a - z)) || CASE WHE
 SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256,
   CASE WHEN t IS NULL THEN body ELSE decode(unhex(array_to_string(list_filter(regexp_extract_all(t, '[0-7].|[CD].[89AB].|E.(?:[89AB].){2}|F.(?:[89AB].){3}|..'), lambda x: length(x) > 2 OR x < '8'), ''))) END AS text FROM d LEFT JOIN text_left USING (r)"""
 
-ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8}
+#: CRC-32 of the text in column s, byte by byte and bit by bit (s is ASCII).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda r, bit: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+OP11 = f"""WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM o)),
+turns AS (SELECT c.conv_id, pos, role, body FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND pos < h UNION ALL SELECT conv_id, pos, role, body FROM c JOIN o USING (conv_id) WHERE pos >= h),
+seq AS (SELECT c.conv_id, coalesce(list(sha256(strlen(role) || ':' || role || body) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS t, coalesce(list(len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w
+  FROM c LEFT JOIN turns USING (conv_id) GROUP BY c.conv_id),
+member AS (SELECT conv_id, d, sha256(array_to_string(t[:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(t[:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, len(t) = d AS ends, list_transform(range(0, d + 1), lambda j: sha256(array_to_string(t[:j], ','))) AS above
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM seq)),
+node AS (SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(words) AS words, any_value(above) AS above, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT a AS k, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT unnest(above) AS a, n_convs, words, n FROM node LEFT JOIN kids USING (k)) GROUP BY a)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM node x LEFT JOIN node p ON x.up = p.k LEFT JOIN kids ON kids.k = x.k JOIN below ON below.k = x.k"""
+
+ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8, "op11_conversation_trie": OP11}

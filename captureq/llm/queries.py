@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, media, packing, quality, repeats, simhash, urlfilter, warc
+from . import bpe, embed, langid, media, packing, quality, repeats, simhash, trie, urlfilter, warc
 from .common import bounded_batches, held_out, scratch_path
 from .oracles import ORACLES  # noqa: F401  read by the driver entry
 
@@ -85,6 +85,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_simhash": op2_simhash,
@@ -96,4 +100,5 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
+    "op11_conversation_trie": op11_conversation_trie,
 }
