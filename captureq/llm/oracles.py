@@ -99,4 +99,18 @@ below AS (SELECT a AS k, sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS n_leaves,
 SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
 FROM node x LEFT JOIN node p ON x.up = p.k LEFT JOIN kids ON kids.k = x.k JOIN below ON below.k = x.k"""
 
-ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8, "op11_conversation_trie": OP11}
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 7], ' ')) AS k, CASE WHEN i + 64 <= len(w) THEN md5(array_to_string(w[i:i + 64], ' ')) END AS far FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+hit AS (SELECT DISTINCT r, i + j AS i FROM rep CROSS JOIN (SELECT unnest(range(0, 8)) AS j)),
+told AS (SELECT r, count(*) AS n, sum(length(w[i])) AS chars FROM hit JOIN d USING (r) GROUP BY r),
+long_one AS (SELECT DISTINCT r FROM win WHERE far IS NOT NULL GROUP BY r, far HAVING count(*) > 1),
+m AS (SELECT d.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS full_lines, coalesce(n, 0) AS n_repeat_words, coalesce(chars, 0) AS chars, long_one.r IS NOT NULL AS long_repeat
+  FROM d LEFT JOIN told USING (r) LEFT JOIN long_one USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * chars <= 30 * word_chars AND NOT long_repeat AS kept FROM b"""
+
+ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8, "op11_conversation_trie": OP11, "op12_quality_rules": OP12}

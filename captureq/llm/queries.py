@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, media, packing, quality, repeats, simhash, trie, urlfilter, warc
+from . import bpe, embed, langid, media, packing, quality, repeats, rules, simhash, trie, urlfilter, warc
 from .common import bounded_batches, held_out, scratch_path
 from .oracles import ORACLES  # noqa: F401  read by the driver entry
 
@@ -89,6 +89,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_simhash": op2_simhash,
@@ -101,4 +106,5 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_quality_rules": op12_quality_rules,
 }
