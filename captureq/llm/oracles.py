@@ -113,4 +113,21 @@ m AS (SELECT d.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transfo
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * chars <= 30 * word_chars AND NOT long_repeat AS kept FROM b"""
 
-ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8, "op11_conversation_trie": OP11, "op12_quality_rules": OP12}
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_SHARE = "1 + CAST(1000000000 AS HUGEINT) * ({0} + 2) // ({1} + 2 * {2})"
+_GAP = "({0} - {1}) * ({0} - {1}) // ({0} + {1})"
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(body, '{_TERM}')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN c USING (lang, source) GROUP BY ALL),
+gp AS (SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format("coalesce(n, 0)", "total", "v")} AS p FROM gn JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+lq AS (SELECT lang, term, {_SHARE.format("n", "total", "v")} AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN (SELECT lang, sum(total) AS total FROM gn GROUP BY lang) USING (lang) JOIN v USING (lang)),
+far AS (SELECT x.lang, x.source, y.source AS other, sum({_GAP.format("x.p", "y.p")}) AS f FROM gp x JOIN gp y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+part AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far ON far.lang = x.lang AND far.source = x.source AND far.other = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST({_GAP.format("p", "q")} AS BIGINT) FROM gp JOIN lq USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM part) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES = {"op1_embedding_neardup": OP1, "op4_warc": OP4, "op6_url_filter": OP6, "op8_repeats": OP8, "op11_conversation_trie": OP11, "op12_quality_rules": OP12, "op13_divergence": OP13}

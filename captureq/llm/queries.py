@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, media, packing, quality, repeats, rules, simhash, trie, urlfilter, warc
+from . import bpe, divergence, embed, langid, media, packing, quality, repeats, rules, simhash, trie, urlfilter, warc
 from .common import bounded_batches, held_out, scratch_path
 from .oracles import ORACLES  # noqa: F401  read by the driver entry
 
@@ -94,6 +94,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_simhash": op2_simhash,
@@ -107,4 +111,5 @@ QUERIES = {
     "op10_media": op10_media,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_quality_rules": op12_quality_rules,
+    "op13_divergence": op13_divergence,
 }
