@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def http_error_message(status: Column, given: Column) -> Column:
     return F.concat(F.lit("HTTP "), status.cast("string"), F.coalesce(F.concat(F.lit(": "), reason), F.lit("")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of Unicode white space."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")

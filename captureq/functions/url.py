@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from captureq.functions.text import bound
+
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 _HOSTLESS = r"^[A-Za-z][A-Za-z0-9+.\-]*:(.*)$"
 
@@ -92,30 +94,21 @@ def dotless(url: Column) -> Column:
     return F.when((site != "") & path.contains("/."), F.concat(site, clean, rest)).otherwise(url)
 
 
-#: Character references that an attribute's url commonly holds, the ampersand last.
-REFERENCES = [("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
-
-
-def decoded(attribute: Column) -> Column:
-    """An attribute's value without character references, as far as REFERENCES goes."""
-    for reference, char in REFERENCES:
-        attribute = F.replace(attribute, F.lit(reference), F.lit(char))
-    return attribute
-
-
 def absolute(href: Column, base: Column) -> Column:
     """href resolved against a base url: absolute, `//`, `/`, `?`, `#` and relative forms, dot segments resolved."""
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    full = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when((href == "") | href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
-        .otherwise(F.concat(folder, href))
-    )
-    return dotless(full)
+
+    def resolved(h: Column) -> Column:
+        folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin(base), h))
+            .when((h == "") | h.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), h))
+            .when(h.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), h))
+            .otherwise(F.concat(F.regexp_replace(folder, "([^/])$", "$1/"), h))
+        )
+
+    return bound(bound(href, resolved), dotless)
 
 
 def is_web(url: Column) -> Column:

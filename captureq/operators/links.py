@@ -1,42 +1,45 @@
-"""Links, titles and responsive candidates from HTML text, by regular expressions on the JVM."""
+"""Links, titles, media, banners and responsive candidates from HTML text, by built-in functions on the JVM.
+
+Pages are read as a parser reads their tokens (see `functions.html`): nothing in comments, scripts and raw text counts,
+quotes may stand anywhere, tags of any length are read once. A null page has no elements."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captureq.functions.text import trim_all
-from captureq.functions.url import absolute, decoded, is_web
-
-#: An attribute's value: quoted either way, or up to white space and the end of the tag.
-_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_WHOLE = r"""(?is)(<a\s(?:"[^"]*"|'[^']*'|[^>"'])*>.*?</a>)"""
-_TAG = r"""(?is)(<[a-z](?:"[^"]*"|'[^']*'|[^>"'])*>)"""
+from captureq.functions import html
+from captureq.functions.text import bound, trim_all
+from captureq.functions.url import absolute, is_web, parseable
 
 
-def _group(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 1)
+def _target(attrs: Column, name: str) -> Column:
+    """A url attribute's value without the white space around it and the line breaks and tabs in it."""
+    return F.regexp_replace(F.regexp_replace(html.value(attrs, name), r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The decoded value of a tag's attribute, however it is quoted; null where the tag has none."""
-    p = rf"(?is)^<[a-z][^\s/>]*(?:\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)?\s{name}{_VALUE}"
-    value = F.concat(*[F.regexp_extract(tag, p, k) for k in (1, 2, 3)])
-    return F.when(tag.rlike(p), decoded(value))
+def page_base(text: Column, url: Column) -> Column:
+    """What relative targets of a page are resolved against: the first base element that has a target, itself resolved
+    against the page's url, else (also where that is no url) the page's url."""
+    bases = F.transform(F.filter(html.start_tags(text), lambda t: t.rlike(r"(?i)^<base[\s/>]")), html.attributes)
+    first = F.get(F.filter(F.transform(bases, lambda a: _target(a, "href")), lambda h: h.isNotNull()), F.lit(0))
+    fit = lambda b: F.when(parseable(b), b)
+    return F.when(text.rlike(r"(?i)<base[\s/]"), F.coalesce(bound(absolute(first, url), fit), url)).otherwise(url)
 
 
 def anchors(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """page, pos, href (absolute, as it stands where no url can be made of it), text (trimmed, 200 characters at most),
-    rel (null where empty), in document order. Null html has no links; a null url leaves relative targets null."""
-    told = pages.select(F.col(id_col).alias("page_id"), F.col("url").alias("base"), F.regexp_extract_all("html", F.lit(_WHOLE), 1).alias("tags"))
-    # A position counts the anchors that have a target.
-    targets = F.filter("tags", lambda t: t.rlike(rf"(?is)^<a\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?(?<=\s)href{_VALUE}"))
-    tags = told.select("page_id", "base", F.posexplode(targets).alias("pos", "tag"))
-    tag = F.col("tag")
-    text = F.regexp_replace(_group(tag, r"""(?is)^<a\s(?:"[^"]*"|'[^']*'|[^>"'])*>(.*)</a>$"""), r"<[^>]*>", "")
-    href = absolute(F.trim(attribute(tag, "href")), F.col("base"))
-    rel = F.nullif(attribute(tag, "rel"), F.lit(""))
-    return tags.select("page_id", F.col("pos").cast("long").alias("pos"), href.alias("href"), F.substring(trim_all(text), 1, 200).alias("text"), rel.alias("rel"))
+    rel (null where empty), in document order; a position counts the anchors that have a target.
+
+    Null html has no links; a null url leaves relative targets null; an empty target is the page itself. Columns but id,
+    url and html are not read. All of an anchor is worked out before it becomes a row, so that no filter repeats it."""
+    told = pages.select(F.col(id_col).alias("page_id"), page_base(F.col("html"), F.col("url")).alias("base"), html.anchor_elements(F.col("html")).alias("e"))
+    read = F.filter(F.transform("e", lambda e: F.struct(e.alias("e"), html.attributes(html.first_tag(e)).alias("a"))), lambda x: F.array_contains(x["a"]["names"], "href"))
+    text = lambda x: F.substring(trim_all(html.text_of(x["e"])), 1, 200)
+    read = F.transform(read, lambda x: F.struct(_target(x["a"], "href").alias("href"), text(x).alias("text"), F.nullif(html.value(x["a"], "rel"), F.lit("")).alias("rel")))
+    rows = F.transform(read, lambda x: F.struct(absolute(x["href"], F.col("base")).alias("href"), x["text"].alias("text"), x["rel"].alias("rel")))
+    each = told.select("page_id", F.posexplode(rows).alias("pos", "r"))
+    return each.select("page_id", F.col("pos").cast("long").alias("pos"), "r.href", "r.text", "r.rel")
 
 
 def outbound_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -46,9 +49,8 @@ def outbound_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def titles(pages: DataFrame) -> DataFrame:
-    """Page title, or the url where it is empty."""
-    title = trim_all(_group(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>"))
-    return pages.select("page_id", F.coalesce(F.nullif(title, F.lit("")), F.col("url")).alias("title"))
+    """Page title (of the first title element), or the url where it is empty."""
+    return pages.select("page_id", F.coalesce(F.nullif(trim_all(html.title_text(F.col("html"))), F.lit("")), F.col("url")).alias("title"))
 
 
 def srcset_urls(value: Column) -> Column:
@@ -61,16 +63,19 @@ def responsive_candidates(pages: DataFrame) -> DataFrame:
 
     Elements are img, source and whatever has one of the other attributes; they are looked at in document order, the
     attributes of one in that order. Null html has no candidates."""
-    element = r"""(?is)^<(?:(?:img|source)\b|.*\s(?:data-src|data-srcset|data-lazy-src|poster)\s*=)"""
-    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), 1), lambda t: t.rlike(element))
-
-    def urls(tag: Column) -> Column:
-        plain = F.array(*[F.nullif(attribute(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src", "poster")])
-        sets = F.flatten(F.array(*[F.coalesce(srcset_urls(attribute(tag, n)), F.array().cast("array<string>")) for n in ("srcset", "data-srcset")]))
+    lazy = ("data-src", "data-srcset", "data-lazy-src", "poster")
+    told = pages.select("page_id", page_base(F.col("html"), F.col("url")).alias("base"), html.start_tags(F.col("html")).alias("t"))
+    tags = F.filter("t", lambda t: t.rlike(rf"(?i)^<(?:img|source)\b|[\s/\"']({'|'.join(lazy)})[\s/=>]"))
+    read = F.transform(tags, lambda t: F.struct(t.rlike(r"(?i)^<(?:img|source)[\s/>]").alias("image"), html.attributes(t).alias("a")))
+    read = F.filter(read, lambda x: x["image"] | F.arrays_overlap(x["a"]["names"], F.array(*map(F.lit, lazy))))
+
+    def urls(attrs: Column) -> Column:
+        plain = F.array(*[F.nullif(_target(attrs, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src", "poster")])
+        sets = F.flatten(F.array(*[F.coalesce(srcset_urls(html.value(attrs, n)), F.array().cast("array<string>")) for n in ("srcset", "data-srcset")]))
         return F.concat(plain, sets)
 
-    every = F.transform(F.flatten(F.transform(tags, urls)), lambda u: absolute(F.trim(u), F.col("url")))
-    return pages.select("page_id", F.array_distinct(F.filter(F.coalesce(every, F.array().cast("array<string>")), lambda u: F.coalesce(is_web(u), F.lit(False)))).alias("candidates"))
+    every = F.transform(F.flatten(F.transform(read, lambda x: urls(x["a"]))), lambda u: absolute(F.trim(u), F.col("base")))
+    return told.select("page_id", F.array_distinct(F.filter(every, lambda u: F.coalesce(is_web(u), F.lit(False)))).alias("candidates"))
 
 
 def stylesheet_urls(css: Column, base: Column) -> Column:
@@ -107,10 +112,10 @@ def consent_banners(pages: DataFrame, excluded: list[str] | None = None, custom:
     """page_id, framework (first hit, else null), removed (array of matching selectors); excluded frameworks are left
     out, custom entries come last. The ids and classes of a page are read once, all selectors look at them."""
     entries = [e for e in CMP if e[0] not in (excluded or [])] + (custom or [])
-    tags = F.filter(F.regexp_extract_all("html", F.lit(_TAG), 1), lambda t: t.rlike(r"(?is)\s(?:id|class)\s*="))
-    named = pages.select("page_id", F.coalesce(tags, F.array().cast("array<string>")).alias("t"))
-    ids = F.filter(F.transform("t", lambda t: attribute(t, "id")), lambda x: x.isNotNull())
-    classes = F.flatten(F.filter(F.transform("t", lambda t: F.split(attribute(t, "class"), r"\s+")), lambda x: x.isNotNull()))
+    tags = F.filter(html.start_tags(F.col("html")), lambda t: t.rlike(r"(?i)[\s/\"'](?:id|class)[\s=]"))
+    named = pages.select("page_id", F.transform(tags, html.attributes).alias("t"))
+    ids = F.filter(F.transform("t", lambda a: html.value(a, "id")), lambda x: x.isNotNull())
+    classes = F.flatten(F.filter(F.transform("t", lambda a: F.split(html.value(a, "class"), r"\s+")), lambda x: x.isNotNull()))
     told = named.select("page_id", F.array_distinct(ids).alias("ids"), F.array_distinct(classes).alias("classes"))
     hit = [F.when(_matches(s, F.col("ids"), F.col("classes")), F.struct(F.lit(f).alias("f"), F.lit(s).alias("s"))) for f, s in entries]
     told = told.select("page_id", F.filter(F.array(*hit), lambda x: x.isNotNull()).alias("h"))
@@ -146,12 +151,19 @@ def dismiss_options(specs: DataFrame, spec_col: str = "spec") -> DataFrame:
 
 
 def media_urls(pages: DataFrame) -> DataFrame:
-    """page_id, pos, urls: for each video or audio element its src, poster and its sources, absolute, each once."""
-    elements = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:video|audio)\b[^>]*>.*?</(?:video|audio)>)"), 1)).alias("pos", "tag"))
-    head = F.regexp_extract("tag", r"(?is)^(<[^>]*>)", 1)
-    own = [F.regexp_extract_all(head, F.lit(rf"""(?is)\s{a}\s*=\s*["']([^"']+)["']"""), 1) for a in ("src", "poster")]
-    inner = F.regexp_extract_all("tag", F.lit(r"""(?is)<source\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""), 1)
-    return elements.select("page_id", F.col("pos").cast("long").alias("pos"), F.array_distinct(F.transform(F.concat(*own, inner), lambda u: absolute(u, F.col("base")))).alias("urls"))
+    """page_id, pos, urls: for each video or audio element its src, poster and its sources, absolute, each once. An
+    element that is never closed holds the rest of its page."""
+    told = pages.select("page_id", page_base(F.col("html"), F.col("url")).alias("base"), html.media_elements(F.col("html")).alias("e"))
+
+    def urls(element: Column) -> Column:
+        tags = F.filter(html.start_tags(element), lambda t: t.rlike(r"(?i)^<(?:video|audio|source)[\s/>]"))
+        # The first tag is the element's own; it alone has a poster.
+        read = F.transform(tags, lambda t, i: F.struct(html.attributes(t).alias("a"), (i == 0).alias("own"), t.rlike(r"(?i)^<source").alias("source")))
+        found = F.transform(F.filter(read, lambda x: x["own"] | x["source"]), lambda x: F.array(_target(x["a"], "src"), F.when(x["own"], _target(x["a"], "poster"))))
+        return F.array_distinct(F.transform(F.filter(F.flatten(found), lambda u: F.coalesce(u != "", F.lit(False))), lambda u: absolute(u, F.col("base"))))
+
+    each = told.select("page_id", F.posexplode(F.transform("e", urls)).alias("pos", "urls"))
+    return each.select("page_id", F.col("pos").cast("long").alias("pos"), "urls")
 
 
 def image_urls(html: Column, host_token: str) -> Column:

@@ -153,11 +153,14 @@ anchors AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-
 
 _PATH = r"regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
 _SITE = r"regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
-_FOLDER = f"{_SITE} || regexp_replace({_PATH}, '/[^/]*$', '') || '/'"
+#: What tables.rich_pages resolves relative targets against: a base of its own on every third page.
+_BASE_PATH = f"CASE WHEN page_id % 3 = 1 THEN '/b/c' ELSE {_PATH} END"
+_FOLDER = f"{_SITE} || regexp_replace({_BASE_PATH}, '/[^/]*$', '') || '/'"
 #: The links that tables.rich_pages adds behind a page's own.
 _LINKS = f"""{_TAGS}, links AS (SELECT page_id, pos, href, text, CAST(NULL AS VARCHAR) AS rel FROM anchors
-  UNION ALL SELECT p.page_id, i + (SELECT count(*) FROM tags t WHERE t.page_id = p.page_id), CASE i WHEN 0 THEN {_SITE} || regexp_replace({_PATH}, '/[^/]*/[^/]*$', '') || '/up/x?a=1&b=2'
-    WHEN 1 THEN 'http://[bad' ELSE regexp_replace(url, '#.*$', '') || '#f' END, text, rel FROM pages p, (VALUES (0, 'Up', 'nofollow'), (1, 'Bad', NULL), (2, 'Q', 'me noopener')) v(i, text, rel))"""
+  UNION ALL SELECT p.page_id, i + (SELECT count(*) FROM tags t WHERE t.page_id = p.page_id), CASE i WHEN 0 THEN {_SITE} || regexp_replace({_BASE_PATH}, '/[^/]*/[^/]*$', '') || '/up/x?a=1&b=2'
+    WHEN 1 THEN 'http://[bad' WHEN 2 THEN CASE WHEN page_id % 3 = 1 THEN {_SITE} || '/b/c' ELSE regexp_replace(url, '#.*$', '') END || '#f' WHEN 3 THEN {_SITE} || '/un' ELSE {_FOLDER} || 'long' END, text, rel
+    FROM pages p, (VALUES (0, 'Up', 'nofollow'), (1, 'Bad', NULL), (2, 'Q', 'me noopener'), (3, 'Unpaired <b>', NULL), (4, 'Long', NULL)) v(i, text, rel))"""
 
 
 @query(f"WITH {_LINKS} SELECT * FROM links")
@@ -175,7 +178,7 @@ def responsive_candidates(spark, d):
     return _as_json(links.responsive_candidates(tables.rich_pages(spark, d)), "candidates")
 
 
-@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+@query("SELECT page_id, coalesce(nullif(trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')), ''), url) AS title FROM pages")
 def page_titles(spark, d):
     return links.titles(tables.table(spark, d, "pages"))
 

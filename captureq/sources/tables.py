@@ -53,17 +53,26 @@ def net_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), F.floor(F.col("value") * 1000).cast("long").alias("encoded_length"))
 
 
+#: What rich_pages adds to every page, in the order in which it stands there. Links in comments and scripts are none.
+RICH_TAIL = (
+    "<a rel=nofollow href=../up/./x?a=1&amp;b=2>Up</a><a href=\"http://[bad\">Bad</a><a HREF='#f' rel=\"me noopener\"> Q </a>"
+    "<!-- <a href=/no>no</a><div id=onetrust-banner-sdk><img src=no.png> --><script>var s = \"<a href='/no'>no</a><p class=klaro>\";</script>"
+    "<a href=/un title=it's>Un&#x70;aired <!-- no -->&lt;b&gt;</a>"
+    "<img src=a.png data-src=\"/b.png\" srcset=\"c.png 1x, d.png 2x\"><video src='v.mp4' poster=//cdn.example/p.png></video>"
+)
+
+
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages whose html ends with what the generated pages lack: unquoted, entity-coded, relative and unparseable link
-    targets, rel, responsive images, a video, and by page_id one of four banners (or near misses of them)."""
-    tail = (
-        "<a rel=nofollow href=../up/./x?a=1&amp;b=2>Up</a><a href=\"http://[bad\">Bad</a><a HREF='#f' rel=\"me noopener\"> Q </a>"
-        "<img src=a.png data-src=\"/b.png\" srcset=\"c.png 1x, d.png 2x\"><video src='v.mp4' poster=//cdn.example/p.png></video>"
-    )
+    """pages whose html goes on with what the generated pages lack: unquoted, entity-coded, relative and unparseable link
+    targets, rel, unpaired quotes, links that are none, responsive images, a video, a link with an attribute of 20 000
+    characters (on one page in ten), by page_id one of four banners (or near misses of them), and on every third page a
+    base, which holds for the whole page."""
     kind = F.pmod("page_id", F.lit(4))
     banner = F.when(kind == 0, "<div id=onetrust-banner-sdk>").when(kind == 1, '<div id="ONETRUST-banner-sdk" class="x cc-window">')
     banner = banner.when(kind == 2, "<div class='a klaro b'>").otherwise('<p id="sp_message_container_9">')
-    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(tail), banner))
+    long_link = F.concat(F.lit("<a data-x='"), F.repeat(F.lit('">'), F.when(F.col("page_id") % 10 == 0, 10_000).otherwise(3)), F.lit("' href=long>Long</a>"))
+    base = F.when(F.col("page_id") % 3 == 1, '<base target=x><BASE HREF="/b/c">').otherwise("")
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(RICH_TAIL), long_link, banner, base))
 
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
