@@ -73,6 +73,7 @@ def shards(kept: DataFrame, most_terms: int = SHARD_TERMS, most_bytes: int = SHA
 
     A language's terms are dealt by hash into parts of half a shard's terms and bytes; parts fill shards in turn, so that
     a shard holds whole languages or a part of one. A term longer than a shard's bytes makes a shard so much larger."""
+    kept = written(kept, "frequent-terms")
     size = F.octet_length("term") + 8
     need = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.count(F.lit(1)).alias("weight"))
     need = written(need.select("lang", F.ceil(F.greatest(2 * F.col("n") / most_terms, 2 * F.col("b") / most_bytes)).cast("long").alias("parts"), "weight"), "languages")
