@@ -1,9 +1,13 @@
 """The corpus pipeline: quality, language, near duplicates, repeated passages, packing.
 
-Rows of any column set pass; doc_id and text are read by name, n_chars follows a changed text where it is there."""
+Rows of any column set pass; doc_id, text and (to learn from) lang are read by name, n_chars follows a changed text where
+it is there. All other columns are carried under names of their place, so that no column of an operator meets them."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,24 @@ REJECT_BELOW = 0.4
 PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_CORE, PASSAGE_WIDTH = 50, 100, 40, 50
 
 
+#: Columns that stages read or change.
+READ = ("doc_id", "text", "lang", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def carried(stage: Stage) -> Stage:
+    """A stage over docs whose other columns have names of their place, and get their own back."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in READ else f"carried{k}" for k, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+    return run
+
+
+@carried
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Null and empty texts are scored as empty texts."""
     bounded_batches(spark)
@@ -25,12 +47,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, carry=True).filter(F.col("score") >= REJECT_BELOW).select(*docs.columns)
 
 
+@carried
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: a text that is null, has no letter or is under the model's bound goes."""
     out = langid.predict(docs, langid.train(docs), carry=True)
     return out.filter(~F.col("rejected")).select(*docs.columns)
 
 
+@carried
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingle sets of similarity 0.8, linked) the document of smallest id,
     of equal ids the text of least hash, once; a row is known by id and text. Rows without an id stay: they have no name by which one could be chosen."""
@@ -42,6 +66,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
+@carried
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte runs that repeat and hold over 50 words, or 400 bytes in any number of words;
     characters that a cut leaves incomplete go too."""
