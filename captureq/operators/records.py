@@ -5,6 +5,8 @@ repeated task names it alike."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +67,9 @@ def stored_headers(headers: Column, own_length: Column, stored_bytes: Column) ->
 
 
 def head_text(first: Column, headers: Column) -> Column:
-    """A message head: the first line, a line for each header (a value of several lines is a repeated header), a blank."""
-    lines = F.flatten(F.transform(F.map_entries(headers), lambda e: F.transform(F.split(e["value"], "\n"), lambda v: F.concat(e["key"], F.lit(": "), v))))
+    """A message head: the first line, a line for each header (a value of several lines is a repeated header, a null one is
+    empty), a blank."""
+    lines = F.flatten(F.transform(F.map_entries(headers), lambda e: F.transform(F.split(F.coalesce(e["value"], F.lit("")), "\n"), lambda v: F.concat(e["key"], F.lit(": "), v))))
     return F.concat(F.array_join(F.concat(F.array(first), lines), "\r\n"), F.lit("\r\n\r\n"))
 
 
@@ -76,8 +79,9 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
     return F.map_from_entries(F.filter(every, lambda e: e["value"].isNotNull()))
 
 
-def exchange_records(settled: DataFrame) -> DataFrame:
-    """task_id, request_id, round, pos, kind, record_id, concurrent_to, refers_to, truncated, head, fields.
+def exchange_records(settled: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """task_id, request_id, round, the columns of `carry`, pos, kind, record_id, concurrent_to, refers_to, truncated, head,
+    fields.
 
     An exchange that was recorded (or answered by a redirect) gives a response and a request that name each other, and
     a metadata record that refers to the response where its body was dropped; one that failed, ended without a response
@@ -85,14 +89,16 @@ def exchange_records(settled: DataFrame) -> DataFrame:
 
     settled: task_id, request_id, round, url, method, resource_type, outcome, status, status_text, request_headers,
     response_headers, body_bytes (null: none stored), skip_reason, encoded_length, error_text, canceled,
-    blocked_reason; any may be null but the first three and the outcome."""
+    blocked_reason; any may be null but the first three and the outcome. A null status is written as 0 without a reason, a
+    null url asks for `/`, a null method is GET, null headers are none."""
     c = F.col
     ident = [c("task_id"), c("request_id"), c("round")]
     response, request = (record_id(*ident, F.lit(k)) for k in ("response", "request"))
     pair, dropped = c("outcome").isin("recorded", "redirected"), c("skip_reason").isNotNull()
     stored = F.when(~dropped, c("body_bytes"))
-    status_line = F.concat(F.lit("HTTP/1.1 "), c("status").cast("string"), F.lit(" "), recorder_reason(c("status"), c("status_text")))
-    request_line = F.concat(F.coalesce("method", F.lit("GET")), F.lit(" "), request_target(c("url")), F.lit(" HTTP/1.1"))
+    known = F.concat(c("status").cast("string"), F.lit(" "), recorder_reason(c("status"), F.coalesce("status_text", F.lit(""))))
+    status_line = F.concat(F.lit("HTTP/1.1 "), F.coalesce(known, F.lit("0")))
+    request_line = F.concat(F.coalesce("method", F.lit("GET")), F.lit(" "), F.coalesce(request_target(c("url")), F.lit("/")), F.lit(" HTTP/1.1"))
     missing = F.when(c("outcome") == "no-response", "loadingFinished-without-response").when(c("outcome") == "failed", "loadingFailed").when(c("outcome") == "incomplete", "stop-while-pending")
     failed, named = c("outcome") == "failed", c("outcome") != "failed"
     why = _fields(
@@ -120,8 +126,8 @@ def exchange_records(settled: DataFrame) -> DataFrame:
         record("metadata", pair & dropped, record_id(*ident, F.lit("metadata")), none, response, none, none, omitted),
         record("metadata", missing.isNotNull(), record_id(*ident, F.lit("metadata")), none, none, none, none, why),
     )
-    each = settled.select("task_id", "request_id", "round", F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("pos", "r"))
-    return each.select("task_id", "request_id", "round", "pos", "r.*")
+    each = settled.select("task_id", "request_id", "round", *carry, F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("pos", "r"))
+    return each.select("task_id", "request_id", "round", *carry, "pos", "r.*")
 
 
 #: Counter names by what they count.

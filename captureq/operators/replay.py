@@ -26,7 +26,8 @@ BUCKET = 7 * 86_400
 
 def nearest(asked: DataFrame, index: DataFrame, key: str = "key", bucket: int = BUCKET) -> DataFrame:
     """For each request (id, key, at) the capture of that key closest in time; of equally close ones the earlier, then
-    the smaller ref; nulls where the key has none.
+    the smaller ref; nulls where the key has none, and where the request's key or time is null. Captures without a key, a
+    time or a ref are never found. Every request gives a row, repeated ones too; columns but those three are not read.
 
     An as-of join by sorting: requests and captures of a key and a bucket of time are merged in order and the neighbours
     before and after are carried along. Where a bucket has none on one side, the last or first capture of the next one
@@ -34,11 +35,14 @@ def nearest(asked: DataFrame, index: DataFrame, key: str = "key", bucket: int =
     very many rows name is as many partitions as it has buckets."""
     slot = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / bucket).alias("slot")
     none = F.lit(None).cast("long")
-    both = asked.select(key, slot, "at", "id", none.alias("ref")).unionByName(index.select(key, slot, "at", none.alias("id"), "ref"))
+    whole = F.col(key).isNotNull() & F.col("at").isNotNull()
+    lost = asked.filter(~whole).select("id")
+    asked, index = asked.filter(whole).withColumn("_asked", F.lit(True)), index.filter(whole)
+    both = asked.select(key, slot, "at", "id", "_asked", none.alias("ref")).unionByName(index.select(key, slot, "at", none.alias("id"), F.lit(False).alias("_asked"), "ref"))
     seen = F.when(F.col("ref").isNotNull(), F.struct("at", "ref"))
-    before = Window.partitionBy(key, "slot").orderBy("at", F.col("id").isNotNull(), F.desc("ref")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key, "slot").orderBy("at", "_asked", F.desc("ref")).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(key, "slot").orderBy("at", F.col("ref").isNotNull(), "ref").rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("p", F.last(seen, ignorenulls=True).over(before)).withColumn("n", F.first(seen, ignorenulls=True).over(after)).filter(F.col("id").isNotNull())
+    near = both.withColumn("p", F.last(seen, ignorenulls=True).over(before)).withColumn("n", F.first(seen, ignorenulls=True).over(after)).filter("_asked")
     # One row a bucket: its first and last capture, then the nearest ones of the buckets before and after.
     late = F.max(F.when(F.col("ref").isNotNull(), F.struct("at", (-F.col("ref")).alias("ref"))))
     ends = both.groupBy(key, "slot").agg(F.min(seen).alias("first"), late.alias("last")).withColumn("last", F.when(F.col("last").isNotNull(), F.struct("last.at", (-F.col("last.ref")).alias("ref"))))
@@ -53,7 +57,8 @@ def nearest(asked: DataFrame, index: DataFrame, key: str = "key", bucket: int =
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     gap_p, gap_n = ms(F.col("at")) - ms(F.col("p.at")), ms(F.col("n.at")) - ms(F.col("at"))
     use_p = F.col("n").isNull() | (F.col("p").isNotNull() & (gap_p <= gap_n))
-    return near.select("id", F.when(use_p, F.col("p.ref")).otherwise(F.col("n.ref")).alias("ref"), F.when(use_p, gap_p).otherwise(gap_n).alias("gap_ms"))
+    found = near.select("id", F.when(use_p, F.col("p.ref")).otherwise(F.col("n.ref")).alias("ref"), F.when(use_p, gap_p).otherwise(gap_n).alias("gap_ms"))
+    return found.unionByName(lost.select("id", none.alias("ref"), none.alias("gap_ms")))
 
 
 def fuzzy_groups(pages: DataFrame, params: Sequence[str]) -> DataFrame:

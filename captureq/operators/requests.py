@@ -25,7 +25,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(REQUEST).json(path)
+    """The same of a folder that grows, bad lines included."""
+    return spark.readStream.schema(REQUEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
 def is_uri(c: Column) -> Column:

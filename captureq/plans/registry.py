@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captureq.functions import digest, text, url
@@ -410,6 +410,60 @@ def exchange_records(spark, d):
     return records.exchange_records(tables.settled(spark, d)).withColumn("fields", fields)
 
 
+_STAMP = "make_timestamp((1704067200 + opened_at) * 1000000)"
+_DAY = f"strftime({_STAMP}, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+def _line(name: str, value: str) -> str:
+    return f"coalesce('{name}: ' || {value} || {_CRLF}, '')"
+
+
+_WARC = f"""'WARC/1.1' || {_CRLF} || {_line("WARC-Type", "kind")} || {_line("WARC-Record-ID", "record_id")} || {_line("WARC-Date", "day")} || {_line("WARC-Target-URI", "CASE WHEN kind IN ('response', 'request') THEN url END")}
+  || {_line("WARC-Filename", "CASE WHEN kind = 'warcinfo' THEN 'data.warc.gz' END")} || {_line("Content-Type", "CASE WHEN kind IN ('response', 'request') THEN 'application/http;msgtype=' || kind ELSE 'application/warc-fields' END")} || {_line("Content-Length", "strlen(block)")}
+  || {_line("WARC-Block-Digest", "'sha256:' || " + S.BASE32.format("sha256(block)"))} || {_line("WARC-Concurrent-To", "concurrent_to")} || {_line("WARC-IP-Address", "CASE WHEN kind = 'response' THEN ip END")}
+  || {_line("WARC-Payload-Digest", "payload_digest")} || {_line("WARC-Truncated", "truncated")} || {_line("WARC-Target-URI", "CASE WHEN kind = 'metadata' THEN url END")} || {_line("WARC-Refers-To", "refers_to")} || {_CRLF} || block || {_CRLF} || {_CRLF}"""
+#: Every record of every task's archive as text, with its place; all of it is ASCII.
+_ARCHIVED = ORACLES["exchange_records"].replace("THEN encoded_length ELSE 0", "THEN encoded_length % 512 ELSE 0").replace("SELECT task_id, request_id, round, 0 AS pos", ", r AS (SELECT task_id, request_id, round, 0 AS pos", 1) + f"""),
+a AS (SELECT r.*, opened_at, {_DAY} AS day, url, status, CASE WHEN request_id % 3 <> 0 THEN 'text/html' ELSE '' END AS mime, CASE WHEN request_id % 2 = 0 THEN '10.0.0.' || request_id % 256 END AS ip,
+  CASE r.kind WHEN 'response' THEN CASE WHEN outcome = 'recorded' AND skip IS NULL THEN repeat(substr('0123456789abcdef', 1 + request_id % 16, 1), encoded_length % 512) ELSE '' END WHEN 'request' THEN CASE WHEN method = 'POST' THEN 'q=' || request_id END END AS payload
+  FROM r JOIN (SELECT * EXCLUDE (kind) FROM settled) USING (task_id, request_id, round)),
+b AS (SELECT *, CASE WHEN payload IS NOT NULL THEN 'sha256:' || {S.BASE32.format("sha256(payload)")} END AS payload_digest, CASE WHEN kind = 'metadata' THEN array_to_string(list_transform(string_split(fields, ';'), lambda f: replace(f, '=', ': ') || {_CRLF}), '') ELSE head || coalesce(payload, '') END AS block FROM a
+  UNION ALL BY NAME SELECT task_id, -1 AS pos, 'warcinfo' AS kind, min(opened_at) AS opened_at, strftime(make_timestamp((1704067200 + min(opened_at)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS day, 'software: captureq' || {_CRLF} || 'format: WARC File Format 1.1' || {_CRLF} AS block,
+  {_RECORD_ID.format("").replace("task_id || '/' || request_id || '/' || round || '/'", "task_id || '/info'")} AS record_id FROM settled GROUP BY task_id),
+w AS (SELECT *, {_WARC} AS record FROM b),
+places AS (SELECT *, strlen(record) AS length, row_number() OVER t AS seq, coalesce(CAST(sum(strlen(record)) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset" FROM w WINDOW t AS (PARTITION BY task_id ORDER BY pos >= 0, opened_at, request_id, round, pos)),
+lines AS (SELECT task_id, seq, 'example,h)/r?i=' || request_id || ' ' || strftime({_STAMP}, '%Y%m%d%H%M%S') || ' {{"url":"' || url || '","mime":"' || mime || '","status":"' || status || '","digest":"' || payload_digest || '","length":"' || length || '","offset":"' || "offset" || '","filename":"data.warc.gz"}}' AS line
+  FROM places WHERE kind = 'response')"""
+
+
+@query(f"""{_ARCHIVED} SELECT task_id, seq, kind, "offset", length, sha256(record) AS record_sha256 FROM places""")
+def task_archives(spark, d):
+    """Archives of whole tasks, written as files and read back record by record."""
+    from captureq.operators import archives
+    from captureq.sources import files
+
+    places = files.written(archives.placed(archives.warc_records(tables.archived(spark, d)), compress=False), "places")
+    path = files.shared_folder(spark, "archives")
+    files.write_files(archives.archive_files(places), path)
+    asked = places.select(F.concat(F.col("task_id").cast("string"), F.lit("/" + archives.ARCHIVE)).alias("name"), "offset", "length", "task_id", "seq", "kind")
+    return files.read_ranges(asked, path).select("task_id", "seq", "kind", "offset", "length", F.sha2("data", 256).alias("record_sha256"))
+
+
+@query(f"{_ARCHIVED} SELECT task_id, line, row_number() OVER (ORDER BY line, task_id) AS n FROM lines")
+def archive_index(spark, d):
+    """All index lines, sorted over range partitions; their number is their place in the files, read back in order."""
+    from captureq.operators import archives
+    from captureq.sources import files
+
+    lines = archives.sorted_index(archives.placed(archives.warc_records(tables.archived(spark, d)), compress=False))
+    # Within a partition lines follow one another; a partition's first place is the number of lines in those before it.
+    kept = files.written(lines.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "task_id", "line"), "index")
+    sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.col("at").bitwiseAND((1 << 33) - 1)
+    return kept.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("task_id", "line", (F.col("before") + inside + 1).alias("n"))
+
+
 _COUNTS = ", ".join(f"count(*) FILTER (skip = '{r}') AS {n}" for n, r in (("skipped_content_type", "content-type"), ("truncated_too_large", "too-large"), ("truncated_task_cap", "task-cap")))
 _FIRST = ", ".join(f"CAST(to_json(coalesce(list_slice(list(url ORDER BY opened_at, url) FILTER (skip = '{r}'), 1, 5), [])) AS VARCHAR) AS {n}_urls" for n, r in (("skipped_content_type", "content-type"), ("truncated_too_large", "too-large"), ("truncated_task_cap", "task-cap")))
 

@@ -182,10 +182,11 @@ def page_packages(pages: DataFrame, packages: bool = True) -> DataFrame:
     """page_id, url, warc, wacz: an archive and a package (null without `packages`) for each page (page_id, url, html,
     captured_at).
 
-    Null urls and null html count as empty; a url without a host gives a request without a Host header."""
+    Null urls and null html count as empty, a null captured_at as the start of 1970; a url without a host gives a request
+    without a Host header."""
     url = F.coalesce("url", F.lit(""))
     title = F.coalesce(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
-    date = F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.coalesce("captured_at", F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     base = pages.select("page_id", url.alias("url"), "html", date.alias("date"), surt(url).alias("surt"), request_target(url).alias("target"), host_port(url).alias("host"), title.alias("title"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captureq.sources.files import write_files, written_once
+
 #: Tries of a start-up probe, seconds between them, and the ending of a manifest's name.
 PROBE_TRIES, PROBE_PAUSE, MANIFEST = 5, 1.0, ".result.json"
 
@@ -68,6 +70,10 @@ class HadoopStore:
             out.close()
         return f"{self.folder}/{name}"
 
+    def put_all(self, artifacts: DataFrame) -> None:
+        """Store many artifacts (name, data binary) from the executors; no byte passes through the driver."""
+        write_files(artifacts.select("name", F.lit(0).cast("long").alias("part"), "data"), self.folder)
+
 
 def object_uri(bucket: Column, prefix: Column, name: Column) -> Column:
     """s3://bucket/prefix/name; without a prefix (null or empty) s3://bucket/name."""
@@ -76,21 +82,28 @@ def object_uri(bucket: Column, prefix: Column, name: Column) -> Column:
 
 
 class ManifestSink:
-    """Each report as a text file in a folder that is named after it: path/manifest=<filename>.result.json/.
+    """Each report as the file path/<filename>.result.json, written by executors (see `files.write_files`).
 
-    reports: filename, report. Tasks write side by side; reports of success and of failure alike."""
+    reports: filename, report; a null report is an empty file. Reports of success and of failure alike; a file that is
+    written again replaces the one before, so a repeated batch leaves one file a task."""
 
     def __init__(self, path: str):
         self.path = path
 
     def record(self, reports: DataFrame) -> str | None:
-        named = reports.select(F.concat("filename", F.lit(MANIFEST)).alias("manifest"), F.col("report").alias("value"))
+        rows = reports.select(F.concat("filename", F.lit(MANIFEST)).alias("name"), F.lit(0).cast("long").alias("part"), F.col("report").cast("binary").alias("data"))
         try:
-            named.write.mode("append").partitionBy("manifest").text(self.path)
+            write_files(rows, self.path)
         except Exception as e:  # noqa: BLE001  a lost manifest must not fail the task it tells of
             return str(e)
         return None
 
+    def batch(self, reports: DataFrame, batch_id: int) -> None:
+        """For foreachBatch: a batch that the ledger below path knows is not written again. A failure is raised, since the
+        stream repeats the batch."""
+        rows = reports.select(F.concat("filename", F.lit(MANIFEST)).alias("name"), F.lit(0).cast("long").alias("part"), F.col("report").cast("binary").alias("data"))
+        written_once(reports.sparkSession, self.path, batch_id, lambda: write_files(rows, self.path))
+
 
 def signed(packages: DataFrame, signatures: DataFrame, key: str = "page_id") -> DataFrame:
     """packages with signature and error: signatures (key, signature, error) come from the signer as a table. One that

@@ -96,6 +96,19 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """settled with what a task's archive needs besides: times, bodies of up to 511 bytes, addresses, posted bodies."""
+    rid, size = F.col("request_id"), F.col("encoded_length") % 512
+    whole = F.col("body_bytes").isNotNull()
+    letter = F.substring(F.lit("0123456789abcdef"), (rid % 16 + 1).cast("int"), F.lit(1))
+    return settled(spark, sf_dir).withColumns(
+        {
+            "body": F.when(whole, F.repeat(letter, size.cast("int"))).cast("binary"), "body_bytes": F.when(whole, size), "captured_at": F.timestamp_seconds(F.lit(1704067200) + F.col("opened_at")),
+            "mime": F.when(rid % 3 != 0, "text/html"), "ip": F.when(rid % 2 == 0, F.concat(F.lit("10.0.0."), (rid % 256).cast("string"))), "request_body": F.when(F.col("method") == "POST", F.concat(F.lit("q="), rid.cast("string"))).cast("binary"),
+        }
+    )
+
+
 def page_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with their synthetic capture time."""
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)

@@ -32,12 +32,38 @@ def test_uris(spark):
 
 
 def test_manifests(spark, tmp_path):
-    df = spark.createDataFrame([("7_c", '{"status":"success"}'), ("8", '{"status":"failed"}')], "filename string, report string")
-    assert sinks.ManifestSink(str(tmp_path / "m")).record(df) is None
-    back = spark.read.text(str(tmp_path / "m"))
-    assert {(r.manifest, r.value) for r in back.collect()} == {("7_c.result.json", '{"status":"success"}'), ("8.result.json", '{"status":"failed"}')}
-    (tmp_path / "file").write_text("")
+    df = spark.createDataFrame([("7_c", '{"status":"success"}'), ("8", '{"status":"failed"}'), ("a: é%", None)], "filename string, report string")
+    folder = tmp_path / "m"
+    sink = sinks.ManifestSink(str(folder))
+    assert sink.record(df) is None and sink.record(df.filter("filename = '8'").withColumn("report", F.lit("new"))) is None
+    assert {p.name: p.read_text() for p in folder.iterdir() if p.name != "_SUCCESS"} == {"7_c.result.json": '{"status":"success"}', "8.result.json": "new", "a: é%.result.json": ""}
+    (tmp_path / "file").write_text("x")
     assert sinks.ManifestSink(str(tmp_path / "file" / "x")).record(df)
+    # A name that leaves the folder is refused, and nothing of it is written.
+    assert "../x" in sink.record(spark.createDataFrame([("../x", "r")], "filename string, report string"))
+    assert not (tmp_path / "x.result.json").exists()
+
+
+def test_manifests_of_a_stream(spark, tmp_path):
+    """A batch that is written again, as after a lost driver, leaves what it left before."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    spark.createDataFrame([(f"t{k}", f"report {k}") for k in range(40)], "filename string, report string").repartition(4).write.json(str(src))
+    sink = sinks.ManifestSink(str(out))
+    run = lambda check: spark.readStream.schema("filename string, report string").option("maxFilesPerTrigger", 1).json(str(src)).writeStream.foreachBatch(sink.batch).option("checkpointLocation", str(tmp_path / check)).trigger(availableNow=True).start().awaitTermination()
+    run("c1")
+    first = {p.name: (p.read_text(), p.stat().st_mtime_ns) for p in out.glob("*.result.json")}
+    assert {n: t for n, (t, _) in first.items()} == {f"t{k}.result.json": f"report {k}" for k in range(40)}
+    run("c2")  # a new checkpoint: every batch comes again, and the ledger knows it
+    assert {p.name: (p.read_text(), p.stat().st_mtime_ns) for p in out.glob("*.result.json")} == first
+    sink.batch(spark.createDataFrame([("t1", "late")], "filename string, report string"), 99)
+    assert (out / "t1.result.json").read_text() == "late" and len(list(out.glob("*.result.json"))) == 40
+
+
+def test_store_of_many(spark, tmp_path):
+    df = spark.range(30).select(F.format_string("d%d/f%d.bin", F.col("id") % 3, "id").alias("name"), F.repeat(F.lit("x"), F.col("id").cast("int")).cast("binary").alias("data"), F.lit(1).alias("part"))
+    sinks.HadoopStore(spark, str(tmp_path / "s")).put_all(df)
+    assert {str(p.relative_to(tmp_path / "s")): len(p.read_bytes()) for p in (tmp_path / "s").glob("*/*.bin")} == {f"d{k % 3}/f{k}.bin": k for k in range(30)}
+    assert not list((tmp_path / "s").glob("_temporary*"))
 
 
 def test_signatures(spark):
