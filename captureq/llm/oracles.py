@@ -1,7 +1,5 @@
 """DuckDB equivalents of the queries that SQL can express on whole tables."""
 
-from .urlfilter import REFERENCES
-
 _VECTORS = """v AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e, embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false) AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS fit FROM embeddings),
 l AS (SELECT a.k AS a, b.k AS b, b.vec_id AS other FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND a.fit AND b.fit AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
@@ -24,26 +22,34 @@ def _fits(host: str, path: str) -> str:
 _RULE = "CASE " + " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p in (("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/"))) + " END"
 _PARTS = """translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path"""
 _REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest"
-_TAG = """regexp_extract_all(html, '(?is){0}', 1)"""
-_VALUE = """\\s*=\\s*["'']?"""
-_LINK = "flatten([" + ", ".join(_TAG.format(p) for p in (
-    rf"""<link\b[^>]*\brel{_VALUE}canonical\b["'']?[^>]*?\bhref{_VALUE}([^"''\s>]+)""",
-    rf"""<link\b[^>]*?\bhref{_VALUE}([^"''\s>]+)["'']?[^>]*\brel{_VALUE}canonical\b""",
-    rf"""<meta\b[^>]*\bhttp-equiv{_VALUE}refresh\b["'']?[^>]*?\burl{_VALUE}([^"''\s>]+)""",
-    rf"""<meta\b[^>]*?\bcontent\s*=[^>]*?\burl{_VALUE}([^"''\s>]+)["'']?[^>]*\bhttp-equiv{_VALUE}refresh\b""",
-)) + "])"
+#: Pages without comments and raw text, their link, meta and base tags, and a tag's attributes without quotes.
+_CLEAN = r"""regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|noscript|textarea|title)\b.*?</(?:script|style|noscript|textarea|title)\s*>', '', 'g')"""
+_TAGS = rf"""regexp_extract_all({_CLEAN}, '(?is)<(?:link|meta|base)\b(?:"[^"]*"|''[^'']*''|[^>"''])*>')"""
+
+
+def _attribute(name: str) -> str:
+    return rf"""trim(regexp_extract(tag, '(?is)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1), '"' || chr(39))"""
+
+
+_TARGET = rf"""CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(string_split_regex(lower(trim({_attribute("rel")})), '\s+'), 'canonical') THEN {_attribute("href")}
+  WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim({_attribute("http-equiv")})) = 'refresh' THEN trim(regexp_extract({_attribute("content")}, '(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?(.*)$', 1), '"' || chr(39)) END"""
 
 
 def _decoded(sql: str) -> str:
-    for reference, char in REFERENCES:
-        quoted = char.replace("'", "''")
-        sql = f"replace({sql}, '{reference}', '{quoted}')"
+    for reference, char in (("&#x2F;", "/"), ("&#47;", "/"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{reference}', '{char}')"
     return sql
 
 
+def _resolved(t: str, a: str) -> str:
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {t} WHEN starts_with({t}, '//') THEN regexp_extract({a}, '^([^:/?#]+:)//', 1) || {t}
+  WHEN starts_with({t}, '/') THEN regexp_extract({a}, '^([^:/?#]+://[^/?#]*)', 1) || {t} WHEN starts_with({t}, '?') THEN regexp_extract({a}, '^([^?#]*)', 1) || {t}
+  ELSE rtrim(regexp_extract({a}, '^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || {t} END"""
+
+
 #: Of column u: the site, the path without dot segments, and the query.
 _NODE = r"""CASE WHEN NOT regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(u, '#.*$', '')
-  ELSE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || p || CASE WHEN p = '' OR regexp_matches(q, '(^|/)\.\.?$') THEN '/' ELSE '' END
+  ELSE regexp_replace(regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || p || CASE WHEN p = '' OR regexp_matches(q, '(^|/)\.\.?$') THEN '/' ELSE '' END
     || regexp_extract(regexp_replace(u, '#.*$', ''), '(\?.*)$', 1) END"""
 _STEPS = r"""list_reduce(string_split(q, '/'), lambda done, x: CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END)"""
 _SPLIT = r"""regexp_extract(regexp_replace(u, '#.*$', ''), '^[^?]*?://[^/?]*([^?]*)', 1) AS q"""
@@ -57,11 +63,11 @@ def _nodes(source: str) -> str:
 OP6 = f"""WITH RECURSIVE
 j AS (SELECT page_id, u, node, {_PARTS} FROM (SELECT page_id, u, node, {_REST.replace("url", "u")} FROM {_nodes("(SELECT page_id, url AS u FROM pages)")})),
 own AS (SELECT *, {_RULE} AS rule FROM j),
-raw AS (SELECT regexp_replace(url, '#.*$', '') AS a, unnest({_LINK}) AS t FROM pages WHERE url IS NOT NULL),
-cut AS (SELECT a, regexp_replace({_decoded("t")}, '#.*$', '') AS t FROM raw),
-e AS (SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '^([^:/?#]+:)//', 1) || t
-  WHEN starts_with(t, '/') THEN regexp_extract(a, '^([^:/?#]+://[^/?#]*)', 1) || t WHEN starts_with(t, '?') THEN regexp_extract(a, '^([^?#]*)', 1) || t
-  ELSE rtrim(regexp_extract(a, '^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || t END AS b FROM cut WHERE t <> ''),
+tagged AS (SELECT regexp_replace(url, '#.*$', '') AS a, {_TAGS} AS tags FROM pages WHERE url IS NOT NULL),
+based AS (SELECT a, tags, list_filter(list_transform(tags, lambda tag: CASE WHEN regexp_matches(tag, '(?i)^<base') THEN nullif({_decoded(_attribute("href"))}, '') END), lambda x: x IS NOT NULL)[1] AS b FROM tagged),
+raw AS (SELECT a, CASE WHEN b IS NULL THEN a ELSE {_resolved("b", "a")} END AS base, unnest(list_transform(tags, lambda tag: {_TARGET})) AS t FROM based),
+cut AS (SELECT a, base, regexp_replace({_decoded("t")}, '#.*$', '') AS t FROM raw WHERE t <> ''),
+e AS (SELECT a, {_resolved("t", "base")} AS b FROM cut WHERE t <> ''),
 k AS (SELECT x.node AS a, y.node AS b FROM {_nodes("(SELECT a AS u, b FROM e)")} x JOIN {_nodes("(SELECT DISTINCT b AS u FROM e)")} y ON x.b = y.u),
 s AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
 reach AS (SELECT a AS n, a AS m FROM s UNION SELECT r.n, s.b FROM reach r JOIN s ON r.m = s.a),

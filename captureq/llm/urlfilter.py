@@ -11,19 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from captureq.functions import html
+from captureq.functions.text import bound
+from captureq.functions.url import absolute
+from captureq.operators.links import page_base
+
 from .common import frequent_join, written
 from .components import connected_components
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
-#: Tag patterns (Java syntax): a canonical link with href after or before rel, and a refresh with content after or
-#: before http-equiv.
-_LINKS = (
-    r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b["']?[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b""",
-    r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b[^>]*?\bcontent\s*=[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-)
+#: What a refresh's content says after its time: a target in quotes or without, `url=` before it or not.
+_REFRESH = r"""(?is)^[^;,]*+[;,]\s*+(?:url\s*+=\s*+)?+(?:"([^"]*+)|'([^']*+)|(.*))"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -43,23 +42,9 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-#: Character references that may stand in an attribute's url: names and numbers of these, the ampersand last.
-_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-_NUMBERED = "<>\"'/:=?#%."
-REFERENCES = [(f"&{k};", v) for k, v in _NAMED.items()] + [(f"&#{n};", c) for c in _NUMBERED for n in (ord(c), f"x{ord(c):x}", f"x{ord(c):X}", f"X{ord(c):X}")]
-REFERENCES += [(k, "&") for k in ("&#38;", "&#x26;", "&#X26;", "&amp;")]
-
-
-def decoded(attribute: Column) -> Column:
-    """An attribute's text without character references, as far as REFERENCES goes."""
-    for reference, char in REFERENCES:
-        attribute = F.replace(attribute, F.lit(reference), F.lit(char))
-    return attribute
-
-
 def node(url: Column) -> Column:
-    """The name under which a url is a node: no fragment, scheme and authority in lower case, no dot segments, `/` for
-    an empty path. A url without `://` only loses its fragment."""
+    """The name under which a url is a node: no fragment, scheme and authority in lower case, no port that its scheme has
+    anyway, no dot segments, `/` for an empty path. A url without `://` only loses its fragment."""
     plain = F.regexp_replace(url, r"#.*$", "")
     site = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
     path = F.regexp_extract(plain, r"^[^?]*?://[^/?]*([^?]*)", 1)
@@ -68,29 +53,38 @@ def node(url: Column) -> Column:
     step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
     clean = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
     clean = F.concat(clean, F.when((clean == "") | F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
-    return F.when(site == "", plain).otherwise(F.concat(F.lower(site), clean, query))
+    return F.when(site == "", plain).otherwise(F.concat(_without_port(F.lower(site)), clean, query))
+
+
+def _without_port(site: Column) -> Column:
+    for own in (r"^(http://.*):80$", r"^(https://.*):443$", r"^(.*[^:/]):$"):
+        site = F.regexp_replace(site, own, "$1")
+    return site
+
+
+def alias_targets(page: Column, base: Column) -> Column:
+    """The absolute targets of a page's canonical links (rel is a list of words) and refreshes. Tags in comments, scripts
+    and other raw text are none; the base element holds."""
+    tags = F.filter(html.start_tags(page), lambda t: t.rlike(r"(?i)^<(?:link|meta)[\s/]"))
+    read = F.transform(tags, lambda t: F.struct(t.rlike("(?i)^<link").alias("link"), html.attributes(t).alias("a")))
+
+    def target(x: Column) -> Column:
+        words = F.split(F.trim(F.lower(html.value(x["a"], "rel"))), r"\s+")
+        canonical = x["link"] & F.coalesce(F.array_contains(words, "canonical"), F.lit(False))
+        refresh = ~x["link"] & F.coalesce(F.trim(F.lower(html.value(x["a"], "http-equiv"))) == "refresh", F.lit(False))
+        told = bound(html.value(x["a"], "content"), lambda c: F.concat(*[F.regexp_extract(c, _REFRESH, k) for k in (1, 2, 3)]))
+        return F.trim(F.when(canonical, html.value(x["a"], "href")).when(refresh, told))
+
+    named = F.transform(F.transform(read, target), lambda t: F.regexp_replace(t, "#.*$", ""))
+    return F.transform(F.filter(named, lambda t: F.coalesce(t != "", F.lit(False))), lambda t: absolute(t, base))
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): the nodes of the page's url and of the absolute target of each canonical link and refresh."""
-    # Only pages that can hold such a tag are searched by pattern.
-    low = F.lower(F.col(html_col))
-    some = pages.select(F.col(url_col).alias("a"), F.col(html_col).alias("_h")).filter(low.contains("canonical") | low.contains("refresh"))
-    found = F.flatten(F.array(*[F.regexp_extract_all("_h", F.lit(p), 1) for p in _LINKS]))
-    edge = some.filter(F.col("a").isNotNull()).select(F.regexp_replace("a", r"#.*$", "").alias("a"), F.explode(found).alias("t"))
-    edge = edge.select("a", F.regexp_replace(decoded(F.col("t")), r"#.*$", "").alias("t"))
-    scheme = F.regexp_extract("a", r"^([^:/?#]+:)//", 1)
-    origin = F.regexp_extract("a", r"^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_extract("a", r"^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    t = F.col("t")
-    full = (
-        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
-        .when(t.startswith("//"), F.concat(scheme, t))
-        .when(t.startswith("/"), F.concat(origin, t))
-        .when(t.startswith("?"), F.concat(F.regexp_extract("a", r"^([^?#]*)", 1), t))
-        .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), t))
-    )
-    return edge.filter(t != "").select(node(F.col("a")).alias("a"), node(full).alias("b"))
+    """(a, b): the nodes of the page's url and of each target of `alias_targets`; a link to a place in the page itself
+    (`#x`) is none. Rows with a null url or null html have none."""
+    some = pages.select(F.col(url_col).alias("a"), F.col(html_col).alias("h")).filter(F.col("a").isNotNull() & F.col("h").rlike("(?i)canonical|refresh"))
+    edge = some.select("a", F.explode(alias_targets(F.col("h"), page_base(F.col("h"), F.regexp_replace("a", "#.*$", "")))).alias("t"))
+    return edge.select(node(F.col("a")).alias("a"), node(F.col("t")).alias("b"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -98,7 +92,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
 
     The longest fitting rule decides; explicit allow is never overruled by an alias. A null url has empty host and path
     and no aliases, so it is allowed; null html has no edges; repeated rows stay; an empty table gives no rows. Urls that
-    differ in the case of scheme and host, in dot segments or in character references of a link are one node."""
+    differ in the case of scheme and host, in the scheme's own port, in dot segments or in character references of a link
+    are one node."""
     base = pages.select(F.col(id_col), F.col(url_col).alias("_url"))
     host, path = host_path(F.col("_url"))
     base = base.select(id_col, node(F.col("_url")).alias("node"), host.alias("host"), path.alias("path"))

@@ -518,15 +518,19 @@ def test_pipeline(spark, tmp_path):
     good[50] = good[0]
     good[51], good[52] = good[1] + " " + good[2][:600], good[3]
     texts = good + ["".join(c + rng.choice("%$#") for c in words(rng, 100)) for _ in range(60)] + [None, ""]
-    rows = [(k, t, "en", "s", len(t) if t is not None else None, "x") for k, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").write.parquet(f"{d}/documents.parquet")
+    # Columns that operators name, too: each row's values must come back as they were.
+    clashing = ["kept", "score", "_t1", "_t2", "lang_pred", "rejected", "spans", "component", "carried0"]
+    rows = [(k, t, "en", "s", len(t) if t is not None else None, *[f"{c} {k}" for c in clashing]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, 1 if k < 60 else 0) for k in range(120)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     columns, kept = docs.columns, []
     for _, stage in cp.STAGES[:-1]:
         docs = stage(spark, docs, d).cache()
         assert docs.columns == columns
-        kept.append({r.doc_id: r.text for r in docs.collect()})
+        got = docs.collect()
+        kept.append({r[0]: r[1] for r in got})
+        assert all(r[5:] == tuple(f"{c} {r[0]}" for c in clashing) and r[4] == (None if r[1] is None else len(r[1])) for r in got)
     assert not any(60 <= k < 120 for k in kept[0]) and len(kept[0]) >= 55
     assert set(kept[1]) == {k for k, t in kept[0].items() if t}
     assert 50 not in kept[2] and 52 not in kept[2] and 0 in kept[2] and 3 in kept[2]
@@ -542,7 +546,8 @@ def test_contract_columns(spark):
     want = {
         "op1": "vec_id n_links component_id kept", "op2": "doc_id fingerprint component_id", "op3": "doc_id piece start length ids_crc32 sequence_id offset", "op4": "page_id payload_bytes payload_digest record_type refers_to",
         "op5": "doc_id held_out score predicted", "op6": "page_id host path rule verdict", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_bytes n_removed n_spans kept_sha256", "op9": "doc_id n_tokens ids_sha256 decoded_sha256",
-        "op10": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+        "op10": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+        "op12": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op13": "lang source part item value rank",
     }
     assert {n.split("_")[0] for n in q.QUERIES} == set(want)
     for name, f in q.QUERIES.items():
@@ -578,6 +583,32 @@ def test_url_aliases_equal_sql(spark):
     assert [verdict[k] for k in (2, 3, 4, 5, 6, 7, 8, 9, 10)] == ["block"] * 5 + ["allow"] * 2 + ["block"] * 2
 
 
+def test_url_aliases_by_hand(spark):
+    """How a page may name its aliases, and how not; what each verdict has to be is written down, not computed."""
+    bad = "http://a.net/es/"
+    rows = [
+        (1, bad, "", "block"),
+        (2, "http://b.org/1", f'<link rel="alternate canonical" href="{bad}">', "block"),
+        (3, "http://b.org/2", f"<LINK href='{bad}' rel='x CANONICAL y'>", "block"),
+        (4, "http://b.org/3", '<link rel=canonical href="http://a.net:80/es/">', "block"),
+        (5, "http://b.org/4", f"<meta content='0; URL=\"{bad}\"' http-equiv=Refresh>", "block"),
+        (6, "http://b.org:80/5", f'<meta http-equiv="refresh" content="5;{bad}">', "block"),
+        (7, "http://b.org/5", "", "block"),  # the same node, without its port
+        (8, "http://b.org/7", f'<!-- <link rel="canonical" href="{bad}"> -->', "allow"),
+        (9, "http://b.org/8", f"<script>'<link rel=canonical href={bad}>'</script>", "allow"),
+        (10, "http://b.org/9", f'<link rel="canonicalised" href="{bad}"><link rel="x-canonical" href="{bad}">', "allow"),
+        (11, "http://b.org/10", '<base href="http://a.net/x/"><link rel=canonical href="../es/">', "block"),
+        (12, "http://b.org/11", '<base target=y><base href="//a.net/es/q"><link rel=canonical href="">', "allow"),
+        (13, "http://b.org/12", f'<meta http-equiv="refresh" content="5"><meta name="refresh" content="5;url={bad}">', "allow"),
+        (14, "http://b.org/13", f'<link data-rel=canonical href="{bad}"><link title="rel=canonical" href="{bad}">', "allow"),
+        (15, "http://b.org/14", "<link rel=canonical href=&#104;ttp://a.net/es/>", "block"),
+        (16, "http://b.org/15", f'<link rel=canonical data-x="{"x" * 100_000}" href="{bad}">', "block"),
+        (17, "http://b.org/16", '<link rel=canonical href="#top">', "allow"),
+    ]
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(pages(spark, [r[:3] for r in rows]), q.URL_RULES).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_quality_scores_by_hand(spark):
     """Every score from the definition, window by window; a text's neighbours do not matter."""
     rng = random.Random(31)
