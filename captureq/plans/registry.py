@@ -371,17 +371,36 @@ def wacz_roundtrip(spark, d):
     return out.select("page_id", "url", "title", "status", F.sha2("payload", 256).alias("payload_sha256"))
 
 
-_FOLD_EVENTS = f"""WITH {S.PAIRED}, o AS (SELECT *, lead(opened_at) OVER (PARTITION BY request_id ORDER BY round) AS next_at FROM paired)
-  SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN outcome = 'redirected' THEN 'recorded' WHEN outcome IN ('recorded', 'no-response', 'failed', 'incomplete') THEN outcome END AS outcome FROM o) WHERE outcome IS NOT NULL GROUP BY outcome"""
-
-
-@query(_FOLD_EVENTS)
+#: Limits of the folded exchanges: bytes of a response as the network counts them, stored bytes of a task.
+_RESPONSE_CAP, _TASK_CAP = 60_000, 3_000
+_WHY_OMITTED = f"""CASE WHEN request_id % 3 = 0 THEN 'content-type' WHEN {{0}} >= {_TASK_CAP} THEN 'task-cap' WHEN encoded_length > {_RESPONSE_CAP} THEN 'too-large' WHEN {{0}} + body > {_TASK_CAP} THEN 'task-cap' END"""
+_ENDED = S.PAIRED.replace("arg_min(kind, seq) AS opened_by,", "arg_min(kind, seq) AS opened_by, min(CASE WHEN kind IN ('loadingFinished', 'loadingFailed') THEN seq END) AS end_seq,").replace("AS outcome, encoded_length\n", "AS outcome, encoded_length, end_seq\n")
+
+
+@query(f"""WITH RECURSIVE {_ENDED}, x AS (SELECT *, request_id // 16 AS task_id, request_id % 7 = 3 AS blocked, encoded_length % 997 AS body FROM paired),
+  d AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY end_seq) AS k FROM x WHERE outcome = 'recorded' AND NOT blocked),
+  fold AS (SELECT task_id, k, request_id, round, reason, CASE WHEN reason IS NULL THEN body ELSE 0 END AS total FROM (SELECT *, {_WHY_OMITTED.format("0")} AS reason FROM d WHERE k = 1)
+    UNION ALL SELECT task_id, k, request_id, round, reason, prior + CASE WHEN reason IS NULL THEN body ELSE 0 END FROM (SELECT d.*, f.total AS prior, {_WHY_OMITTED.format("f.total").replace("request_id", "d.request_id")} AS reason FROM fold f JOIN d ON d.task_id = f.task_id AND d.k = f.k + 1))
+  SELECT x.task_id, CAST(x.request_id AS VARCHAR) AS request_id, x.round, opened_at, CASE WHEN blocked THEN 'blocked' ELSE outcome END AS outcome, CASE WHEN blocked THEN NULL WHEN outcome = 'redirected' THEN 302 WHEN responded THEN 200 END AS status,
+    CASE WHEN outcome = 'recorded' AND NOT blocked AND reason IS NULL THEN body END AS body_bytes, CASE WHEN outcome IN ('recorded') AND NOT blocked THEN reason WHEN outcome = 'redirected' AND NOT blocked AND responded AND x.request_id % 3 = 0 THEN 'content-type' END AS skip_reason
+  FROM x LEFT JOIN fold ON fold.request_id = x.request_id AND fold.round = x.round""")
 def exchange_fold(spark, d):
-    from captureq.streaming import exchanges
-
-    e = tables.net_events(spark, d)
-    rows = e.select((F.col("request_id") % 8).alias("task_id"), "seq", "kind", F.col("request_id").cast("string").alias("request_id"), F.concat(F.lit("https://h.example/"), F.col("request_id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("mime"), F.lit(0).cast("long").alias("encoded_length"), F.lit(0).cast("long").alias("body_bytes"))
-    return exchanges.assemble(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Every exchange of the event log, through the keyed state machine: blocks, skips, byte budgets of each task."""
+    from captureq.streaming import recorder
+    from captureq.streaming.exchanges import Options
+
+    rid, size = F.col("request_id"), F.col("encoded_length")
+    finished = F.col("kind") == "loadingFinished"
+    responded = F.col("kind") == "responseReceived"
+    none = F.lit(None).cast("string")
+    e = tables.net_events(spark, d).select(
+        F.floor(rid / 16).cast("long").alias("task_id"), "seq", F.col("ts").cast("timestamp").alias("captured_at"), "kind", rid.cast("string").alias("request_id"), F.concat(F.lit("https://h"), (rid % 7).cast("string"), F.lit(".example/"), rid.cast("string")).alias("url"),
+        F.lit("GET").alias("method"), none.alias("resource_type"), F.lit(None).cast("map<string,string>").alias("headers"), F.when(responded, 200).alias("status"), none.alias("status_text"),
+        F.when(rid % 3 == 0, "video/mp4").otherwise("text/html").alias("mime"), none.alias("ip"), size.alias("encoded_length"), F.when(finished, F.repeat(F.lit("x"), (size % 997).cast("int"))).cast("binary").alias("body"), none.cast("binary").alias("request_body"),
+        none.alias("error_text"), F.lit(None).cast("boolean").alias("canceled"), none.alias("blocked_reason"),
+    )
+    limits = Options(block=["https://h3.*"], skip_mime=["video/"], max_response=_RESPONSE_CAP, max_task=_TASK_CAP)
+    return recorder.settle(e, limits).select("task_id", "request_id", "round", "opened_at", "outcome", "status", "body_bytes", "skip_reason")
 
 
 # Records of settled exchanges
