@@ -110,6 +110,14 @@ def submit_summary(replies: DataFrame) -> DataFrame:
     return replies.agg(F.count(F.lit(1)).alias("total"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.max("ms").alias("duration_ms"))
 
 
+def spec_coverage(items: DataFrame) -> DataFrame:
+    """area, supported, total: for each area of a standard its items that are supported in full, and those that it has (all
+    but those outside). items: area, state (full, partial, unused, outside); a null state is an item that is not supported,
+    a null area an area of its own."""
+    state = F.coalesce("state", F.lit("unused"))
+    return items.groupBy("area").agg(F.count_if(state == "full").alias("supported"), F.count_if(state != "outside").alias("total"))
+
+
 def duplicate_ids(items: DataFrame, key: str) -> DataFrame:
     """Keys that stand more than once."""
     return items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,8 +130,34 @@ def ages(tasks: DataFrame, now: str) -> DataFrame:
     return tasks.select("task_id", F.greatest(F.lit(0), ms(F.lit(now)) - ms(F.col("enqueued_at"))).cast("long").alias("age_ms"))
 
 
-def backoff(attempts: DataFrame, n: Column, base_ms: int, cap_ms: int) -> DataFrame:
-    return attempts.select(n.cast("long").alias("attempt"), F.least(F.lit(float(cap_ms)), base_ms * F.pow(F.lit(2.0), n)).cast("long").alias("delay_ms"))
+def backoff(waits: DataFrame, n: Column, base_ms: int, cap_ms: int, carry: Sequence[str] = ()) -> DataFrame:
+    """attempt and delay_ms of each row: base_ms doubled n times, at most cap_ms; a null n gives a null delay."""
+    return waits.select(*carry, n.cast("long").alias("attempt"), F.when(n.isNotNull(), F.least(F.lit(float(cap_ms)), base_ms * F.pow(F.lit(2.0), n))).cast("long").alias("delay_ms"))
+
+
+def attempts(log: DataFrame, max_retries: int = 2) -> DataFrame:
+    """The attempts of each task from its log (task_id, seq, at, succeeded, retryable), one row for each row of the log.
+
+    attempt (from 0), enqueued_at (that of the first attempt, which a retry keeps), branch: `success`, `retry` (goes to
+    the end of the queue as the next attempt), `exhausted` (would be retried, but max_retries were made) or `failed`; and
+    how often the task took each of the last three branches so far. Anything but a retry ends a task's run; its next row
+    is a new one. Null flags count as false; a null time stays null; rows of a null task_id are one task; ties in seq
+    have no fixed order.
+
+    Windows over one shuffle by task: an ending row closes a segment, and within a segment every max_retries + 1 rows are
+    a run."""
+    ok, again = F.coalesce("succeeded", F.lit(False)), F.coalesce("retryable", F.lit(False))
+    of_task = Window.partitionBy("task_id").orderBy("seq")
+    ended = F.sum((F.col("_ok") | ~F.col("_again")).cast("long")).over(of_task.rowsBetween(Window.unboundedPreceding, -1))
+    rows = log.select("task_id", "seq", "at", ok.alias("_ok"), again.alias("_again")).withColumn("_segment", F.coalesce(ended, F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("task_id", "_segment").orderBy("seq")) - 1
+    rows = rows.withColumn("_place", place).withColumns({"attempt": (F.col("_place") % (max_retries + 1)).cast("long"), "_run": F.floor(F.col("_place") / (max_retries + 1))})
+    first = F.first("at").over(Window.partitionBy("task_id", "_segment", "_run").orderBy("seq"))
+    branch = F.when(F.col("_ok"), "success").when(~F.col("_again"), "failed").when(F.col("attempt") < max_retries, "retry").otherwise("exhausted")
+    rows = rows.withColumns({"enqueued_at": first, "branch": branch})
+    upto = of_task.rowsBetween(Window.unboundedPreceding, 0)
+    counts = {f"{b}_n": F.sum((F.col("branch") == b).cast("long")).over(upto) for b in ("retry", "exhausted", "failed")}
+    return rows.withColumns(counts).select("task_id", "seq", "attempt", "enqueued_at", "branch", *counts)
 
 
 def report_json(tasks: DataFrame) -> DataFrame:

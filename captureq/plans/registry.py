@@ -293,9 +293,34 @@ def task_ages(spark, d):
     return tasks.ages(tables.tasks(spark, d), "1996-01-01 00:00:00")
 
 
-@query("SELECT range AS attempt, CAST(least(60000, 1000 * pow(2, range)) AS BIGINT) AS delay_ms FROM range(0, 20)")
+#: The event log as a log of attempts: purchases succeed, views and clicks may be tried again, the rest fails for good.
+_LOG = "SELECT user_id AS task_id, event_id AS seq, ts AS tick, event_type = 'purchase' AS succeeded, event_type IN ('view', 'click') AS retryable FROM events"
+_ATTEMPTS = f"""log AS ({_LOG}), told AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS k FROM log),
+  fold AS (SELECT task_id, k, seq, 0 AS attempt, tick AS enqueued_at, succeeded, retryable FROM told WHERE k = 1
+    UNION ALL SELECT t.task_id, t.k, t.seq, CASE WHEN again THEN f.attempt + 1 ELSE 0 END, CASE WHEN again THEN f.enqueued_at ELSE t.tick END, t.succeeded, t.retryable
+      FROM (SELECT *, NOT succeeded AND retryable AND attempt < 2 AS again FROM fold) f JOIN told t ON t.task_id = f.task_id AND t.k = f.k + 1),
+  branched AS (SELECT *, CASE WHEN succeeded THEN 'success' WHEN NOT retryable THEN 'failed' WHEN attempt < 2 THEN 'retry' ELSE 'exhausted' END AS branch FROM fold)"""
+
+
+def _attempts(spark, d):
+    e = tables.table(spark, d, "events")
+    kind = F.col("event_type")
+    log = e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (kind == "purchase").alias("succeeded"), kind.isin("view", "click").alias("retryable"))
+    return tasks.attempts(log)
+
+
+@query(f"""WITH RECURSIVE {_ATTEMPTS} SELECT task_id, seq, CAST(attempt AS BIGINT) AS attempt, epoch_us(enqueued_at) // 1000 AS enqueued_ms, branch, CAST(count(*) FILTER (branch = 'retry') OVER w AS BIGINT) AS retry_n, CAST(count(*) FILTER (branch = 'exhausted') OVER w AS BIGINT) AS exhausted_n,
+  CAST(count(*) FILTER (branch = 'failed') OVER w AS BIGINT) AS failed_n FROM branched WINDOW w AS (PARTITION BY task_id ORDER BY seq)""")
+def task_attempts(spark, d):
+    """Attempts by windows; the SQL walks each task's log row by row."""
+    return _attempts(spark, d).withColumn("enqueued_ms", F.unix_millis(F.col("enqueued_at").cast("timestamp"))).drop("enqueued_at")
+
+
+@query(f"""WITH RECURSIVE {_ATTEMPTS} SELECT task_id, seq, CAST(attempt AS BIGINT) AS attempt, CASE attempt WHEN 0 THEN 700 WHEN 1 THEN 1400 ELSE 2500 END AS delay_ms FROM branched WHERE branch IN ('retry', 'exhausted')""")
 def backoff_schedule(spark, d):
-    return tasks.backoff(spark.range(20), F.col("id"), 1000, 60_000)
+    """How long each attempt that did not go well is waited for: doubled from 700 ms, at most 2500."""
+    waits = _attempts(spark, d).filter(F.col("branch").isin("retry", "exhausted"))
+    return tasks.backoff(waits, F.col("attempt"), 700, 2500, carry=["task_id", "seq"])
 
 
 @query(f"""WITH {S.TASKS} SELECT task_id, '{{"taskId":"' || task_id || '"' || CASE WHEN correlation_id <> '' THEN ',"correlationId":"' || correlation_id || '"' ELSE '' END || ',"labels":["' || label || '"],"url":"' || url || '","status":"' || status || '"}}' AS report FROM tasks""")
@@ -343,13 +368,12 @@ def behavior_cutoff(spark, d):
     return behaviors.deadline_cut(e, 300_000)
 
 
-_AREAS = [("warc", "response", "full"), ("warc", "revisit", "unused"), ("warc", "warcinfo", "full"), ("cdxj", "line", "full"), ("cdxj", "zipnum", "unused"), ("pages", "title", "partial"), ("pages", "note", "outside")]
-
-
-@query(f"SELECT area, count(*) FILTER (state = 'full') AS supported, count(*) FILTER (state <> 'outside') AS total FROM (VALUES {', '.join(map(str, _AREAS))}) t(area, item, state) GROUP BY area")
+@query("SELECT p_type AS area, count(*) FILTER (p_size <= 25) AS supported, count(*) FILTER (p_size < 50) AS total FROM part GROUP BY p_type")
 def spec_coverage(spark, d):
-    t = spark.createDataFrame(_AREAS, "area string, item string, state string")
-    return t.groupBy("area").agg(F.count_if(F.col("state") == "full").alias("supported"), F.count_if(F.col("state") != "outside").alias("total"))
+    """Parts as the items of a standard, by type: small ones are supported, the largest are outside of it."""
+    size = F.col("p_size")
+    state = F.when(size <= 25, "full").when(size < 40, "partial").when(size < 50, "unused").otherwise("outside")
+    return requests.spec_coverage(tables.table(spark, d, "part").select(F.col("p_type").alias("area"), state.alias("state")))
 
 
 # Archives

@@ -1,5 +1,6 @@
 """Requests, worker lifecycles, media, overlays and behaviours."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -80,3 +81,22 @@ def test_behaviors(spark, monkeypatch):
     run.register(spark)
     rows = spark.sql("SELECT * FROM run_behaviors('<p>', 'autoscroll', '{}')").collect()
     assert rows[0].behavior == "autoscroll" and json.loads(rows[0].decisions) == {"reachedBottom": True, "scrollSteps": 1}
+
+
+def test_attempts_of_a_task_log(spark):
+    """Retries keep the time at which the task was queued; an end of any kind begins a new run."""
+    from captureq.operators import tasks
+
+    flags = {"s": (True, False), "r": (False, True), "f": (False, False), "n": (None, None)}
+    script = {1: "rrrrs", 2: "rfrs", 3: "s", None: "rn", 4: "rrrrrr"}
+    rows = [(t, k, datetime.datetime(2026, 1, 1, 0, k), *flags[c], 0) for t, s in script.items() for k, c in enumerate(s)]
+    df = spark.createDataFrame(rows, "task_id long, seq long, at timestamp, succeeded boolean, retryable boolean, attempt int")
+    got = {}
+    for r in tasks.attempts(df).orderBy("seq").collect():
+        got.setdefault(r.task_id, []).append((r.attempt, r.enqueued_at.minute, r.branch, r.retry_n, r.exhausted_n, r.failed_n))
+    assert got[1] == [(0, 0, "retry", 1, 0, 0), (1, 0, "retry", 2, 0, 0), (2, 0, "exhausted", 2, 1, 0), (0, 3, "retry", 3, 1, 0), (1, 3, "success", 3, 1, 0)]
+    assert got[2] == [(0, 0, "retry", 1, 0, 0), (1, 0, "failed", 1, 0, 1), (0, 2, "retry", 2, 0, 1), (1, 2, "success", 2, 0, 1)]
+    assert got[3] == [(0, 0, "success", 0, 0, 0)] and got[None][1][2] == "failed" and [x[2] for x in got[4]] == ["retry", "retry", "exhausted"] * 2
+    assert tasks.attempts(df.limit(0)).count() == 0
+    waits = tasks.backoff(spark.createDataFrame([(0,), (3,), (70,), (None,)], "n int"), F.col("n"), 100, 1000)
+    assert [r.delay_ms for r in waits.collect()] == [100, 800, 1000, None]
