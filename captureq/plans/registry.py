@@ -86,6 +86,27 @@ def block_list(spark, d):
     return e.select("task_id", "seq", "url", url.matches_any(F.col("url"), globs).alias("blocked"))
 
 
+#: A block-list of its own pattern for every order: some name a page, some a host, a path or an ending, some nothing.
+_GLOBS = """SELECT CASE o_orderkey % 6 WHEN 0 THEN '*/en/' || (o_orderkey % 5000) WHEN 1 THEN 'http*.org/*/' || (o_orderkey % 5000) || '*' WHEN 2 THEN '*://m.*/' || (o_orderkey % 700) WHEN 3 THEN '*example.' || (o_orderkey % 9) || '*'
+  WHEN 4 THEN 'https://*.net/fr/*' || (o_orderkey % 1000) ELSE '*utm_source=' || o_orderkey END AS pattern FROM orders"""
+
+
+@query(f"""WITH g AS (SELECT DISTINCT replace(replace(pattern, '_', '!_'), '*', '%') AS p FROM ({_GLOBS}) UNION SELECT '%s') SELECT page_id, url, (SELECT count(*) FROM g WHERE url LIKE p ESCAPE '!') AS n_patterns FROM pages""")
+def block_table(spark, d):
+    """How many patterns of a large list match each page's url, without looking at the list for each."""
+    from captureq.operators import blocklist
+
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    kinds = [
+        F.concat(F.lit("*/en/"), text(k % 5000)), F.concat(F.lit("http*.org/*/"), text(k % 5000), F.lit("*")), F.concat(F.lit("*://m.*/"), text(k % 700)), F.concat(F.lit("*example."), text(k % 9), F.lit("*")),
+        F.concat(F.lit("https://*.net/fr/*"), text(k % 1000)), F.concat(F.lit("*utm_source="), text(k)),
+    ]
+    pattern = F.get(F.array(*kinds), (k % 6).cast("int"))
+    listed = tables.table(spark, d, "orders").select(pattern.alias("pattern")).unionByName(spark.createDataFrame([("*s",)], "pattern string"))
+    return blocklist.blocked_urls(tables.table(spark, d, "pages").select("page_id", "url"), listed)
+
+
 @query(f"WITH {S.EXCHANGES} SELECT task_id, seq, mime, (mime LIKE 'video/%' OR mime LIKE 'image/p%') AS skipped FROM exchanges")
 def mime_skip(spark, d):
     e = tables.exchanges(spark, d)
