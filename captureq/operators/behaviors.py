@@ -56,6 +56,27 @@ def chain_reaches(certs: DataFrame, anchors: list[str], most: int = 10) -> DataF
     return certs.filter(F.col("pos") < most).groupBy("chain").agg(F.aggregate(order, start, step)["ok"].alias("reaches"))
 
 
+def issuers_reach(certs: DataFrame, anchors: list[str], most: int = 10) -> DataFrame:
+    """chain, reaches: whether issuer links lead from the chain's leaf (its certificate of least pos) to a trusted subject,
+    in at most `most` steps, over the certificates of the chain in whatever order they stand (`chain_reaches` follows the
+    given order, and takes a chain that does not hold together for lost).
+
+    certs: chain, pos, subject, issuer. All issuers of a subject are followed, so cross-signed certificates count by
+    either; a subject that was reached before adds nothing, so loops end. A null pos comes first, a null issuer leads
+    nowhere, rows of a null chain are one chain; a repeated certificate counts once. A chain's distinct certificates meet
+    in one row: a handful, as a server sends them."""
+    whole = F.array_distinct(F.array_sort(F.collect_set(F.struct("pos", "subject", "issuer"))))
+    first = F.array_compact(F.array(F.get("c", F.lit(0))["subject"]))
+
+    def step(reached: Column, _: Column) -> Column:
+        issuers = F.transform(F.filter("c", lambda c: F.coalesce(F.array_contains(reached, c["subject"]), F.lit(False))), lambda c: c["issuer"])
+        return F.array_union(reached, F.array_compact(issuers))
+
+    reached = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(most), F.size("c"))), first, step)
+    trusted = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
+    return certs.groupBy("chain").agg(whole.alias("c")).select("chain", F.arrays_overlap(reached, trusted).alias("reaches"))
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """Tri-state verification of the ordered checks hash, signature, domain, timestamp (true, false, null = skipped) and
     the first that failed."""

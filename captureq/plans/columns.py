@@ -187,6 +187,17 @@ def trusted_chains(spark, d):
     return behaviors.chain_reaches(certs.select("chain", "pos", named(F.col("pos")).alias("subject"), issuer.alias("issuer")), ["s3-1", "s1-2"])
 
 
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS chain, l_linenumber AS pos, 's' || l_partkey % 11 AS subject, 's' || l_suppkey % 11 AS issuer FROM lineitem),
+  walk AS (SELECT chain, arg_min(subject, (pos, subject, issuer)) AS who, 0 AS n FROM c GROUP BY chain UNION SELECT w.chain, c.issuer, n + 1 FROM walk w JOIN c ON c.chain = w.chain AND c.subject = w.who WHERE n < 10)
+  SELECT chain, bool_or(who IN ('s0', 's5')) AS reaches FROM walk GROUP BY chain""")
+def issuer_walks(spark, d):
+    """The line items of an order as certificates: parts issue to one another in no order, crosswise and in loops."""
+    li = tables.table(spark, d, "lineitem")
+    named = lambda c: F.concat(F.lit("s"), (F.col(c) % 11).cast("string"))
+    certs = li.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("pos"), named("l_partkey").alias("subject"), named("l_suppkey").alias("issuer"))
+    return behaviors.issuers_reach(certs, ["s0", "s5"])
+
+
 @query("""SELECT 'h' || (o_orderkey % 50) AS host, min_by('tls' || o_orderkey, o_orderkey) FILTER (o_orderkey % 50 <> 7 AND o_orderkey % 3 <> 0) AS details FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1""")
 def tls_hosts(spark, d):
     scheme = F.when(_k() % 7 == 0, "http://h/").otherwise("https://h/")

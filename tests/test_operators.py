@@ -93,6 +93,11 @@ def test_coverage_and_tls(spark):
     assert {r.host: r.details for r in behaviors.tls_hosts(o).collect()} == {"h": "d2", "g": None}
     c = spark.createDataFrame([("a", 0, "leaf", "mid"), ("a", 1, "mid", "root"), ("b", 0, "leaf", "mid"), ("b", 1, "other", "root")], "chain string, pos int, subject string, issuer string")
     assert {r.chain: r.reaches for r in behaviors.chain_reaches(c, ["root"]).collect()} == {"a": True, "b": False}
+    # Out of order, cross-signed, in a loop, cut off after so many steps, trusted itself, nulls.
+    links = {"o": "leaf>mid root>root mid>root", "x": "leaf>mid mid>other mid>root", "l": "leaf>mid mid>leaf", "d": " ".join(f"{k}>{k + 1}" for k in range(12)) + " 12>root", "t": "root>zzz", "n": "leaf>-"}
+    rows = [(c, k, *[None if x == "-" else x for x in t.split(">")], 1) for c, s in links.items() for k, t in enumerate(s.split())]
+    c = spark.createDataFrame([*rows, rows[0], (None, None, "root", None, 1)], "chain string, pos int, subject string, issuer string, c int")
+    assert {r.chain: r.reaches for r in behaviors.issuers_reach(c, ["root"]).collect()} == {"o": True, "x": True, "l": False, "d": False, "t": True, "n": False, None: True}
     v = behaviors.verdict(spark.createDataFrame([(1, True, False, None, True)], "id int, hash boolean, signature boolean, domain boolean, timestamp boolean")).first()
     assert (v.hash, v.signature, v.domain, v.reason) == ("ok", "failed", "skipped", "signature")
 
