@@ -77,6 +77,39 @@ def issuers_reach(certs: DataFrame, anchors: list[str], most: int = 10) -> DataF
     return certs.groupBy("chain").agg(whole.alias("c")).select("chain", F.arrays_overlap(reached, trusted).alias("reaches"))
 
 
+#: Seconds of a bucket of the validity lookup.
+VALIDITY_BUCKET = 28 * 86_400
+
+
+def validity_at(signatures: DataFrame, validity: DataFrame, bucket: int = VALIDITY_BUCKET) -> DataFrame:
+    """id, state of each signature at the time that it claims: `ok` where some period of its certificate holds that time
+    (both ends included), `expired` where periods began before it but all have ended, `not-yet-valid` where none has
+    begun, `unknown` where the certificate has no period, `skipped` where the signature claims no time.
+
+    signatures: id, cert, claimed_at; validity: cert, valid_from, valid_to. Any may be null: a null cert has no period, a
+    period without a beginning is none, one without an end never ends. Repeated rows count each.
+
+    No interval join: of the periods that have begun, the latest end decides, a running maximum in order of time. It runs
+    within buckets of time, and what earlier buckets bring is a running maximum over one row a bucket, so a certificate
+    that very many signatures name is as many partitions as it has buckets."""
+    never = F.lit("9999-12-31 00:00:00").cast("timestamp")
+    begun = validity.filter("cert is not null and valid_from is not null").select("cert", F.col("valid_from").cast("timestamp").alias("t"), F.coalesce(F.col("valid_to").cast("timestamp"), never).alias("end"))
+    asked = signatures.filter("cert is not null and claimed_at is not null").select("cert", F.col("claimed_at").cast("timestamp").alias("t"), F.struct("id").alias("asked"))
+    slot = F.floor(F.unix_seconds("t") / bucket).alias("slot")
+    none = F.lit(None)
+    both = begun.select("cert", slot, "t", "end", none.cast(asked.schema["asked"].dataType).alias("asked")).unionByName(asked.select("cert", slot, "t", none.cast("timestamp").alias("end"), "asked"))
+    # Of one instant, periods come before the signatures that they hold.
+    inside = Window.partitionBy("cert", "slot").orderBy("t", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("latest", F.max("end").over(inside)).filter(F.col("asked").isNotNull())
+    ends = both.groupBy("cert", "slot").agg(F.max("end").alias("top"))
+    earlier = ends.withColumn("earlier", F.max("top").over(Window.partitionBy("cert").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).select("cert", "slot", "earlier")
+    has = begun.select("cert").distinct().withColumn("has", F.lit(True))
+    told = near.join(earlier, ["cert", "slot"]).join(has, "cert", "left").withColumn("latest", F.greatest("latest", "earlier"))
+    state = F.when(F.col("has").isNull(), "unknown").when(F.col("latest").isNull(), "not-yet-valid").when(F.col("latest") >= F.col("t"), "ok").otherwise("expired")
+    rest = signatures.filter("cert is null or claimed_at is null").select("id", F.when(F.col("claimed_at").isNull(), "skipped").otherwise("unknown").alias("state"))
+    return told.select("asked.id", state.alias("state")).unionByName(rest)
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """Tri-state verification of the ordered checks hash, signature, domain, timestamp (true, false, null = skipped) and
     the first that failed."""

@@ -198,6 +198,20 @@ def issuer_walks(spark, d):
     return behaviors.issuers_reach(certs, ["s0", "s5"])
 
 
+@query("""WITH v AS (SELECT o_custkey % 40 AS cert, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 9 AS INTEGER)) AS b FROM orders WHERE o_custkey % 40 <> 7 AND (o_custkey % 40 <> 9 OR o_orderkey % 500 = 1)),
+  s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 40 AS cert, CASE WHEN l_linenumber <> 6 THEN l_shipdate END AS t FROM lineitem),
+  r AS (SELECT id, cert, t, (SELECT max(b) FROM v WHERE v.cert = s.cert AND v.a <= s.t) AS latest FROM s)
+  SELECT id, CASE WHEN t IS NULL THEN 'skipped' WHEN cert NOT IN (SELECT cert FROM v) THEN 'unknown' WHEN latest IS NULL THEN 'not-yet-valid' WHEN latest >= t THEN 'ok' ELSE 'expired' END AS state FROM r""")
+def claimed_validity(spark, d):
+    """Orders as periods of certificates, line items as signatures at the time of their shipment."""
+    cert, key = F.col("o_custkey") % 40, F.col("o_orderkey")
+    periods = tables.table(spark, d, "orders").filter((cert != 7) & ((cert != 9) | (key % 500 == 1)))
+    periods = periods.select(cert.alias("cert"), F.col("o_orderdate").cast("timestamp").alias("valid_from"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((key % 9).cast("int"))).alias("valid_to"))
+    item = F.col("l_linenumber")
+    signed = tables.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + item).alias("id"), (F.col("l_suppkey") % 40).alias("cert"), F.when(item != 6, F.col("l_shipdate")).alias("claimed_at"))
+    return behaviors.validity_at(signed, periods)
+
+
 @query("""SELECT 'h' || (o_orderkey % 50) AS host, min_by('tls' || o_orderkey, o_orderkey) FILTER (o_orderkey % 50 <> 7 AND o_orderkey % 3 <> 0) AS details FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1""")
 def tls_hosts(spark, d):
     scheme = F.when(_k() % 7 == 0, "http://h/").otherwise("https://h/")

@@ -100,3 +100,19 @@ def test_attempts_of_a_task_log(spark):
     assert tasks.attempts(df.limit(0)).count() == 0
     waits = tasks.backoff(spark.createDataFrame([(0,), (3,), (70,), (None,)], "n int"), F.col("n"), 100, 1000)
     assert [r.delay_ms for r in waits.collect()] == [100, 800, 1000, None]
+
+
+def test_validity_at_a_claimed_time(spark):
+    from captureq.operators import behaviors
+
+    day = lambda n: None if n is None else datetime.datetime(2026, 1, 1) + datetime.timedelta(days=n)
+    periods = [("a", 10, 20), ("a", 15, 18), ("a", 100, 101), ("b", 5, None), ("c", None, 9), (None, 0, 9), ("d", 0, 400), ("e", 0, None), ("e", 0, None)]
+    asked = [(1, "a", 9), (2, "a", 10), (3, "a", 20), (4, "a", 21), (5, "a", 99), (6, "a", 101), (7, "b", 900), (8, "c", 5), (9, "z", 5), (10, None, 5), (11, "a", None), (12, "d", 300), (12, "d", 300), (None, "d", 500), (13, "e", 0), (14, None, None)]
+    v = spark.createDataFrame([(c, day(a), day(b), 0) for c, a, b in periods], "cert string, valid_from timestamp, valid_to timestamp, id int")
+    s = spark.createDataFrame([(i, c, day(t), "x") for i, c, t in asked], "id int, cert string, claimed_at timestamp, state string")
+    want = [(1, "not-yet-valid"), (2, "ok"), (3, "ok"), (4, "expired"), (5, "expired"), (6, "ok"), (7, "ok"), (8, "unknown"), (9, "unknown"), (10, "unknown"), (11, "skipped"), (12, "ok"), (12, "ok"), (None, "expired"), (13, "ok"), (14, "skipped")]
+    for bucket in (86_400, behaviors.VALIDITY_BUCKET):
+        assert sorted(map(repr, map(tuple, behaviors.validity_at(s, v, bucket).collect()))) == sorted(map(repr, want))
+    plan = behaviors.validity_at(s, v)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert behaviors.validity_at(s.limit(0), v).count() == 0 and {r.state for r in behaviors.validity_at(s, v.limit(0)).collect()} == {"unknown", "skipped"}
