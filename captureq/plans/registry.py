@@ -653,7 +653,10 @@ def set_differences(spark, d):
     return requests.set_difference(t.filter("task_id % 2 = 0"), t.filter("task_id % 3 = 0"), "url")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages), n AS (SELECT *, CAST((length(h) - length(replace(h, '<p', ''))) / 2 + (length(h) - length(replace(h, '<div', ''))) / 4 AS INTEGER) AS height,
+    len(list_distinct(regexp_extract_all(h, '(?i)\ssrc\s*=\s*["'']([^"'']+)["'']', 1))) AS sources FROM t)
+  SELECT page_id, 'autoscroll' AS behavior, least(3, height) AS steps, CAST(NULL AS VARCHAR) AS error, '{"reachedBottom": ' || (height <= 3) || ', "scrollSteps": ' || least(3, height) || '}' AS decisions FROM n
+  UNION ALL SELECT page_id, 'autofetch', CAST(least(2000, sources) AS INTEGER), NULL, '{"candidates": ' || least(2000, sources) || '}' FROM n WHERE contains(h, 'src')""")
 def behavior_runs(spark, d):
     from captureq.streaming import behaviors as run
 
