@@ -653,6 +653,25 @@ def set_differences(spark, d):
     return requests.set_difference(t.filter("task_id % 2 = 0"), t.filter("task_id % 3 = 0"), "url")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id AS page_id, event_id AS seq, event_type AS t, CAST(floor(value * 20) AS BIGINT) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  w AS (SELECT page_id, 0 AS k, 0 AS steps, CAST(0 AS BIGINT) AS y, CAST(NULL AS BIGINT) AS height FROM e GROUP BY page_id UNION ALL
+    SELECT w.page_id, e.k, CASE WHEN go THEN steps + 1 ELSE steps END, CASE WHEN go THEN y + a ELSE y END, CASE WHEN t = 'purchase' THEN 8 * a ELSE height END
+    FROM (SELECT *, steps < 12 AND NOT coalesce(y + 800 >= height, false) AS free FROM w) w JOIN e ON e.page_id = w.page_id AND e.k = w.k + 1, LATERAL (SELECT free AND t = 'view' AS go)),
+  last AS (SELECT *, coalesce(y + 800 >= height, false) AS bottom FROM w WHERE (page_id, k) IN (SELECT (page_id, max(k)) FROM w GROUP BY page_id))
+  SELECT page_id, CAST(k AS INTEGER) AS events, '{"coveredPx": ' || y || ', "exhausted": ' || (steps >= 12 AND NOT bottom) || ', "reachedBottom": ' || bottom || ', "steps": ' || steps || '}' AS decisions FROM last""")
+def page_behaviors(spark, d):
+    """The event log as what happens on pages: views scroll, purchases resize; each page is followed in order."""
+    from captureq.streaming import page_events
+
+    page_events.register(spark)
+    e = tables.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "scroll").when(F.col("event_type") == "purchase", "resize").otherwise(F.col("event_type"))
+    amount = F.floor(F.col("value") * 20).cast("long")
+    rows = e.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind == "resize", 8 * amount).otherwise(amount).alias("amount"), F.lit(None).cast("string").alias("target"))
+    rows.createOrReplaceTempView("_captureq_page_events")
+    return spark.sql("""SELECT page_id, events, decisions FROM follow_pages(TABLE(_captureq_page_events), 'scroll', '{"scroll": {"maxSteps": 12}}')""")
+
+
 @query(r"""WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages), n AS (SELECT *, CAST((length(h) - length(replace(h, '<p', ''))) / 2 + (length(h) - length(replace(h, '<div', ''))) / 4 AS INTEGER) AS height,
     len(list_distinct(regexp_extract_all(h, '(?i)\ssrc\s*=\s*["'']([^"'']+)["'']', 1))) AS sources FROM t)
   SELECT page_id, 'autoscroll' AS behavior, least(3, height) AS steps, CAST(NULL AS VARCHAR) AS error, '{"reachedBottom": ' || (height <= 3) || ', "scrollSteps": ' || least(3, height) || '}' AS decisions FROM n
