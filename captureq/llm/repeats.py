@@ -27,7 +27,7 @@ CORE, TOGETHER, HOT = 160, 400, 4096
 INTERVALS = 8
 #: Bytes of text that are hashed at once (some hundred bytes of memory each).
 PIECE = 1 << 19
-#: Bits of the maps that spare rows a shuffle: of texts (128 KB, it stands in the plan) and of cores (8 MB, broadcast).
+#: Bits of the maps that spare rows a shuffle: of texts (128 KB) and of cores (8 MB, broadcast).
 #: A full map spares nothing and stays right.
 MAP_BITS, CORE_BITS = 1 << 20, 1 << 26
 
@@ -44,8 +44,9 @@ def _bitmap(ids: DataFrame, column: str, bits: int) -> bytes:
 
 
 def _may_hold(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test that is true for every id in the column and for few others."""
-    whole = F.lit(_bitmap(ids, column, MAP_BITS))
+    """A test that is true for every id in the column and for few others. The map is a table of one row that plans refer to:
+    as a constant its text would stand in every description of a plan that the driver keeps."""
+    whole = ids.sparkSession.createDataFrame(pa.table({"m": pa.array([_bitmap(ids, column, MAP_BITS)], pa.binary())})).scalar()
 
     def test(col: Column) -> Column:
         p = F.pmod(col, F.lit(MAP_BITS))
