@@ -33,3 +33,17 @@ def test_hundred_thousand_patterns(spark):
     out = blocklist.blocked_urls(urls, table)
     assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
     assert {tuple(r) for r in out.groupBy("n_patterns").count().collect()} == {(0, 1000), (1, 2000)}
+
+
+def test_parts_are_not_broadcast(spark):
+    """Urls of few bytes have parts of many, which Spark takes for as small as the urls: their joins must not pass through
+    the driver. A rare run files a pattern, however frequent its words are, and so do its start and its end."""
+    urls = spark.range(2000).select("id", F.format_string("https://h%d.example.org/a/%d?s=x", F.col("id") % 9, F.col("id") + 1000).alias("url"))
+    table = spark.range(500).select(F.format_string("http*.org/*/%d*", F.col("id") + 1000).alias("pattern")).unionByName(spark.createDataFrame([("*=x",), ("*?s*",), ("*z*",)], "pattern string"))
+    out = blocklist.blocked_urls(urls, table)
+    assert {tuple(r) for r in out.groupBy("n_patterns").count().collect()} == {(3, 500), (2, 1500)}
+    out.write.format("noop").mode("overwrite").save()
+    out.collect()
+    assert "BroadcastHashJoin [_key" not in out._jdf.queryExecution().executedPlan().toString()
+    keys = spark.createDataFrame([("http*.org/*/1234*",), ("*js",), ("*js*",)], "p string").select(blocklist.pattern_keys(F.col("p")).alias("k")).collect()
+    assert {"r/123", "r1234", "worg", "shttp"} <= set(keys[0].k) and keys[1].k == ["ejs"] and keys[2].k == []
