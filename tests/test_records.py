@@ -171,3 +171,42 @@ def test_navigation_and_membership(spark):
     assert {r.op: (r.attempts, r.given_up) for r in events.navigation_retries(df, "op").collect()} == {"a": (2, False), "b": (3, True), "c": (1, False)}
     m = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "a")], "g int, m string")
     assert {r.g: r.key for r in events.membership_key(m, "g", "m").collect()} == {1: "a,b", 2: "a"}
+
+
+def _noise_pages(session, n):
+    """Pages of 64,000 bytes that hardly shrink, in one partition."""
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.sha2(F.concat_ws("/", "id", k), 256)), "")
+    return session.range(0, n, 1, 1).select(F.col("id").alias("page_id"), F.lit("http://a.example/").alias("url"), noise.alias("html"), F.lit(None).cast("timestamp").alias("captured_at"))
+
+
+def _batch_bytes(df):
+    """The largest batch that the step behind df is handed."""
+    import pyarrow as pa
+
+    def sizes(parts):
+        for b in parts:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    return df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+def test_archives_pass_in_small_batches(spark):
+    """Whatever the number and the size of pages: a session of its own has Spark's settings, 10000 rows of any size."""
+    pages = _noise_pages(spark.newSession(), 500)
+    archives = archive.page_packages(pages, packages=False)
+    payloads = archive.read_warcs(archives)
+    assert _batch_bytes(archives) < 10 << 20 and _batch_bytes(payloads) < 10 << 20
+    left = payloads.withColumn("payload", F.col("payload").cast("string")).exceptAll(pages.select("page_id", "url", F.col("html").alias("payload")))
+    assert payloads.count() == 500 and left.count() == 0
+
+
+def test_rows_are_handed_on_by_their_bytes():
+    import pyarrow as pa
+
+    from captureq.sources.batches import BATCH_BYTES, BATCH_ROWS, batches_of, rows_of
+
+    kinds = pa.schema({"n": pa.int64(), "b": pa.binary()})
+    rows = [(1, None), (None, b"x" * (BATCH_BYTES + 1)), (3, b""), *[(k, b"y") for k in range(BATCH_ROWS)]]
+    got = list(batches_of(iter(rows), kinds))
+    assert [b.num_rows for b in got] == [2, BATCH_ROWS, 1] and [r for b in got for r in rows_of(b)] == rows
+    assert list(batches_of([], kinds)) == []
