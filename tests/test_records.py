@@ -210,3 +210,12 @@ def test_rows_are_handed_on_by_their_bytes():
     got = list(batches_of(iter(rows), kinds))
     assert [b.num_rows for b in got] == [2, BATCH_ROWS, 1] and [r for b in got for r in rows_of(b)] == rows
     assert list(batches_of([], kinds)) == []
+
+
+def test_packages_pass_in_small_batches(spark):
+    pages = _noise_pages(spark.newSession(), 500)
+    packages = archive.page_packages(pages)
+    read = archive.read_packages(packages)
+    assert _batch_bytes(packages) < 10 << 20 and _batch_bytes(read) < 10 << 20
+    got = read.select("page_id", "url", "title", "status", F.col("payload").cast("string").alias("html"))
+    assert got.count() == 500 and got.exceptAll(pages.select("page_id", "url", F.lit("").alias("title"), F.lit(200).alias("status"), "html")).count() == 0
