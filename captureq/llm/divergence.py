@@ -23,40 +23,48 @@ from .common import frequent_join, raw_bytes, released, text_slices, written
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Kept terms of a shard, and their bytes: what one automaton table holds, and what is sent to every executor.
 SHARD_TERMS, SHARD_BYTES = 250_000, 4 << 20
+#: Parts of a shard that a language's terms are dealt into; a shard takes parts until it lacks one.
+PARTS = 8
 #: Counts that a task holds before it sums them, and pairs of postings that are worked out at once.
 HELD, PAIRS = 1 << 20, 1 << 20
 
 #: For each byte its form in a term: A-Z lower-cased, other letters and bytes of non-ASCII characters themselves, others a space.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_IN_TERM = np.frombuffer(_TERM, np.uint8) != 32
 
 
 def named(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting: numpy's own unique goes by a hash table, which is slower by far here."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
 def _term_docs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, documents) of the slices of (lang, text) rows."""
-    table = np.frombuffer(_TERM, np.uint8)
     for batch in parts:
         for a, b, col in text_slices(batch, 1, 4 << 20):
             data, off = raw_bytes(col)
-            inside = _IN_TERM[data]
-            edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-            begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            data = np.frombuffer(data.tobytes().translate(_TERM), np.uint8)
+            inside = data != 32
+            # Borders between terms and the rest, in turn a term's begin and its stop.
+            edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+            begin, stop = edge[::2], edge[1::2]
             cuts = off[1:-1]
-            cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+            cuts = distinct(cuts[(cuts > 0) & (cuts < len(data))])
             cuts = cuts[inside[cuts] & inside[cuts - 1]]
             begin, stop = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([stop, cuts]))
             if not len(begin):
                 continue
-            joined = table[data[inside]]
+            joined = data[inside]
             at = np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int64)
             terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
             langs = batch.column(0).slice(a, b - a).dictionary_encode()
             n = len(terms.dictionary)
             doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(begin, off)))
-            seen = np.unique(doc * n + terms.indices.to_numpy())
+            seen = distinct(doc * n + terms.indices.to_numpy())
             lang = langs.indices.to_numpy().astype(np.int64)[seen // n]
             keys, counts = np.unique(lang * n + seen % n, return_counts=True)
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys // n)), terms.dictionary.take(pa.array(keys % n)).cast(pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "term", "n"])
@@ -71,18 +79,18 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 def shards(kept: DataFrame, most_terms: int = SHARD_TERMS, most_bytes: int = SHARD_BYTES) -> DataFrame:
     """(shard, id, lang, term) of all kept terms; an id is a shard's number in its upper half and a place in the lower.
 
-    A language's terms are dealt by hash into parts of half a shard's terms and bytes; parts fill shards in turn, so that
-    a shard holds whole languages or a part of one. A term longer than a shard's bytes makes a shard so much larger."""
+    A language's terms are dealt by hash into parts of an eighth of a shard's terms and bytes; parts fill shards in turn,
+    seven eighths of each on average, so that few languages' texts are scanned for several shards. A term longer than a shard's bytes makes a shard so much larger."""
     kept = written(kept, "frequent-terms")
     size = F.octet_length("term") + 8
     need = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.count(F.lit(1)).alias("weight"))
-    need = written(need.select("lang", F.ceil(F.greatest(2 * F.col("n") / most_terms, 2 * F.col("b") / most_bytes)).cast("long").alias("parts"), "weight"), "languages")
+    need = written(need.select("lang", F.ceil(F.greatest(PARTS * F.col("n") / most_terms, PARTS * F.col("b") / most_bytes)).cast("long").alias("parts"), "weight"), "languages")
     dealt = written(frequent_join(kept, need, ["lang"], "weight", "inner").select("lang", "term", F.pmod(F.xxhash64("term"), "parts").alias("deal")), "dealt")
     per = dealt.groupBy("lang", "deal").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
-    filled = F.greatest(2 * F.col("n") / most_terms, 2 * F.col("b") / most_bytes)
-    # One row for each half shard of the vocabulary: few, so they may be numbered in one task.
+    filled = F.greatest(PARTS * F.col("n") / most_terms, PARTS * F.col("b") / most_bytes)
+    # One row for each eighth of a shard of the vocabulary: few, so they may be numbered in one task.
     so_far = F.coalesce(F.sum(filled).over(Window.orderBy("lang", "deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    per = per.select("lang", "deal", F.floor(so_far).cast("long").alias("shard"), F.col("n").alias("weight"))
+    per = per.select("lang", "deal", F.floor(so_far / (PARTS - 1)).cast("long").alias("shard"), F.col("n").alias("weight"))
     placed = frequent_join(dealt, written(per, "shards"), ["lang", "deal"], "weight", "inner")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("lang", "term")) - 1
     return placed.select("shard", (F.shiftleft("shard", 32) + place).alias("id"), "lang", "term")
@@ -115,12 +123,12 @@ class _Counter:
     def rows(self) -> Iterator[pa.RecordBatch]:
         """What is held, (lang, source, id, n); nothing is held then."""
         self.fold()
-        names = list(self.groups)
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
         key, value = (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for a in range(0, len(key), 100_000):
-            group = (key[a : a + 100_000] >> 32).tolist()
+            group = pa.array(key[a : a + 100_000] >> 32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[g][0] for g in group]), pa.array([names[g][1] for g in group]), pa.array(self.base + (key[a : a + 100_000] & 0xFFFFFFFF)), pa.array(value[a : a + 100_000])], names=["lang", "source", "id", "n"]
+                [langs.take(group), sources.take(group), pa.array(self.base + (key[a : a + 100_000] & 0xFFFFFFFF)), pa.array(value[a : a + 100_000])], names=["lang", "source", "id", "n"]
             )
         self._clear()
 
@@ -156,11 +164,15 @@ def _recount(name: str, shard: int, packed: Broadcast):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang, held = automata(name, packed.value), _Counter(shard << 32)
         for batch in parts:
-            for a, b, col in text_slices(batch, 2, 2 << 20):
+            for a, b, col in text_slices(batch, 2, 4 << 20):
                 langs, sources = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
-                for lang, source, text in zip(langs, sources, col.cast(pa.binary()), strict=True):
+                texts: dict[tuple[str, str], list[bytes]] = {}
+                for lang, source, text in zip(langs, sources, col.cast(pa.binary()).to_pylist(), strict=True):
                     if lang in by_lang:
-                        held.add((lang, source), *occurrences(by_lang[lang], text.as_py()))
+                        texts.setdefault((lang, source), []).append(text)
+                # A language's groups one after the other, so that its automaton stays in the processor's cache.
+                for group in sorted(texts):
+                    held.add(group, *occurrences(by_lang[group[0]], b" ".join(texts[group])))
                 if held.held > HELD:
                     held.fold()
                     if 2 * held.held > HELD:

@@ -65,6 +65,26 @@ def test_vocabulary_in_many_shards(spark):
     assert same(spark, mixed(), most_terms=16) == same(spark, mixed(), most_bytes=300)
 
 
+def test_languages_share_shards_without_being_cut(spark):
+    """Languages that fit into a shard together are scanned once; shards are full but for an eighth, and no fuller."""
+    vocabulary = lambda lang, n: [(lang, f"t{k}", 3) for k in range(n)]
+    dealt = lambda rows, most: divergence.shards(spark.createDataFrame(rows, "lang string, term string, docs long"), most_terms=most).collect()
+    assert {r.shard for r in dealt(vocabulary("de", 40) + vocabulary("en", 98), 160)} == {0}
+    many = Counter(r.shard for r in dealt(vocabulary("de", 400) + vocabulary("en", 3600), 1000))
+    assert len(many) == 5 and sum(many.values()) == 4000 and max(many.values()) < 1100
+
+
+def test_term_docs_counts_documents(spark):
+    """Repeats in a document count once, terms end where documents do, and batches of no or one term pass."""
+    rows = [("en", "b a B a"), ("en", "a"), ("de", "a"), ("en", ""), ("en", "1"), ("en", "a b"), ("de", "é-É")]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    got = Counter()
+    for b in divergence._term_docs([batch, batch.slice(3, 2), batch.slice(1, 1)]):
+        for x in b.to_pylist():
+            got[x["lang"], x["term"]] += x["n"]
+    assert got == {("en", "a"): 4, ("en", "b"): 2, ("de", "a"): 1, ("de", "é"): 1, ("de", "É"): 1}
+
+
 def test_small_tables(spark):
     assert same(spark, []) == 0
     assert same(spark, [(None, None, None)]) == 0
